@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweft.llm import decontaminate, html_wrapper, line_dedup, minhash_dedup, packing, quality, secret_scan, sql, token_counts
+from kinweft.llm import decontaminate, html_wrapper, kneser_ney, line_dedup, minhash_dedup, packing, quality, secret_scan, sql, token_counts
 
 PACK_TOKENIZER, PACK_END, PACK_SIZE = "byte_bpe_50k.json", 2, 1024
 COUNT_TOKENIZER, COUNT_LIMIT = "word_bpe_49k.json", 2048
@@ -40,6 +40,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return kneser_ney.scores(docs, kneser_ney.train(docs, ~kneser_ney.held_out()))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), PACK_TOKENIZER, PACK_END, PACK_SIZE)
 
