@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweft.llm import decontaminate, html_wrapper, kneser_ney, line_dedup, minhash_dedup, packing, quality, secret_scan, sql, token_counts
+from kinweft.llm import decontaminate, html_wrapper, kneser_ney, line_dedup, minhash_dedup, packing, paragraph_dedup, quality, secret_scan, sql, token_counts
 
 PACK_TOKENIZER, PACK_END, PACK_SIZE = "byte_bpe_50k.json", 2, 1024
 COUNT_TOKENIZER, COUNT_LIMIT = "word_bpe_49k.json", 2048
@@ -28,6 +28,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeats(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(_table(spark, sf_dir, "pages"))
 
