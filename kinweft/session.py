@@ -1,12 +1,13 @@
-"""Getting this package to the Python workers of a session."""
+"""What a session gives the library: workers that have this package, and a folder all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +24,24 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(to))
         _sent.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one where it is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kinweft-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back.
+
+    A frame that several branches of a plan need is computed once, the plan stays small, and a lost executor costs
+    no more than its running tasks.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
