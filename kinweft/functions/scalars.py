@@ -13,6 +13,7 @@ from urllib.parse import quote, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Mailboxes that several people read, and domains anyone can have an address at.
 SHARED_MAILBOXES = ("admin", "contact", "hello", "info", "office", "sales", "support", "team")
@@ -24,7 +25,7 @@ _JS_SPACE = r"[\s\x{FEFF}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}
 _DAY_MS = 86_400_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return text.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
@@ -48,10 +49,10 @@ def is_email(text: Column) -> Column:
 
 
 def email_risk(email: Column) -> Column:
-    """``shared_or_role`` or ``unique_candidate`` for a folded address."""
+    """``shared_or_role`` or ``unique_candidate`` for a folded address; null for none."""
     local, domain = F.split_part(email, F.lit("@"), F.lit(1)), F.split_part(email, F.lit("@"), F.lit(2))
     shared = (local == "") | (domain == "") | local.isin(*SHARED_MAILBOXES) | domain.isin(*FREE_MAIL_DOMAINS) | local.rlike(r"\A(?:family|household|the[a-z]+s)\z")
-    return F.when(shared, "shared_or_role").otherwise("unique_candidate")
+    return F.when(shared, "shared_or_role").when(email.isNotNull(), "unique_candidate")
 
 
 def normalize_domain(text: Column) -> Column:
@@ -74,7 +75,7 @@ def profile_url(raw: str | None) -> str | None:
     return f"https://{parts.hostname.lower()}{port}{quote(parts.path, safe='/%:@!$&()*+,;=~-._' + chr(39)).rstrip('/')}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_profile_url(text: pd.Series) -> pd.Series:
     return text.map(profile_url)
 
@@ -119,7 +120,7 @@ def terminal_safe(text: str) -> str:
     return _CONTROL.sub(lambda m: f"\\u{ord(m[0]):04x}", text).translate(_NAMED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def escape_terminal(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else terminal_safe(x))
 

@@ -335,10 +335,10 @@ def evaluate(tables: dict[str, DataFrame], config: Any, policy: Any, clock: str
     inputs, hashes = input_set_sha256(tables, ws), (config_digest(config), config_digest(policy))
     run_id = scoped_id(ws, "audit_run", {"engineVersion": ENGINE_VERSION, "inputSetSha256": inputs, "configSha256": hashes[0], "policySha256": hashes[1], "runClock": iso(clock)})
     found = staged(verdicts(tables, config, policy, clock), "verdicts")
-    return Evaluation(run_id, *hashes, inputs, clock, found, _results(found, config, ws, run_id), _others(found, "blocked", ws, run_id), _others(found, "review_only", ws, run_id))
+    return Evaluation(run_id, *hashes, inputs, clock, found, results(found, config, ws, run_id), _others(found, "blocked", ws, run_id), _others(found, "review_only", ws, run_id))
 
 
-def _results(found: DataFrame, config: dict[str, Any], ws: str, run_id: str) -> DataFrame:
+def results(found: DataFrame, config: dict[str, Any], ws: str, run_id: str) -> DataFrame:
     broker = F.col("category").isin("C", "D")
     identity = json_object({"auditRunId": F.lit(f'"{run_id}"'), "category": json_string(F.col("category")), "destinationPersonId": json_string(F.col("person_id")), "canonicalAccountId": json_string(F.col("organization_id")), "relationshipEdgeId": F.when(broker, json_string(F.col("relationship_edge_id"))).otherwise("null")})
     label = F.when(F.col("category") == "A", "potential_direct_icp_lead").when(F.col("category") == "B", "target_account_coach_champion_candidate").when(F.col("category") == "C", "broker_path_to_target_stakeholder").otherwise("broker_path_to_target_account_coach_champion_candidate")
