@@ -11,7 +11,7 @@ def _age(ts: str) -> str:
 
 _BASE = f"""
 edges AS (SELECT l_suppkey AS s, o_custkey AS c, max(l_shipdate) AS seen, max(l_discount) AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-months AS (SELECT DISTINCT who, month FROM (SELECT l_suppkey AS who, strftime(l_shipdate, '%Y%m') AS month FROM lineitem UNION ALL SELECT o_orderkey % 10 + 1, strftime(o_orderdate, '%Y%m') FROM orders UNION ALL SELECT c_custkey % 10 + 1, '199501' FROM customer)),
+months AS (SELECT DISTINCT who, month FROM (SELECT l_suppkey AS who, strftime(l_shipdate, '%Y%m') AS month FROM lineitem UNION ALL SELECT o_orderkey % 10, strftime(o_orderdate, '%Y%m') FROM orders UNION ALL SELECT c_custkey % 10, '199501' FROM customer)),
 snapshots AS (SELECT 'n' || who || '_' || month AS n, who, CASE WHEN month::INT % 2 = 0 THEN 'orders' ELSE 'lineitem' END AS kind FROM months WHERE (who * 100 + month::INT) % 89 <> 0),
 consent AS (SELECT s_suppkey AS k, s_suppkey % 3 <> 1 AS individual, s_suppkey % 11 <> 5 AS purpose_ok,
   CASE WHEN s_suppkey % 7 = 3 THEN ['orders'] ELSE ['lineitem', 'orders'] END AS classes,
@@ -20,7 +20,7 @@ consent AS (SELECT s_suppkey AS k, s_suppkey % 3 <> 1 AS individual, s_suppkey %
   CASE WHEN s_suppkey % 13 = 6 THEN 'withdrawn' WHEN s_suppkey % 10 = 7 THEN 'inactive' WHEN s_suppkey % 19 = 8 THEN 'not_yet_active'
     WHEN s_suppkey % 5 = 3 OR (s_suppkey % 5 = 4 AND s_suppkey % 2 = 0) THEN 'expired' ELSE 'active' END AS disposition FROM supplier),
 emp AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 25 AS org, o_orderdate AS seen, o_orderstatus AS st, o_orderpriority AS title, {_age("o_orderdate")} AS age,
-  'n' || (o_orderkey % 10 + 1) || '_' || strftime(o_orderdate, '%Y%m') AS n FROM orders),
+  'n' || (o_orderkey % 10) || '_' || strftime(o_orderdate, '%Y%m') AS n FROM orders),
 cur AS (SELECT c, count(DISTINCT org) FILTER (st = 'O' AND age <= 365) AS current_organizations FROM emp GROUP BY c),
 latest AS (SELECT emp.*, current_organizations FROM emp JOIN cur USING (c) QUALIFY row_number() OVER (PARTITION BY emp.c ORDER BY seen DESC, 'm' || o) = 1),
 cand0 AS (SELECT 'e' || e.s || '_' || e.c AS edge, e.s, e.c, e.seen AS edge_at, 1 - e.discount AS edge_confidence, 'n' || e.s || '_' || strftime(e.seen, '%Y%m') AS edge_n, l.o, l.org, l.seen AS emp_at, l.st, l.title, l.age AS emp_age, l.n AS emp_n, l.current_organizations,
@@ -31,7 +31,7 @@ own AS (SELECT DISTINCT * FROM (SELECT edge, org, edge_n AS n FROM cand UNION AL
 claims AS (SELECT o, org, n, o % 60 = 0 AS conflicted FROM emp WHERE o % 3 = 0),
 scoped AS (SELECT DISTINCT own.edge, claims.o, claims.n, claims.conflicted FROM own JOIN claims USING (org, n)),
 refs AS (SELECT edge, 'er' || s || '_' || c AS ref, edge_n AS n FROM cand UNION ALL SELECT edge, 'ee' || o, CASE WHEN o % 97 <> 0 THEN emp_n END FROM cand
-  UNION ALL SELECT edge, 'ei' || c, 'n' || (c % 10 + 1) || '_199501' FROM cand UNION ALL SELECT edge, 'eo' || o, n FROM scoped),
+  UNION ALL SELECT edge, 'ei' || c, 'n' || (c % 10) || '_199501' FROM cand UNION ALL SELECT edge, 'eo' || o, n FROM scoped),
 deps AS (SELECT DISTINCT edge, n FROM refs WHERE n IS NOT NULL),
 dep AS (SELECT edge, deps.n, who, kind, k.* FROM deps LEFT JOIN snapshots USING (n) LEFT JOIN consent k ON k.k = who),
 supp AS (SELECT * FROM (VALUES ('person', 'c17', 'PERSON_SUPPRESSED'), ('organization', 'o9', 'ORGANIZATION_EXCLUDED'), ('domain', 'o12.example.com', 'DOMAIN_EXCLUDED'), ('snapshot', 'n3_200105', 'SNAPSHOT_SUPPRESSED')) AS t(kind, value, code)),

@@ -39,7 +39,7 @@ def config(suppliers: int) -> dict[str, Any]:
     Inactive suppliers (keys ending in 7) never divide by four, so every direct contributor is active.
     """
     return {
-        "workspaceId": WORKSPACE, "configId": "c", "version": "1", "directContributorIds": [f"s{k}" for k in range(4, suppliers + 1, 4)],
+        "workspaceId": WORKSPACE, "configId": "c", "version": "1", "directContributorIds": [f"s{k}" for k in range(0, suppliers + 1, 4)],
         "icpRuleSet": {"ruleSetId": "icp", "version": "1", "mode": "all", "rules": [_rule("r_region", "geography", "in", ["r0", "r1", "r2"], 60), _rule("r_size", "employee_count", "range", {"min": 5}, 40, False)]},
         "stakeholderPersonaRuleSet": {"ruleSetId": "persona", "version": "1", "mode": "any", "rules": [_rule("r_urgent", "title", "equals", "1-URGENT", 50), _rule("r_high", "title", "contains_token", ["high"], 50)]},
         "coachCandidateRuleSet": {"ruleSetId": "coach", "version": "1", "mode": "any", "rules": [_rule("r_medium", "title", "contains_token", ["medium"], 1)]},
@@ -82,13 +82,13 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     s, k, o = "s_suppkey", "c_custkey", "o_orderkey"
     traded = lineitem.select("l_orderkey", "l_suppkey", "l_shipdate", "l_discount").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     edges = traded.groupBy("l_suppkey", "o_custkey").agg(F.max("l_shipdate").alias("at"), F.max("l_discount").alias("discount"))
-    months = lineitem.select(F.col("l_suppkey").alias("by"), F.expr("date_format(l_shipdate, 'yyyyMM')").alias("month")).unionByName(orders.select((F.col(o) % 10 + 1).alias("by"), F.expr("date_format(o_orderdate, 'yyyyMM')").alias("month")))
-    months = months.unionByName(customer.select((F.col(k) % 10 + 1).alias("by"), F.lit("199501").alias("month"))).distinct()
+    months = lineitem.select(F.col("l_suppkey").alias("by"), F.expr("date_format(l_shipdate, 'yyyyMM')").alias("month")).unionByName(orders.select((F.col(o) % 10).alias("by"), F.expr("date_format(o_orderdate, 'yyyyMM')").alias("month")))
+    months = months.unionByName(customer.select((F.col(k) % 10).alias("by"), F.lit("199501").alias("month"))).distinct()
     evidence = [
         _table(edges, "evidence_ref", evidence_ref_id="concat('er', l_suppkey, '_', o_custkey)", source_snapshot_id=_snapshot("l_suppkey", "at"), claim_type="'relationship'"),
-        _table(orders.where(f"{o} % 97 <> 0"), "evidence_ref", evidence_ref_id=f"concat('ee', {o})", source_snapshot_id=_snapshot(f"{o} % 10 + 1", "o_orderdate"), claim_type="'employment'"),
-        _table(orders.where(f"{o} % 3 = 0"), "evidence_ref", evidence_ref_id=f"concat('eo', {o})", source_snapshot_id=_snapshot(f"{o} % 10 + 1", "o_orderdate"), claim_type="'organization'"),
-        _table(customer, "evidence_ref", evidence_ref_id=f"concat('ei', {k})", source_snapshot_id=f"concat('n', {k} % 10 + 1, '_199501')", claim_type="'identity'"),
+        _table(orders.where(f"{o} % 97 <> 0"), "evidence_ref", evidence_ref_id=f"concat('ee', {o})", source_snapshot_id=_snapshot(f"{o} % 10", "o_orderdate"), claim_type="'employment'"),
+        _table(orders.where(f"{o} % 3 = 0"), "evidence_ref", evidence_ref_id=f"concat('eo', {o})", source_snapshot_id=_snapshot(f"{o} % 10", "o_orderdate"), claim_type="'organization'"),
+        _table(customer, "evidence_ref", evidence_ref_id=f"concat('ei', {k})", source_snapshot_id=f"concat('n', {k} % 10, '_199501')", claim_type="'identity'"),
     ]
     refs = evidence[0]
     for part in evidence[1:]:
