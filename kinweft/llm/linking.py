@@ -30,21 +30,15 @@ def connect(posted: DataFrame, full: DataFrame, collide: Callable[[DataFrame], D
     ``posted`` has (token, cls, n: the size of the set), ``full`` (cls, shingles: sorted 64-bit hashes as bytes);
     both must be tables that can be read again.  ``collide`` drops pairs that cannot be links.
     """
-    tried = durable(_around(posted, [F.col("cls"), -F.xxhash64("cls")]), "pairs")
-    found = durable(_verify(collide(tried), full), "links")
-    lists = _mixed(posted, found)
-    if lists.isEmpty():
-        return found
-    more = durable(_around(lists, [F.xxhash64(F.lit(i), "cls") for i in range(4)]).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = durable(found.unionByName(_verify(collide(more), full)), "links")
+    pairs = _around(posted, [F.col("cls"), *(F.xxhash64(F.lit(i), "cls") for i in range(3))])
+    found = durable(_verify(collide(pairs), full), "links")
     lists = _mixed(posted, found)
     if lists.isEmpty():
         return found
     # a set overlaps with any other by at most the shingles that it shares with some candidate at all
     members = lists.select("cls", "n", "component").distinct()
-    for _ in range(2):
-        shared = _shared(full.join(members, "cls", "left_semi"))
-        members = durable(members.join(shared, "cls").where(F.col("m") * DENOMINATOR >= F.col("n") * NUMERATOR).drop("m"), "members")
+    shared = _shared(full.join(members, "cls", "left_semi"))
+    members = durable(members.join(shared, "cls").where(F.col("m") * DENOMINATOR >= F.col("n") * NUMERATOR).drop("m"), "members")
     lists = lists.select("token", "cls").join(members.select("cls"), "cls", "left_semi")
     centres = lists.groupBy("token").agg(F.min("cls").alias("b"))
     cluster = components(lists.join(centres, "token").select(F.col("cls").alias("a"), "b"))
