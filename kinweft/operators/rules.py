@@ -56,7 +56,7 @@ def matches(rule: dict[str, Any], attr: Column) -> Column:
     expected = value if isinstance(value, list) else [value]
     known = [e for e in expected if e is not None and not isinstance(e, dict)]
     if kind == "exists":
-        empty = ~attr["many"] & (values[0]["kind"] == "s") & (values[0]["text"] == "")
+        empty = ~attr["many"] & (F.get(values, 0)["kind"] == "s") & (F.get(values, 0)["text"] == "")
         return ~absent & ~F.coalesce(empty, F.lit(False))
     if kind == "equals":
         if not expected:
