@@ -90,15 +90,18 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
             (F.size(worded) - F.size(F.array_distinct(F.transform(worded, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
             _repeat_words(z["w"]).cast("long").alias("n_repeat_words"),
             total(good).cast("long").alias("n_good_words"),
+            (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
             F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("good_text"),
         )
 
-    made = docs.withColumn("__quality", let(F.struct(words_of(text).alias("w"), F.transform(F.split(text, "\n", -1), _line).alias("lines")), figures))
-    q = F.col("__quality")
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
-    symbols = (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long")
-    made = made.withColumn("__quality", q.withField("n_symbols", symbols).withField("base_failed", failed))
-    return made.withColumn("__quality", q.withField("kept", ~q["base_failed"] & (2 * q["n_good_words"] >= q["n_words"])))
+    def verdict(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_good_words", "good_text")
+        return F.struct(*[q[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & (2 * q["n_good_words"] >= q["n_words"])).alias("kept"))
+
+    made = let(let(F.struct(words_of(text).alias("w"), F.transform(F.split(text, "\n", -1), _line).alias("lines")), figures), verdict)
+    # a generator is evaluated once for each row, whatever is filtered and selected from it later
+    return docs.select("*", F.explode(F.array(made)).alias("__quality"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
