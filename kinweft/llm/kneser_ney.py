@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.llm.shared import durable, new_path
+from kinweft.llm.shared import new_path
 from kinweft.llm.textpack import blocks, mix, words
 
 _U = np.uint64
@@ -36,8 +37,8 @@ BITS = 48
 #: Fingerprints of the text's start (never predicted) and end (a token); words have others.
 START, END = _U(1), _U(2)
 #: Pairs that a task gathers before it adds them up, and bytes of text for each shard.
-GATHER = 3_000_000
-SHARD_BYTES = 24 << 20
+GATHER = 2_000_000
+SHARD_BYTES = 16 << 20
 
 
 def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -69,6 +70,24 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     return np.array([len(arrays[0])], "<u8").tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
+def _pack_pairs(context: np.ndarray, word: np.ndarray, times: np.ndarray) -> bytes:
+    """Pairs by context, contexts as differences, which are smaller."""
+    order = np.argsort(context)
+    context = context[order]
+    context[1:] -= context[:-1].copy()
+    return _pack([*_narrow(context), *_narrow(word[order]), times[order].astype("<u4")])
+
+
+def _unpack_pairs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    contexts, words, counts = [], [], []
+    for x in raw:
+        c_lo, c_hi, w_lo, w_hi, times = _unpack([x], _PAIR_KINDS)
+        contexts.append(np.cumsum(c_lo.astype(_U) | (c_hi.astype(_U) << _U(32)), dtype=_U))
+        words.append(w_lo.astype(_U) | (w_hi.astype(_U) << _U(32)))
+        counts.append(times)
+    return np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
+
+
 def _unpack(raw: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for x in raw:
@@ -111,7 +130,7 @@ class Folder:
             part = f"{self.local}/.{name}-{uuid.uuid4().hex}"
             with open(part, "wb") as f:
                 for a in arrays:
-                    f.write(np.array([a.nbytes], "<u8").tobytes())
+                    f.write(np.array([a.nbytes, a.itemsize], "<u8").tobytes())
                     f.write(memoryview(np.ascontiguousarray(a)).cast("B"))
             os.replace(part, f"{self.local}/{name}")
             return
@@ -121,12 +140,12 @@ class Folder:
         system.create_dir(path, recursive=True)
         with system.open_output_stream(f"{path}/.{name}-{(tag := uuid.uuid4().hex)}") as f:
             for a in arrays:
-                f.write(np.array([a.nbytes], "<u8").tobytes())
+                f.write(np.array([a.nbytes, a.itemsize], "<u8").tobytes())
                 f.write(np.ascontiguousarray(a).tobytes())
         system.move(f"{path}/.{name}-{tag}", f"{path}/{name}")
 
-    def map(self, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
-        """The arrays of a file, mapped into memory; None if there is no such file."""
+    def map(self, name: str) -> list[np.ndarray] | None:
+        """The arrays of unsigned numbers in a file, mapped into memory; None if there is no such file."""
         path = f"{self.local}/{name}"
         if self.local is None:
             from pyarrow import fs
@@ -145,10 +164,10 @@ class Folder:
         else:
             raw = np.memmap(path, np.uint8, "r")
         out, at = [], 0
-        for kind in kinds:
-            n = int(raw[at : at + 8].view("<u8")[0])
-            out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8) if n else np.zeros(0, kind))
-            at += 8 + n
+        while at < len(raw):
+            n, width = (int(x) for x in np.frombuffer(raw, "<u8", 2, at))
+            out.append(np.frombuffer(raw, f"<u{width}", n // width, at + 16) if n else np.zeros(0, f"<u{width}"))
+            at += 16 + n
         return out
 
 
@@ -195,7 +214,7 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> Model:
             key, context, word = key[order[first]], context[order[first]], word[order[first]]
             cut = _split(key, 64, shards)
             rows = [s for s in range(shards) if cut[s + 1] > cut[s]]
-            raw = [_pack([*_narrow(context[cut[s] : cut[s + 1]]), *_narrow(word[cut[s] : cut[s + 1]]), times[cut[s] : cut[s + 1]].astype("<u4")]) for s in rows]
+            raw = [_pack_pairs(context[cut[s] : cut[s + 1]], word[cut[s] : cut[s + 1]], times[cut[s] : cut[s + 1]]) for s in rows]
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(raw, pa.binary())], names=["shard", "raw"])
 
         for batch in batches:
@@ -211,40 +230,50 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> Model:
 
     def merge_pairs(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        c_lo, c_hi, w_lo, w_hi, times = _unpack(table.column("raw").to_pylist(), _PAIR_KINDS)
-        context, word = (lo.astype(_U) | (hi.astype(_U) << _U(32)) for lo, hi in ((c_lo, c_hi), (w_lo, w_hi)))
+        context, word, times = _unpack_pairs(table.column("raw").to_pylist())
         key = _pair(context, word)
         order, first, (times,) = _sum(key, [times.astype(_U)])
-        key, context, word = key[order[first]], context[order[first]], word[order[first]]
+        order = order[first]
+        key, context, word = key[order], context[order], word[order]
         Folder(uri).write(f"pairs-{shard}", [key[times == 1], key[times > 1], np.minimum(times[times > 1], 0xFFFFFFFF).astype("<u4")])
-        zero = np.zeros(len(key), _U)
-        one = [(times == k).astype(_U) for k in (1, 2)]
+        totals = [int((times == k).sum()) for k in (1, 2, 3, 4)]
+        del key, order, first
         names = np.concatenate([word, context])
-        fields = [np.concatenate(x) for x in ((zero + _U(1), zero), (times, zero), (zero, one[0]), (zero, one[1]), (zero, (times > 2).astype(_U)), (zero, times))]
-        order, first, fields = _sum(names, fields)
-        names = names[order[first]]
+        n = len(word)
+        del context, word
+        order = np.argsort(names)
+        names = names[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+        back, order = order < n, order % max(n, 1)
+        fields = []
+        for kind, side, values in (("<u4", True, None), ("<u8", True, times), ("<u4", False, times == 1), ("<u4", False, times == 2), ("<u4", False, times > 2), ("<u8", False, times)):
+            x = (back == side).astype(_U) if values is None else np.where(back == side, values.astype(_U)[order], _U(0))
+            fields.append((np.add.reduceat(x, first) if len(first) else x).astype(kind))
+        names = names[first]
         cut = _split(names, BITS, shards)
         rows = [s for s in range(shards) if cut[s + 1] > cut[s]]
-        raw = [_pack([*_narrow(names[cut[s] : cut[s + 1]]), *(f[cut[s] : cut[s + 1]].astype(k) for f, k in zip(fields, _WORD_KINDS[2:], strict=True))]) for s in rows]
-        totals = [int((times == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"shard": pa.array([*rows, -1], pa.int32()), "raw": pa.array([*raw, b""], pa.binary()), "totals": pa.array([[]] * len(rows) + [totals], pa.list_(pa.int64()))})
+        raw = [zlib.compress(_pack([*_narrow(names[cut[s] : cut[s + 1]]), *(f[cut[s] : cut[s + 1]] for f in fields)]), 1) for s in rows]
+        return pa.table({"shard": pa.array([*rows, -1], pa.int32()), "raw": pa.array([*raw, np.array(totals, "<i8").tobytes()], pa.binary())})
 
     def merge_words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        lo, hi, *fields = _unpack(table.column("raw").to_pylist(), _WORD_KINDS)
-        names = lo.astype(_U) | (hi.astype(_U) << _U(32))
-        order, first, fields = _sum(names, [f.astype(_U) for f in fields])
-        names = names[order[first]]
-        Folder(uri).write(f"words-{shard}", [names, *(f.astype(k) for f, k in zip(fields, _WORD_KINDS[2:], strict=True))])
-        k, times = fields[0], fields[1]
-        totals = [int(times.sum()), int((times > 0).sum()), int(k.sum()), *(int((k == i).sum()) for i in (1, 2, 3, 4))]
+        raw = table.column("raw").to_pylist()
+        if shard < 0:
+            totals = np.sum([np.frombuffer(x, "<i8") for x in raw], axis=0).tolist() + [0] * 7
+        else:
+            lo, hi, *fields = _unpack([zlib.decompress(x) for x in raw], _WORD_KINDS)
+            names = lo.astype(_U) | (hi.astype(_U) << _U(32))
+            order, first, fields = _sum(names, [f.astype(_U) for f in fields])
+            names = names[order[first]]
+            Folder(uri).write(f"words-{shard}", [names, *(np.minimum(f, 0xFFFFFFFF).astype("<u4") if len(f) and f.max() <= 0xFFFFFFFF else f for f in fields)])
+            k, times = fields[0], fields[1]
+            totals = [0] * 4 + [int(times.sum()), int((times > 0).sum()), int(k.sum()), *(int((k == i).sum()) for i in (1, 2, 3, 4))]
         return pa.table({"totals": pa.array([totals], pa.list_(pa.int64()))})
 
-    merged = durable(texts.mapInArrow(count, "shard int, raw binary").groupBy("shard").applyInArrow(merge_pairs, "shard int, raw binary, totals array<long>"), "lm-words")
-    pair_counts = merged.where("shard = -1").agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(4)]).first()
-    total = merged.where("shard >= 0").select("shard", "raw").groupBy("shard").applyInArrow(merge_words, "totals array<long>")
-    t = total.agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(7)]).first()
-    return Model(uri, shards, t[0], t[1], t[2], tuple(pair_counts), tuple(t[3:]))
+    merged = texts.mapInArrow(count, "shard int, raw binary").groupBy("shard").applyInArrow(merge_pairs, "shard int, raw binary")
+    total = merged.groupBy("shard").applyInArrow(merge_words, "totals array<long>")
+    t = [int(x) for x in total.agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(11)]).first()]
+    return Model(uri, shards, t[4], t[5], t[6], tuple(t[:4]), tuple(t[7:]))
 
 
 class Scorer:
@@ -252,8 +281,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, folder = model, Folder(model.uri)
-        self.pairs = [folder.map(f"pairs-{s}", ("<u8", "<u8", "<u4")) for s in range(model.shards)]
-        self.words = [folder.map(f"words-{s}", ("<u8", *_WORD_KINDS[2:])) for s in range(model.shards)]
+        self.pairs = [folder.map(f"pairs-{s}") for s in range(model.shards)]
+        self.words = [folder.map(f"words-{s}") for s in range(model.shards)]
         self.pair_discount, self.word_discount = Model.discounts(model.pair_counts), Model.discounts(model.word_counts)
         n1, n2, _, _ = model.word_counts
         e = self.word_discount
