@@ -7,11 +7,9 @@
    Tokens are ordered from rare to common; two sets that share ``MATCHES`` tokens must share one
    among the rarest ``COORDINATES - MATCHES + 1`` of each, so only these prefixes are posted, and the
    long posting lists of passages that many texts share are skipped.
-3. Posting lists are merged against centres rather than as all pairs: each member is paired with a few
-   members of the list that all choose alike.  Signature collisions of these pairs are counted, pairs
-   under the threshold dropped, the rest verified on full sets, and the links joined to components.
-   What lists still hold in different components is then paired exactly, less the pairs that the
-   number of shingles a set shares with any other rules out, so no link is lost.
+3. Posting lists are merged against centres rather than as all pairs (see :mod:`kinweft.llm.linking`): signature
+   collisions of these pairs are counted, pairs under the threshold dropped, the rest verified on full sets, and
+   what lists still hold in different components is met exactly, so no link is lost.
 """
 
 from __future__ import annotations
@@ -20,19 +18,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweft.llm.components import components
+from kinweft.llm.linking import connect
 from kinweft.llm.shared import durable
 from kinweft.llm.textpack import constants, mix, sets
 
 COORDINATES = 32
 MATCHES = 12
-NUMERATOR, DENOMINATOR = 75, 100
-#: Bytes of shingles that one task of the last step holds of either side.
-QUESTION_BYTES, ANSWER_BYTES = 4 << 20, 16 << 20
 
 _XOR = constants(COORDINATES, 101)
 _ODD = constants(COORDINATES, 202) | np.uint64(1)
@@ -84,42 +80,6 @@ def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "cls binary, shingles binary")
 
 
-def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, counted exactly."""
-
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sides = pairs.join(full.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
-
-def _shared(full: DataFrame) -> DataFrame:
-    """(cls, m): how many shingles of each set occur in another of these sets."""
-
-    def explode(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(found), np.int32), batch.column(0).slice(i, 1)).cast(pa.binary()), pa.array(found)], names=["cls", "shingle"])
-
-    rows = full.mapInArrow(explode, "cls binary, shingle long")
-    twice = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
-    return rows.join(twice, "shingle", "left_semi").groupBy("cls").agg(F.count("*").alias("m"))
-
-
-def _near_in_size(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
-
-
 def links(docs: DataFrame, feats: DataFrame, text_col: str = "text") -> DataFrame | None:
     """Verified links between classes that connect everything a complete list of links would.
 
@@ -143,82 +103,7 @@ def links(docs: DataFrame, feats: DataFrame, text_col: str = "text") -> DataFram
         sides = pairs.join(sig.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a").join(sig.select(F.col("cls").alias("b"), F.col("tokens").alias("t")), "b")
         return sides.where(F.size(F.array_intersect("s", "t")) >= MATCHES).select("a", "b")
 
-    def around(lists: DataFrame, orders: list[Column]) -> DataFrame:
-        centres = lists.groupBy("token").agg(*[F.min(F.struct(o.alias("o"), "cls", "n")).alias(f"c{i}") for i, o in enumerate(orders)])
-        near = lists.join(centres, "token").select("cls", "n", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"c{i}.cls").alias("cls"), F.col(f"c{i}.n").alias("n")) for i in range(len(orders))]))).alias("c"))
-        near = near.where((F.col("c.cls") != F.col("cls")) & _near_in_size(F.col("n"), F.col("c.n")))
-        return near.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
-
-    def mixed(found: DataFrame) -> DataFrame:
-        """Postings of the lists that still hold several components, with the component."""
-        comp = components(found)
-        named = posted.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return durable(named.join(several, "token", "left_semi"), "mixed")
-
-    tried = durable(around(posted, [F.col("cls"), -F.xxhash64("cls")]), "pairs")
-    found = durable(_verify(collide(tried), full), "links")
-    lists = mixed(found)
-    if lists.isEmpty():
-        return found
-    more = durable(around(lists, [F.xxhash64(F.lit(i), "cls") for i in range(4)]).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = durable(found.unionByName(_verify(collide(more), full)), "links")
-    lists = mixed(found)
-    if lists.isEmpty():
-        return found
-    # a set overlaps with any other by at most the shingles that it shares with some candidate at all
-    members = lists.select("cls", "n", "component").distinct()
-    for _ in range(2):
-        shared = _shared(full.join(members, "cls", "left_semi"))
-        members = durable(members.drop("m").join(shared, "cls").where(F.col("m") * DENOMINATOR >= F.col("n") * NUMERATOR), "members")
-    lists = lists.select("token", "cls").join(members.select("cls"), "cls", "left_semi")
-    centres = lists.groupBy("token").agg(F.min("cls").alias("b"))
-    cluster = components(lists.join(centres, "token").select(F.col("cls").alias("a"), "b"))
-    rest = members.join(cluster.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls").select("cls", "component", "cluster")
-    return durable(found.unionByName(_across(durable(rest.join(full, "cls"), "rest"))), "links")
-
-
-def _across(rest: DataFrame) -> DataFrame:
-    """All links (a, b) between sets of one cluster and different components.
-
-    ``rest`` has (cls, component, cluster, shingles).  The sets outside a cluster's largest component are its
-    questions; all its sets are met by all its questions, in blocks of bounded bytes, each with an inverted
-    index of its questions' shingles.  Only links come out, never candidates.
-    """
-    sizes = rest.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    top = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("bytes").alias("all"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "component"))).alias("asked"))
-    cut = top.where("asked > 0").select("cluster", "largest", F.ceil(F.col("asked") / QUESTION_BYTES).cast("int").alias("blocks"), F.ceil(F.col("all") / ANSWER_BYTES).cast("int").alias("chunks"))
-    dealt = rest.join(cut, "cluster")
-
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    columns = ["cluster", "block", "chunk", "cls", "component", "shingles"]
-    asked = dealt.where("component <> largest").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("chunk", each("chunks")).select(*columns).toDF(*columns)
-    held = dealt.withColumn("chunk", F.expr("cast(pmod(xxhash64(cls), chunks) as int)")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, groups, raw = (left.column(c).to_pylist() for c in ("cls", "component", "shingles"))
-        size = np.array([len(x) // 8 for x in raw], np.int64)
-        flat = np.concatenate([np.frombuffer(x, np.uint64) for x in raw] or [np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(raw)), size)[order]
-        a, b = [], []
-        for name, group, text in zip(*(right.column(c).to_pylist() for c in ("cls", "component", "shingles")), strict=True):
-            mine = np.frombuffer(text, np.uint64)
-            lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-            some = hi > lo
-            lo, n = lo[some], (hi - lo)[some]
-            at = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
-            both = np.bincount(owner[at], minlength=len(raw))
-            for i in np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (size + len(mine) - both)):
-                if groups[i] != group:
-                    a.append(min(names[i], name))
-                    b.append(max(names[i], name))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    keys = ["cluster", "block", "chunk"]
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "a binary, b binary")
+    return connect(posted, full, collide)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
