@@ -1,81 +1,144 @@
-"""Repeated passages by MinHash banding of paragraphs.
-
-A paragraph is a line (texts are split at ``\\n``) of at least ``MIN_WORDS`` words.  Its five-word shingles give a
-signature of ``BANDS`` bands of ``ROWS`` minima; two paragraphs of similarity 0.75 miss each other in all bands with
-a chance of 2e-5.  Paragraphs that collide are verified on their full sets and clustered by components; of each
-cluster the first paragraph, by document id and place, is kept and the others are removals.
+"""Repeated passages: MinHash banding of paragraphs, and runs of words that recur verbatim anywhere in a text.
+
+A paragraph is a line (texts are split at ``\\n``) of at least ``MIN_WORDS`` words, or neighbouring shorter lines
+that have so many together.  Its five-word shingles give a signature of ``BANDS`` bands of ``ROWS`` minima; two
+paragraphs of similarity 0.75 miss each other in all bands with a chance of 2e-5.  Paragraphs that collide are
+verified on their full sets and clustered by components; of each cluster the first paragraph, by document id and
+place, is kept and the others are removals.
+
+Runs have nothing to do with lines.  Of every ``SPREAD`` neighbouring windows of ``RUN`` words the one of least hash
+is a unit, so two texts that share ``RUN + SPREAD - 1`` words (50) share a unit, wherever these words stand in
+either; runs of ``RUN`` words or more may.  Units are equal or not: there is no candidate step.  Of each unit the
+first occurrence is kept, one outside removed paragraphs if there is any.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweft.llm.components import components
 from kinweft.llm.linking import connect
 from kinweft.llm.shared import durable
-from kinweft.llm.textpack import blocks, constants, mix, shingles, words
+from kinweft.llm.textpack import WIDTH, blocks, constants, mix, shingles, windows, words
 
 MIN_WORDS = 40
 BANDS, ROWS = 20, 3
+#: Words of a verbatim unit, and of how many neighbouring ones one is taken.
+RUN, SPREAD = 41, 10
+#: Shingles whose minima are taken at once.
+_MOST = 1 << 16
 
 _XOR = constants(BANDS * ROWS, 404)
 _ODD = constants(BANDS * ROWS, 505) | np.uint64(1)
 _BAND = constants(BANDS, 606)
 
-FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
+FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
+#: ``at`` is the number of the unit's first word, shifted by 32 bits, and of the line it stands in.
+UNITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("at", T.ArrayType(T.LongType(), False)), T.StructField("units", T.ArrayType(T.LongType(), False))])
 
 
 def bands(found: np.ndarray) -> np.ndarray:
     """The band keys of a non-empty set of shingle hashes."""
     with np.errstate(over="ignore"):
-        low = ((found[None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1).reshape(BANDS, ROWS)
+        parts = [((found[None, i : i + _MOST] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1) for i in range(0, len(found), _MOST)]
+        low = np.minimum.reduce(parts).reshape(BANDS, ROWS)
         key = _BAND.copy()
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
         return key
 
 
+class _Lines:
+    """The words of a block of texts, and the lines that they stand in."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        # texts cut at newlines: each line is a text of its own, and begins with its newline
+        self.offs, self.ends = offs, np.flatnonzero(buf == 10)
+        self.cuts = np.unique(np.concatenate([offs, self.ends]))
+        self.words, self.at = words(buf, self.cuts)
+        self.first = self.at[np.searchsorted(self.cuts, offs)]
+
+    def place(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, number of the line in it) of words of the block."""
+        doc = np.searchsorted(self.first, word, "right") - 1
+        cut = self.cuts[np.searchsorted(self.at, word, "right") - 1]
+        return doc, np.searchsorted(self.ends, cut, "right") - np.searchsorted(self.ends, self.offs[doc])
+
+
 def _paragraphs(column: pa.Array):
-    """(row, paragraph number, shingle set) of every paragraph long enough."""
+    """(row, paragraph number, first word, words, shingle set) of every paragraph long enough."""
     for first, _, buf, offs in blocks(column):
-        # texts cut at newlines: each line is a text of its own
-        ends = np.flatnonzero(buf == 10)
-        cuts = np.unique(np.concatenate([offs, ends]))
-        h, at = words(buf, cuts)
-        long = np.flatnonzero(np.diff(at) >= MIN_WORDS)
-        s, to = shingles(h, at)
-        doc = np.searchsorted(offs, cuts[long], "right") - 1
-        lines = np.searchsorted(ends, np.maximum(cuts[long], offs[doc]), "right")
-        before = np.searchsorted(ends, offs[doc])
-        # a line begins after its newline, which its cut still holds
-        starts_at_newline = np.isin(cuts[long], ends)
-        number = lines - before
-        number[~starts_at_newline] = 0
+        lines = _Lines(buf, offs)
+        # short lines stay with short neighbours
+        short = np.diff(lines.at) < MIN_WORDS
+        own = np.isin(lines.cuts, offs)
+        own[:-1] |= ~short
+        own[1:] |= ~short
+        at = lines.at[own]
+        n = np.diff(at)
+        long = np.flatnonzero(n >= MIN_WORDS)
+        s, to = shingles(lines.words, at)
+        doc, number = lines.place(at[long])
         for k, d, p in zip(long, doc, number, strict=True):
-            yield first + int(d), int(p), np.unique(s[to[k] : to[k + 1]])
+            yield first + int(d), int(p), int(at[k] - lines.first[d]), int(n[k]), np.unique(s[to[k] : to[k + 1]])
+
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, at, units) of every text of ``RUN`` words or more: its verbatim units and where they begin."""
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def run(batches):
+        for batch in batches:
+            for first, _, buf, offs in blocks(batch.column(2)):
+                lines = _Lines(buf, offs)
+                h = windows(lines.words, RUN)
+                start = np.arange(len(h))
+                doc = np.searchsorted(lines.first, start, "right") - 1
+                last = lines.first[doc + 1] - RUN
+                inside = start <= last
+                h[~inside] = most
+                least, chosen = h.copy(), start.copy()
+                for k in range(1, min(SPREAD, len(h))):
+                    better = h[k:] <= least[:-k]
+                    least[:-k][better] = h[k:][better]
+                    chosen[:-k][better] = start[k:][better]
+                # all of a text of fewer windows are one group
+                chosen = np.unique(chosen[inside & ((start + SPREAD - 1 <= last) | (start == lines.first[doc]))])
+                doc, number = lines.place(chosen)
+                rows, n = np.unique(doc, return_counts=True)
+                to = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                at = ((chosen - lines.first[doc]) << 32) | number
+                taken = pa.array(rows + first, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.ListArray.from_arrays(to, pa.array(at, pa.int64())), pa.ListArray.from_arrays(to, pa.array(h[chosen].view(np.int64)))], names=[f.name for f in UNITS])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, UNITS)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, paragraph, n, cls, bands) of every long paragraph; ``cls`` is a digest of its shingle set."""
+    """(id, text_key, paragraph, start_word, n_words, n, cls, bands) of every long paragraph; ``cls`` is a digest of its shingle set."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            rows, number, n, cls, flat = [], [], [], [], []
-            for row, p, s in _paragraphs(batch.column(2)):
+            rows, number, start, long, n, cls, flat = [], [], [], [], [], [], []
+            for row, p, w, m, s in _paragraphs(batch.column(2)):
                 rows.append(row)
                 number.append(p)
+                start.append(w)
+                long.append(m)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                 flat.append(bands(s).view(np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], names=[f.name for f in FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(long, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], names=[f.name for f in FEATURES])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, FEATURES)
 
@@ -85,20 +148,14 @@ def _sets(docs: DataFrame, text_col: str) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            raw = [s.tobytes() for _, _, s in _paragraphs(batch.column(0))]
+            raw = [s.tobytes() for *_, s in _paragraphs(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "cls binary, shingles binary")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_key, paragraph, n_shingles, cluster_id, occurrences, kept): paragraphs that occur twice or more.
-
-    ``paragraph`` is the number of the line in its text, from 0; ``cluster_id`` the smallest document id in the
-    cluster.  ``kept`` marks the first of each cluster, by id (nulls last), text and place.  Null and empty texts have
-    no paragraphs.  Rows with the same id and text count as occurrences each, but share their fate.  Other columns
-    are ignored.
-    """
+def _paragraph_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs that occur twice or more, as ``repeats`` has them."""
     feats = durable(features(docs, id_col, text_col), "paragraphs")
     classes = feats.groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key"), F.count("*").alias("copies"))
     classes = durable(classes, "paragraph-classes")
@@ -119,13 +176,76 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "paragraph")
     first = rows.groupBy("component").agg(F.min(place).alias("first"), F.min("id").alias("cluster_id"))
     made = rows.join(first, "component")
-    return made.select(F.col("id").alias(id_col), "text_key", "paragraph", F.col("n").alias("n_shingles"), "cluster_id", "occurrences", (place == F.col("first")).alias("kept"))
+    return made.select("id", "text_key", "paragraph", "start_word", "n_words", F.col("n").alias("n_shingles"), "cluster_id", "occurrences", (place == F.col("first")).alias("kept"))
+
+
+def _run_repeats(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Runs that occur twice or more, as ``repeats`` has them, but for those in paragraphs that are ``removed``."""
+    found = durable(units(docs, id_col, text_col), "units")
+    several = durable(found.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("occurrences")).where("occurrences > 1"), "repeated-units")
+    spans = removed.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("stop"))).alias("spans"))
+    dealt = found.join(spans, (F.col("text_key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")), "left")
+    start = F.shiftright("at", 32)
+    each = dealt.select("id", "text_key", "spans", F.explode(F.arrays_zip("at", "units")).alias("x")).select("id", "text_key", F.col("x.at").alias("at"), F.col("x.units").alias("unit"), "spans")
+    gone = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= start) & (start + RUN <= s["stop"])), F.lit(False))
+    seen = durable(each.select("id", "text_key", "at", "unit", gone.alias("gone")).join(several, "unit"), "unit-repeats")
+    place = F.struct("gone", F.col("id").isNull().alias("none"), "id", "text_key", "at")
+    first = seen.groupBy("unit").agg(F.min(place).alias("first"), F.min("id").alias("cluster_id"))
+    rows = seen.join(first, "unit").select("id", "text_key", "at", "gone", "cluster_id", "occurrences", (place == F.col("first")).alias("kept"))
+    # rows with the same id and text have the same units
+    rows = rows.groupBy("id", "text_key", "at").agg(F.count("*").alias("copies"), F.first("gone").alias("gone"), F.first("cluster_id").alias("cluster_id"), F.first("occurrences").alias("occurrences"), F.first("kept").alias("kept"))
+    w = Window.partitionBy("id", "text_key").orderBy("at")
+    apart = F.coalesce((F.lag("kept").over(w) != F.col("kept")) | (start > F.lag(start).over(w) + RUN), F.lit(True))
+    spans = rows.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(w))
+    spans = spans.groupBy("id", "text_key", "span").agg(F.min("at").alias("at"), F.max(start).alias("stop"), F.min("cluster_id").alias("cluster_id"), F.max("occurrences").alias("occurrences"), F.first("kept").alias("kept"), F.max("copies").alias("copies"), F.min("gone").alias("gone"))
+    n = F.col("stop") + RUN - start
+    made = spans.where("kept or not gone").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return made.select("id", "text_key", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("paragraph"), start.alias("start_word"), n.alias("n_words"), (n - (WIDTH - 1)).alias("n_shingles"), "cluster_id", "occurrences", "kept")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_key, paragraph, start_word, n_words, n_shingles, cluster_id, occurrences, kept): repeated passages.
+
+    A passage is a paragraph or a run of neighbouring units.  ``paragraph`` is the number of the line that it begins
+    in, from 0, ``start_word`` that of its first word in the text; ``cluster_id`` the smallest document id in the
+    cluster, or where a unit of the run occurs; ``occurrences`` those of the cluster, or of the run's commonest
+    unit.  ``kept`` marks the first of each, by id (nulls last), text and place.  A run is given by its units, so
+    of the words shared up to ``SPREAD - 1`` at either end may be left out.  Null and empty texts have no passages.
+    Rows with the same id and text count as occurrences each, but share their fate.  Other columns are ignored.
+    """
+    paragraphs = durable(_paragraph_repeats(docs, id_col, text_col), "paragraph-rows")
+    runs = _run_repeats(docs, paragraphs.where("not kept"), id_col, text_col)
+    return paragraphs.unionByName(runs).withColumnRenamed("id", id_col)
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _without(text: str | None, spans: list | None) -> str | None:
+    """``text`` without the words of ``spans`` (first, number), and without lines of which no word is left."""
+    if text is None or not spans:
+        return text
+    gone: set[int] = set()
+    for first, n in spans:
+        gone.update(range(first, first + n))
+    out, k = [], 0
+    for line in text.split("\n"):
+        found = list(_WORD.finditer(line))
+        drop = [k + i in gone for i in range(len(found))]
+        k += len(found)
+        if not any(drop):
+            out.append(line)
+        elif not all(drop):
+            # a word goes with the white space before it, the first of a line with that after it
+            edges = [0, *(m.end() for m in found)]
+            left = "".join(line[edges[i] : m.end()] for i, m in enumerate(found) if not drop[i]) + line[edges[-1] :]
+            out.append(left.lstrip(" \t\v\f\r") if drop[0] else left)
+    return "\n".join(out)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every repeated paragraph taken out of its text, but for the first of each cluster."""
-    gone = repeats(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("paragraph").alias("__gone"))
+    """``docs`` with every repeated passage taken out of its text, but for the first of each."""
+    gone = repeats(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("__gone"))
     named = docs.withColumn("__text_key", F.xxhash64(text_col))
     both = named.join(gone, (F.col("__text_key") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).drop("__text_key", "__id", "__key", "__gone")
+    return both.withColumn(text_col, F.udf(_without, "string")(text_col, "__gone")).drop("__text_key", "__id", "__key", "__gone")

@@ -127,6 +127,18 @@ def shingles(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, to
 
 
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words of a block, by first word; runs may cross the ends of texts."""
+    n = len(h)
+    if n < width:
+        return np.zeros(0, _U)
+    up, down = _power(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, _U)
+        np.cumsum(h * up[:n], out=sums[1:])
+        return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+
+
 def sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a column, in order."""
     for _, _, buf, offs in blocks(column):

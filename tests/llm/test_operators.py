@@ -116,6 +116,38 @@ def test_repeated_passages(docs):
     assert left[1] == BASE and left[11] == "" and left[4] is None
 
 
+def test_repeated_passages_anywhere_in_a_text(spark):
+    def own(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    shared, split, short = own("s", 50), own("t", 160), own("u", 40)
+    broken = [split[i:j] for i, j in ((0, 17), (17, 48), (48, 79), (79, 110), (110, 141), (141, 155), (155, 160))]
+    rows = [
+        (1, " ".join(own("a", 58) + shared + own("b", 27))), (2, " ".join(own("c", 7)) + "\n" + " ".join(own("d", 31) + [x.upper() for x in shared] + own("e", 90))),
+        (3, "\n".join(map(" ".join, broken))), (4, " ".join(own("f", 30) + split + own("g", 300))), (5, " ".join(own("h", 90) + short)), (6, " ".join(short + own("i", 90))),
+        (7, "\n".join(" ".join(own(f"j{k}_", 20)) for k in range(9))), (8, "\n".join(" ".join(own(f"j{k}_", 20)) for k in range(1, 9)) + "\nother words"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = paragraph_dedup.repeats(docs).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(1, True), (2, False), (3, True), (4, False), (7, True), (8, False)}
+    assert {r.doc_id: r.paragraph for r in got if r.doc_id in (1, 2)} == {1: 0, 2: 1} and all(r.occurrences == 2 for r in got)
+    for r in got:
+        inside = WORD.findall(low(rows[r.doc_id - 1][1]))[r.start_word : r.start_word + r.n_words]
+        assert r.n_words >= paragraph_dedup.RUN and (r.doc_id > 4 or set(inside) <= set(shared + split))
+    left = {r.doc_id: r.text for r in paragraph_dedup.drop_repeats(docs).collect()}
+    assert all(left[i] == rows[i - 1][1] for i in (1, 3, 5, 6, 7))
+    assert len(set(WORD.findall(low(left[2]))) & set(shared)) <= 9 and set(own("c", 7) + own("d", 31) + own("e", 90)) <= set(WORD.findall(left[2]))
+    assert len(set(WORD.findall(left[4])) & set(split)) <= 18 and set(own("f", 30) + own("g", 300)) <= set(WORD.findall(left[4]))
+
+
+def test_two_texts_that_share_fifty_words_share_a_unit(spark):
+    rng = np.random.default_rng(3)
+    shared = [f"s{i}" for i in range(50)]
+    rows = [(i, " ".join([f"p{i}_{k}" for k in range(int(rng.integers(0, 80)))] + shared + [f"q{i}_{k}" for k in range(int(rng.integers(0, 80)))])) for i in range(60)]
+    found = paragraph_dedup.units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 60 and set.intersection(*(set(r.units) for r in found))
+
+
 def test_wrapper_takes_what_is_constant_and_roles_take_the_rest(spark):
     page = "<html><body><div id=top><ul><li>Home<li>About</ul></div><div>Same line</div><div class=text><p>Story {0} &amp; <i>mo</i>re<p>Second   {0}</div><div class='comments'><p>nice</div><aside>side</aside></body></html>"
     rows = [(i, "http://a.example/x", page.format(i)) for i in range(5)] + [(9, None, None), (10, "bad url", "<article><h1>T</h1><p>one<br>two<script>x</script></article><footer>f</footer>"), (11, "http://a.example/", "")]
