@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -71,7 +70,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     """
     table = durable(pieces(docs, tokenizer, text_col), "pieces")
     top = table.orderBy(F.desc("freq"), "key").limit(COMMON).select("unit", "pieces").toArrow()
-    common = docs.sparkSession.sparkContext.broadcast((top.column("unit").to_pylist(), top.column("pieces").to_numpy().astype(np.uint16).tolist()))
+    common = docs.sparkSession.sparkContext.broadcast((top.column("unit").to_pylist(), top.column("pieces").to_pylist()))
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

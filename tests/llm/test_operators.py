@@ -237,6 +237,17 @@ def test_units_give_the_ids_of_the_whole_text(text):
     assert (counts.whole(text) if units is None else sum(counts.counts(units))) == counts.whole(text)
 
 
+def test_token_counts_of_unbroken_texts(spark, monkeypatch):
+    texts = ["q7" * 50000, "\u4e2d\u6587" * 40000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = tokenization.load("word_bpe_49k.json")
+    want = {i: (len(whole.encode(t, add_special_tokens=False).ids), True) for i, t in enumerate(texts)}
+    assert all(n > 65535 for n, _ in want.values())
+    assert {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts.token_counts(rows, "word_bpe_49k.json", 65000).collect()} == want
+    monkeypatch.setattr(token_counts, "COMMON", 1)
+    assert {r.doc_id: (r.n_tokens, r.over_limit) for r in token_counts.token_counts(rows, "word_bpe_49k.json", 65000).collect()} == want
+
+
 def test_token_counts(docs):
     whole = tokenization.load("word_bpe_49k.json")
     want = Counter((d, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for d, t in DOCS)
