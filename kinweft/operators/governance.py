@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from kinweft import schemas
 from kinweft.config import ConfigError
 from kinweft.functions.digest import camel, canonical_json, json_object, json_value, scoped_id, sha256, sha256_hex
+from kinweft.session import shared_dir
 
 CLAIMS = {"identity_claim": "identity_claim_id", "organization_claim": "organization_claim_id", "employment_claim": "employment_claim_id"}
 
@@ -107,13 +110,16 @@ def audit_event(workspace: str, sequence: int, previous: str | None, event: tupl
     return body | {"audit_event_id": scoped_id(workspace, "audit_event", {"sequence": sequence, "hash": digest}), "hash": digest}
 
 
-def chain(events: Iterable[tuple], workspace: str, after: dict[str, Any] | None = None) -> list[dict[str, Any]]:
+def chained(events: Iterable[tuple], workspace: str, after: dict[str, Any] | None = None) -> Iterator[dict[str, Any]]:
     """Events appended to a chain, one after another: a chain is serial by nature."""
-    made, last = [], after
+    last = after
     for e in events:
         last = audit_event(workspace, (last["sequence"] if last else 0) + 1, last["hash"] if last else None, e)
-        made.append(last)
-    return made
+        yield last
+
+
+def chain(events: Iterable[tuple], workspace: str, after: dict[str, Any] | None = None) -> list[dict[str, Any]]:
+    return list(chained(events, workspace, after))
 
 
 def audit_frame(spark: SparkSession, events: list[dict[str, Any]]) -> DataFrame:
@@ -121,6 +127,15 @@ def audit_frame(spark: SparkSession, events: list[dict[str, Any]]) -> DataFrame:
     return spark.createDataFrame([tuple(e[c] for c in kind.names) for e in events], kind)
 
 
+def staged_audit_frame(spark: SparkSession, events: Iterable[dict[str, Any]], block: int = 10_000) -> DataFrame:
+    """Any number of events, written to the shared folder in blocks: the driver holds one block at a time."""
+    path, rest = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex[:12]}", iter(events)
+    audit_frame(spark, []).write.parquet(path)
+    while some := list(islice(rest, block)):
+        audit_frame(spark, some).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schemas.schema("audit_event")).parquet(path)
+
+
 def first_break(events: DataFrame) -> DataFrame:
     """(workspace_id, events, first_index, reason): where each workspace's chain breaks first; null where it holds.
 

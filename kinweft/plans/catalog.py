@@ -258,9 +258,9 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of all consents' grants, and the first event at which it breaks after one was changed."""
     consents = workload.tables(spark, sf_dir)["consent"].select(F.col("consent_record_id").alias("id")).orderBy("id")
-    events = governance.chain([("consent.granted", "actor", workload.CLOCK, "consent", r["id"], {"id": r["id"]}) for r in consents.limit(50).collect()], workload.WORKSPACE)
-    changed = [e | ({"actor_id": "someone"} if e["sequence"] == 20 else {}) for e in events]
-    return governance.first_break(governance.audit_frame(spark, changed))
+    granted = (("consent.granted", "actor", workload.CLOCK, "consent", r["id"], {"id": r["id"]}) for r in consents.toLocalIterator())
+    changed = (e | ({"actor_id": "someone"} if e["sequence"] == 20 else {}) for e in governance.chained(granted, workload.WORKSPACE))
+    return governance.first_break(governance.staged_audit_frame(spark, changed))
 
 
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 
 from kinweft.config import ConfigError
 from kinweft.operators import display, evaluate, governance
+from kinweft.plans import catalog, workload
 from kinweft.sources import demo
 
 RUN = "audit_run_5357dc8b84bf9d34cb9df2f1e3b945a8"
@@ -66,3 +67,12 @@ def test_audit_chain_breaks_where_it_was_changed(spark):
     broken = governance.first_break(governance.audit_frame(spark, changed)).first()
     assert (broken["first_index"], broken["reason"]) == (2, "event hash mismatch")
     assert governance.first_break(governance.audit_frame(spark, events[1:])).first()["reason"] == "sequence gap"
+
+
+def test_audit_chain_verify_has_all_consents(spark):
+    found = catalog.audit_chain_verify(spark, "/root/testdata/sf0.01").collect()
+    assert [(r["events"], r["first_index"], r["reason"]) for r in found] == [(workload.tables(spark, "/root/testdata/sf0.01")["consent"].count(), 19, "event hash mismatch")]
+    assert found[0]["events"] == 100
+    events = governance.chain([("kind", "actor", demo.CLOCK, "thing", str(i), {"i": i}) for i in range(7)], "w")
+    staged = governance.staged_audit_frame(spark, iter(events), block=3)
+    assert staged.count() == 7 and governance.first_break(staged).first()["first_index"] is None
