@@ -148,6 +148,14 @@ def test_two_texts_that_share_fifty_words_share_a_unit(spark):
     assert len(found) == 60 and set.intersection(*(set(r.units) for r in found))
 
 
+def test_marked_pages_have_no_say_in_the_template_of_the_others(spark):
+    plain = "<html><body><div class=top><p>Menu line</div><div class=text><p>Story {0}</div></body></html>"
+    marked = "<html><body><article><p>Marked {0}</article></body></html>"
+    rows = [(i, "http://a.example/x", plain.format(i)) for i in range(6)] + [(i, "http://a.example/x", marked.format(i)) for i in range(6, 12)]
+    got = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" if i < 6 else f"Marked {i}" for i in range(12)}
+
+
 def test_wrapper_takes_what_is_constant_and_roles_take_the_rest(spark):
     page = "<html><body><div id=top><ul><li>Home<li>About</ul></div><div>Same line</div><div class=text><p>Story {0} &amp; <i>mo</i>re<p>Second   {0}</div><div class='comments'><p>nice</div><aside>side</aside></body></html>"
     rows = [(i, "http://a.example/x", page.format(i)) for i in range(5)] + [(9, None, None), (10, "bad url", "<article><h1>T</h1><p>one<br>two<script>x</script></article><footer>f</footer>"), (11, "http://a.example/", "")]
