@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, map_arrow
 from kinweft.llm.textpack import blocks, mix, sets, shingles, words
 
 NUMERATOR, DENOMINATOR = 75, 100
@@ -110,7 +110,7 @@ def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "te
             raw = [s.tobytes() for s in sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["item", "shingles"])
 
-    made = items.select(F.col(item_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "item long, shingles binary").where("length(shingles) > 0").distinct()
+    made = map_arrow(items.select(F.col(item_col).cast("long"), F.col(text_col).cast("binary")), run, "item long, shingles binary").where("length(shingles) > 0").distinct()
     made = durable(made, "items")
     size = made.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
@@ -145,7 +145,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                         both.append(shared)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, found, size, both)], names=["a", "b", "c", "d"])
 
-        part = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, f"`{id_col}` long, `{item_col}` long, n_item_shingles long, n_shared long")
+        part = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, f"`{id_col}` long, `{item_col}` long, n_item_shingles long, n_shared long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"`{id_col}` long, `{item_col}` long, n_item_shingles long, n_shared long")
@@ -165,5 +165,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.llm.shared import new_path
+from kinweft.llm.shared import map_arrow, new_path
 from kinweft.llm.textpack import blocks, mix, words
 
 _U = np.uint64
@@ -270,7 +270,7 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> Model:
             totals = [0] * 4 + [int(times.sum()), int((times > 0).sum()), int(k.sum()), *(int((k == i).sum()) for i in (1, 2, 3, 4))]
         return pa.table({"totals": pa.array([totals], pa.list_(pa.int64()))})
 
-    merged = texts.mapInArrow(count, "shard int, raw binary").groupBy("shard").applyInArrow(merge_pairs, "shard int, raw binary")
+    merged = map_arrow(texts, count, "shard int, raw binary").groupBy("shard").applyInArrow(merge_pairs, "shard int, raw binary")
     total = merged.groupBy("shard").applyInArrow(merge_words, "totals array<long>")
     t = [int(x) for x in total.agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(11)]).first()]
     return Model(uri, shards, t[4], t[5], t[6], tuple(t[:4]), tuple(t[7:]))
@@ -350,4 +350,4 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(batch.num_rows, model.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=names)
 
     rows = docs.select(F.col(id_col).cast("long"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary"))
-    return rows.mapInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return map_arrow(rows, run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

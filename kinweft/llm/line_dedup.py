@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, map_arrow
 
 MIN_DOCS = 10
 KEYS_PER_SHARD = 200_000
@@ -135,7 +135,7 @@ def reference_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "key binary, refs long").groupBy("key").agg(F.sum("refs").alias("refs"))
+    return map_arrow(docs.select(F.col(text_col).cast("binary")), run, "key binary, refs long").groupBy("key").agg(F.sum("refs").alias("refs"))
 
 
 def update_counts(table: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None, text_col: str = "text") -> DataFrame:
@@ -214,7 +214,7 @@ def drop_common_lines(docs: DataFrame, table: DataFrame | None = None, text_col:
             hit = found.contains(batch.column(0).to_pylist())
             yield batch.filter(pa.array(hit, pa.bool_()))
 
-    wrong = durable(table.where(F.col("refs") < min_docs).select("key").mapInArrow(probe, "key binary"), "line-false")
+    wrong = durable(map_arrow(table.where(F.col("refs") < min_docs).select("key"), probe, "key binary"), "line-false")
     if wrong.count() > BROADCAST_KEYS:
         return _drop_joined(docs, table, text_col, min_docs)
     rare = context.broadcast({r[0] for r in wrong.collect()})
@@ -245,7 +245,7 @@ def drop_common_lines(docs: DataFrame, table: DataFrame | None = None, text_col:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[f"c{k}" for k in range(len(cols) + 2)])
 
     made = docs.select(*[F.col(f"`{c}`").cast("binary") if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-    return _named(made.mapInArrow(run, _numbered(docs.schema, at)), docs.columns, at)
+    return _named(map_arrow(made, run, _numbered(docs.schema, at)), docs.columns, at)
 
 
 def _drop_joined(docs: DataFrame, table: DataFrame, text_col: str, min_docs: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _drop_joined(docs: DataFrame, table: DataFrame, text_col: str, min_docs: int
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary())], names=["text_key", "key"])
 
     named = docs.withColumn("__text_key", F.xxhash64(text_col))
-    lines = named.select("__text_key", F.col(text_col).cast("binary")).mapInArrow(explode, "text_key long, key binary").distinct()
+    lines = map_arrow(named.select("__text_key", F.col(text_col).cast("binary")), explode, "text_key long, key binary").distinct()
     gone = lines.join(table.where(F.col("refs") >= min_docs).select("key"), "key", "left_semi").groupBy("text_key").agg(F.collect_list("key").alias("__gone"))
     both = named.join(gone.withColumnRenamed("text_key", "__text_key"), "__text_key", "left")
     at, last = docs.columns.index(text_col), len(docs.columns)
@@ -280,4 +280,4 @@ def _drop_joined(docs: DataFrame, table: DataFrame, text_col: str, min_docs: int
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[f"c{k}" for k in range(last + 2)])
 
     made = both.select(*[F.col(f"`{c}`").cast("binary") if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__gone")
-    return _named(made.mapInArrow(run, _numbered(docs.schema, at)), docs.columns, at)
+    return _named(map_arrow(made, run, _numbered(docs.schema, at)), docs.columns, at)

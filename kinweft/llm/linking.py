@@ -1,9 +1,11 @@
 """Links between shingle sets from posting lists, enough for components, without all pairs of a list.
 
 A posting list holds sets that may be similar.  Its members are first compared with a few members that all of
-them choose alike; what is verified is joined to components, and lists within one component are done.  Sets in
-lists of several components are met exactly, in blocks, less those that share too few shingles with any other
-set to be similar to it.  The links found connect everything that all links would connect.
+them choose alike; what is verified is joined to components, and lists within one component are done.  The sets
+of the other lists are posted again, under the rarest of their own shingles: two similar sets share one of these,
+while passages that many texts have in common are skipped.  The new lists are asked in rounds, a few members of
+each against the rest, until each lies within one component or all its members were asked.  The links found
+connect everything that all links would connect.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweft.llm.components import components
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, map_arrow
 
 #: The similarity of a link: intersection over union, in hundredths.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Bytes of shingles that one task of the last step holds of either side.
-QUESTION_BYTES, ANSWER_BYTES = 4 << 20, 16 << 20
+#: Members of a list that are asked in the first round, and how many times more in each further one.
+ASKED, MORE = 8, 8
 
 
 def connect(posted: DataFrame, full: DataFrame, collide: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
@@ -32,18 +34,29 @@ def connect(posted: DataFrame, full: DataFrame, collide: Callable[[DataFrame], D
     """
     pairs = _around(posted, [F.col("cls"), *(F.xxhash64(F.lit(i), "cls") for i in range(3))])
     found = durable(_verify(collide(pairs), full), "links")
-    lists = _mixed(posted, found)
-    if lists.isEmpty():
+    known = components(found).select(F.col("node").alias("cls"), "component")
+    named = posted.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    members = durable(_mixed(named, "token").select("cls", "n", "component").distinct(), "members")
+    if members.isEmpty():
         return found
-    # a set overlaps with any other by at most the shingles that it shares with some candidate at all
-    members = lists.select("cls", "n", "component").distinct()
-    shared = _shared(full.join(members, "cls", "left_semi"))
-    members = durable(members.join(shared, "cls").where(F.col("m") * DENOMINATOR >= F.col("n") * NUMERATOR).drop("m"), "members")
-    lists = lists.select("token", "cls").join(members.select("cls"), "cls", "left_semi")
-    centres = lists.groupBy("token").agg(F.min("cls").alias("b"))
-    cluster = components(lists.join(centres, "token").select(F.col("cls").alias("a"), "b"))
-    rest = members.join(cluster.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls").select("cls", "component", "cluster")
-    return durable(found.unionByName(_across(durable(rest.join(full, "cls"), "rest"))), "links")
+    lists = durable(_rarest(members, full), "lists")
+    asked = ASKED
+    while True:
+        lists = durable(_mixed(lists, "token"), "lists")
+        if lists.isEmpty():
+            return found
+        size = durable(lists.groupBy("token").agg(F.count("*").alias("size")), "sizes")
+        # the members asked in this round: all of a short list, a few of a long one, chosen by hash
+        chance = F.pmod(F.xxhash64("token", "cls"), F.lit(1 << 20)) * F.col("size") < F.lit(asked << 20)
+        lists = durable(lists.join(size, "token").select("token", "cls", "n", "at", "component", chance.alias("asked")), "lists")
+        links = durable(_verify(collide(_ask(lists)), full), "links")
+        found = found.unionByName(links)
+        lists = lists.where("not asked").drop("asked")
+        joined = links.join(members.select(F.col("cls").alias("a"), F.col("component").alias("x")), "a").join(members.select(F.col("cls").alias("b"), F.col("component").alias("y")), "b")
+        moved = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        members, lists = (df.join(moved, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to") for df in (members, lists))
+        members = durable(members, "members")
+        asked *= MORE
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -52,7 +65,8 @@ def _near_in_size(a: Column, b: Column) -> Column:
 
 def _around(lists: DataFrame, orders: list[Column]) -> DataFrame:
     """Pairs (a, b) of each member of a list with the list's smallest member in each order."""
-    centres = lists.groupBy("token").agg(*[F.min(F.struct(o.alias("o"), "cls", "n")).alias(f"c{i}") for i, o in enumerate(orders)])
+    # written, so that the rows of a hot token can be dealt to several tasks of the join
+    centres = durable(lists.groupBy("token").agg(*[F.min(F.struct(o.alias("o"), "cls", "n")).alias(f"c{i}") for i, o in enumerate(orders)]), "centres")
     chosen = F.array_distinct(F.array(*[F.struct(F.col(f"c{i}.cls").alias("cls"), F.col(f"c{i}.n").alias("n")) for i in range(len(orders))]))
     near = lists.join(centres, "token").select("cls", "n", F.explode(chosen).alias("c"))
     near = near.where((F.col("c.cls") != F.col("cls")) & _near_in_size(F.col("n"), F.col("c.n")))
@@ -74,19 +88,22 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sides = pairs.join(full.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return map_arrow(sides.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
-def _mixed(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """(cls, token, n, component) of the lists that still hold several components."""
-    comp = components(found)
-    named = posted.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return durable(named.join(several, "token", "left_semi"), "mixed")
+def _mixed(named: DataFrame, key: str) -> DataFrame:
+    """The rows of the lists that hold several components."""
+    several = durable(named.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(key), "mixed")
+    return named.join(several, key, "left_semi")
 
 
-def _shared(full: DataFrame) -> DataFrame:
-    """(cls, m): how many shingles of each set occur in another of these sets."""
+def _rarest(members: DataFrame, full: DataFrame) -> DataFrame:
+    """(token, cls, n, at, component): each set under its rarest shingles that another of ``members`` has too.
+
+    ``at`` is the shingle's place in the set, in the order from rare to common.  Of two sets that are similar
+    enough each has at most a share ``1 - NUMERATOR / DENOMINATOR`` of shingles that the other lacks, so they share
+    one of that many and one more; and a set with more shingles of its own alone is similar to no other.
+    """
 
     def explode(batches):
         for batch in batches:
@@ -95,49 +112,22 @@ def _shared(full: DataFrame) -> DataFrame:
                 name = pa.DictionaryArray.from_arrays(np.zeros(len(found), np.int32), batch.column(0).slice(i, 1))
                 yield pa.RecordBatch.from_arrays([name.cast(pa.binary()), pa.array(found)], names=["cls", "shingle"])
 
-    rows = full.select("cls", "shingles").mapInArrow(explode, "cls binary, shingle long")
-    twice = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
-    return rows.join(twice, "shingle", "left_semi").groupBy("cls").agg(F.count("*").alias("m"))
-
-
-def _across(rest: DataFrame) -> DataFrame:
-    """All links (a, b) between sets of one cluster and different components.
-
-    ``rest`` has (cls, component, cluster, shingles).  The sets outside a cluster's largest component are its
-    questions; all its sets are met by all its questions, in blocks of bounded bytes, each with an inverted
-    index of its questions' shingles.  Only links come out, never candidates.
-    """
-    sizes = rest.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    top = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("bytes").alias("all"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "component"))).alias("asked"))
-    cut = top.where("asked > 0").select("cluster", "largest", F.ceil(F.col("asked") / QUESTION_BYTES).cast("int").alias("blocks"), F.ceil(F.col("all") / ANSWER_BYTES).cast("int").alias("chunks"))
-    dealt = rest.join(cut, "cluster")
-
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    columns = ["cluster", "block", "chunk", "cls", "component", "shingles"]
-    asked = dealt.where("component <> largest").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("chunk", each("chunks")).select(*columns).toDF(*columns)
-    held = dealt.withColumn("chunk", F.expr("cast(pmod(xxhash64(cls), chunks) as int)")).withColumn("block", each("blocks")).select(*columns).toDF(*columns)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, groups, raw = (left.column(c).to_pylist() for c in ("cls", "component", "shingles"))
-        size = np.array([len(x) // 8 for x in raw], np.int64)
-        flat = np.concatenate([np.frombuffer(x, np.uint64) for x in raw] or [np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(raw)), size)[order]
-        a, b = [], []
-        for name, group, text in zip(*(right.column(c).to_pylist() for c in ("cls", "component", "shingles")), strict=True):
-            mine = np.frombuffer(text, np.uint64)
-            lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-            some = hi > lo
-            lo, n = lo[some], (hi - lo)[some]
-            at = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
-            both = np.bincount(owner[at], minlength=len(raw))
-            for i in np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (size + len(mine) - both)):
-                if groups[i] != group:
-                    a.append(min(names[i], name))
-                    b.append(max(names[i], name))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    keys = ["cluster", "block", "chunk"]
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "a binary, b binary")
+    sets = full.select("cls", "shingles").join(members.select("cls"), "cls", "left_semi")
+    rows = durable(map_arrow(sets, explode, "cls binary, shingle long"), "shingles")
+    often = durable(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = rows.join(often, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("t"))
+    dealt = ranked.join(members, "cls")
+    alone = F.col("n") - F.size("t")
+    spare = F.floor(F.col("n") * (DENOMINATOR - NUMERATOR) / DENOMINATOR)
+    post = dealt.where(alone <= spare).select("cls", "n", "component", alone.alias("alone"), F.posexplode(F.slice("t", 1, (spare - alone + 1).cast("int"))).alias("k", "x"))
+    return post.select(F.col("x.shingle").alias("token"), "cls", "n", (F.col("k") + F.col("alone")).alias("at"), "component")
+
+
+def _ask(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of a list that are asked with those in other components that may be similar."""
+    one = lists.where("asked").select("token", *[F.col(c).alias(f"q_{c}") for c in ("cls", "n", "at", "component")])
+    # if this token is the first that both share, the rest of either set bounds what they can share at all
+    most = F.least(F.col("n") - F.col("at"), F.col("q_n") - F.col("q_at"))
+    able = most * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("q_n")) * NUMERATOR
+    near = lists.join(one, "token").where((F.col("component") != F.col("q_component")) & _near_in_size(F.col("n"), F.col("q_n")) & able)
+    return near.select(F.least("cls", "q_cls").alias("a"), F.greatest("cls", "q_cls").alias("b")).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from kinweft.llm.components import components
 from kinweft.llm.linking import connect
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, free, map_arrow
 from kinweft.llm.textpack import constants, mix, sets
 
 COORDINATES = 32
@@ -64,7 +64,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             tokens = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), tokens], names=[f.name for f in FEATURES])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, FEATURES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")), run, FEATURES)
 
 
 def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,7 +77,7 @@ def shingle_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             raw = [s.tobytes() for s in sets(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "cls binary, shingles binary")
+    return map_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), run, "cls binary, shingles binary")
 
 
 def links(docs: DataFrame, feats: DataFrame, text_col: str = "text") -> DataFrame | None:
@@ -131,16 +131,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, all columns as they were.
 
-    The row with the group's smallest id stays (of several such rows, one).  Rows without words all stay.
+    The row with the group's smallest id stays (of several such rows, one).  Rows without words all stay.  Other
+    columns may have any names; an empty table stays empty.
     """
     judged = durable(near_duplicates(docs, id_col, text_col).where("kept"), "kept")
-    named = docs.withColumn("__text_key", F.xxhash64(text_col))
-    key = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.id")) & (F.col("d.__text_key") == F.col("k.text_key"))
+    text_key = free("text_key", docs.columns)
+    named = docs.withColumn(text_key, F.xxhash64(text_col))
+    key = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.id")) & (F.col(f"d.`{text_key}`") == F.col("k.text_key"))
     worded = judged.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("m")).select(F.col("component_id").alias("id"), "text_key", "m")
     plain = judged.where("n_shingles = 0").select(F.col(id_col).alias("id"), "text_key").distinct()
     once = worded.where("m = 1").select("id", "text_key").unionByName(plain)
     kept = named.alias("d").join(once.alias("k"), key, "left_semi")
     again = worded.where("m > 1").select("id", "text_key")
     if not again.isEmpty():
-        kept = kept.unionByName(named.alias("d").join(again.alias("k"), key, "left_semi").dropDuplicates([id_col, "__text_key"]))
-    return kept.drop("__text_key")
+        kept = kept.unionByName(named.alias("d").join(again.alias("k"), key, "left_semi").dropDuplicates([id_col, text_key]))
+    return kept.drop(text_key)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, map_arrow
 from kinweft.llm.tokenization import ByteLevelIds
 
 #: Pieces that one group packs: a task holds about 1 MB of lengths, whatever the corpus.
@@ -87,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, size: int, id_col: s
                         at = to
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(out)], names=["a", "b", "c", "d", "e"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, size: int, group: int = GROUP) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from kinweft.llm.components import components
 from kinweft.llm.linking import connect
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, map_arrow
 from kinweft.llm.textpack import WIDTH, blocks, constants, mix, shingles, windows, words
 
 MIN_WORDS = 40
@@ -117,7 +117,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 taken = pa.array(rows + first, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.ListArray.from_arrays(to, pa.array(at, pa.int64())), pa.ListArray.from_arrays(to, pa.array(h[chosen].view(np.int64)))], names=[f.name for f in UNITS])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, UNITS)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")), run, UNITS)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(long, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], names=[f.name for f in FEATURES])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, FEATURES)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")), run, FEATURES)
 
 
 def _sets(docs: DataFrame, text_col: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _sets(docs: DataFrame, text_col: str) -> DataFrame:
             raw = [s.tobytes() for *_, s in _paragraphs(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "cls binary, shingles binary")
+    return map_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), run, "cls binary, shingles binary")
 
 
 def _paragraph_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

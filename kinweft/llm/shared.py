@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to a Python worker, about; a larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, or a local one where the setting is missing."""
@@ -23,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes, not only by rows: rows may hold very long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

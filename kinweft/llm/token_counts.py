@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.llm.shared import durable
+from kinweft.llm.shared import durable, map_arrow
 from kinweft.llm.tokenization import UnitCounts
 
 #: Pre-tokens sent to every worker: about 10 MB, whatever the corpus.
@@ -57,8 +57,8 @@ def pieces(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
                 units = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([_key(u) for u in units], pa.int64()), part.column(0), part.column(1), pa.array(counts.counts(units), pa.int32())], names=["key", "unit", "freq", "pieces"])
 
-    total = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "unit string, freq long").groupBy("unit").agg(F.sum("freq").alias("freq"))
-    return total.mapInArrow(encode, "key long, unit string, freq long, pieces int")
+    total = map_arrow(docs.select(F.col(text_col).cast("string")), count, "unit string, freq long").groupBy("unit").agg(F.sum("freq").alias("freq"))
+    return map_arrow(total, encode, "key long, unit string, freq long, pieces int")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, keys, freqs, ids, sizes)], names=["row", "key", "freq", "id", "n_bytes"])
 
-    found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "row long, key long, freq long, id long, n_bytes long")
+    found = map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "row long, key long, freq long, id long, n_bytes long")
     joined = found.join(table.select("key", "pieces"), "key", "left")
     ids = F.when(F.col("n_bytes").isNotNull(), F.col("freq")).otherwise(F.col("freq") * F.col("pieces"))
     made = joined.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum(ids).alias("n_tokens"))
