@@ -32,7 +32,7 @@ def connect(posted: DataFrame, full: DataFrame, collide: Callable[[DataFrame], D
     ``posted`` has (token, cls, n: the size of the set), ``full`` (cls, shingles: sorted 64-bit hashes as bytes);
     both must be tables that can be read again.  ``collide`` drops pairs that cannot be links.
     """
-    pairs = _around(posted, [F.col("cls"), *(F.xxhash64(F.lit(i), "cls") for i in range(3))])
+    pairs = _around(posted, [F.col("cls"), F.xxhash64("cls")])
     found = durable(_verify(collide(pairs), full), "links")
     known = components(found).select(F.col("node").alias("cls"), "component")
     named = posted.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -49,7 +49,7 @@ def connect(posted: DataFrame, full: DataFrame, collide: Callable[[DataFrame], D
         # the members asked in this round: all of a short list, a few of a long one, chosen by hash
         chance = F.pmod(F.xxhash64("token", "cls"), F.lit(1 << 20)) * F.col("size") < F.lit(asked << 20)
         lists = durable(lists.join(size, "token").select("token", "cls", "n", "at", "component", chance.alias("asked")), "lists")
-        links = durable(_verify(collide(_ask(lists)), full), "links")
+        links = durable(_verify(_ask(lists), full), "links")
         found = found.unionByName(links)
         lists = lists.where("not asked").drop("asked")
         joined = links.join(members.select(F.col("cls").alias("a"), F.col("component").alias("x")), "a").join(members.select(F.col("cls").alias("b"), F.col("component").alias("y")), "b")
