@@ -2,12 +2,12 @@
 
 A paragraph is a line (texts are split at ``\\n``) of at least ``MIN_WORDS`` words, or neighbouring shorter lines
 that have so many together.  Its five-word shingles give a signature of ``BANDS`` bands of ``ROWS`` minima; two
-paragraphs of similarity 0.75 miss each other in all bands with a chance of 2e-5.  Paragraphs that collide are
+paragraphs of similarity 0.75 miss each other in all bands with a chance of 5e-5.  Paragraphs that collide are
 verified on their full sets and clustered by components; of each cluster the first paragraph, by document id and
 place, is kept and the others are removals.
 
 Runs have nothing to do with lines.  Of every ``SPREAD`` neighbouring windows of ``RUN`` words the one of least hash
-is a unit, so two texts that share ``RUN + SPREAD - 1`` words (50) share a unit, wherever these words stand in
+is a unit, so two texts that share ``RUN + SPREAD - 1`` words (51) share a unit, wherever these words stand in
 either; runs of ``RUN`` words or more may.  Units are equal or not: there is no candidate step.  Of each unit the
 first occurrence is kept, one outside removed paragraphs if there is any.
 """
@@ -28,9 +28,9 @@ from kinweft.llm.shared import durable, map_arrow
 from kinweft.llm.textpack import WIDTH, blocks, constants, mix, shingles, windows, words
 
 MIN_WORDS = 40
-BANDS, ROWS = 20, 3
+BANDS, ROWS = 12, 2
 #: Words of a verbatim unit, and of how many neighbouring ones one is taken.
-RUN, SPREAD = 41, 10
+RUN, SPREAD = 41, 11
 #: Shingles whose minima are taken at once.
 _MOST = 1 << 16
 
