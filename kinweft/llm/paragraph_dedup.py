@@ -24,34 +24,41 @@ from pyspark.sql import types as T
 
 from kinweft.llm.components import components
 from kinweft.llm.linking import connect
-from kinweft.llm.shared import durable, map_arrow
+from kinweft.llm.shared import durable, free, map_arrow
 from kinweft.llm.textpack import WIDTH, blocks, constants, mix, shingles, windows, words
 
 MIN_WORDS = 40
 BANDS, ROWS = 12, 2
 #: Words of a verbatim unit, and of how many neighbouring ones one is taken.
 RUN, SPREAD = 41, 11
-#: Shingles whose minima are taken at once.
-_MOST = 1 << 16
 
 _XOR = constants(BANDS * ROWS, 404)
 _ODD = constants(BANDS * ROWS, 505) | np.uint64(1)
 _BAND = constants(BANDS, 606)
+_DIGEST = constants(2, 707) | np.uint64(1)
 
 FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
 #: ``at`` is the number of the unit's first word, shifted by 32 bits, and of the line it stands in.
 UNITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("at", T.ArrayType(T.LongType(), False)), T.StructField("units", T.ArrayType(T.LongType(), False))])
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """The band keys of a non-empty set of shingle hashes."""
+def bands(found: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The band keys of sets of shingle hashes that stand one after another; ``first`` has where each begins."""
+    key = np.repeat(_BAND[None, :], len(first), axis=0)
     with np.errstate(over="ignore"):
-        parts = [((found[None, i : i + _MOST] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1) for i in range(0, len(found), _MOST)]
-        low = np.minimum.reduce(parts).reshape(BANDS, ROWS)
-        key = _BAND.copy()
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-        return key
+        for k in range(BANDS * ROWS):
+            low = np.minimum.reduceat((found ^ _XOR[k]) * _ODD[k], first)
+            b = k // ROWS
+            key[:, b] = mix(key[:, b] * np.uint64(0x9E3779B97F4A7C15) + low)
+    return key
+
+
+def digests(found: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """128 bits of each of the sets: sums of two scramblings of its members."""
+    with np.errstate(over="ignore"):
+        pair = [np.add.reduceat(mix(found * odd + odd), first) for odd in _DIGEST]
+    flat = np.stack(pair, axis=1).astype("<u8").tobytes()
+    return [flat[i : i + 16] for i in range(0, len(flat), 16)]
 
 
 class _Lines:
@@ -71,9 +78,13 @@ class _Lines:
         return doc, np.searchsorted(self.ends, cut, "right") - np.searchsorted(self.ends, self.offs[doc])
 
 
-def _paragraphs(column: pa.Array):
-    """(row, paragraph number, first word, words, shingle set) of every paragraph long enough."""
-    for first, _, buf, offs in blocks(column):
+class _Paragraphs:
+    """The paragraphs of a block that are long enough: row, number of the line, first word, words, and sets.
+
+    The set of paragraph ``k`` is ``found[first[k] : first[k + 1]]``, sorted.
+    """
+
+    def __init__(self, row: int, buf: np.ndarray, offs: np.ndarray):
         lines = _Lines(buf, offs)
         # short lines stay with short neighbours
         short = np.diff(lines.at) < MIN_WORDS
@@ -84,9 +95,24 @@ def _paragraphs(column: pa.Array):
         n = np.diff(at)
         long = np.flatnonzero(n >= MIN_WORDS)
         s, to = shingles(lines.words, at)
-        doc, number = lines.place(at[long])
-        for k, d, p in zip(long, doc, number, strict=True):
-            yield first + int(d), int(p), int(at[k] - lines.first[d]), int(n[k]), np.unique(s[to[k] : to[k + 1]])
+        owner = np.repeat(np.arange(len(n)), np.diff(to))
+        inside = (n >= MIN_WORDS)[owner]
+        s, owner = s[inside], owner[inside]
+        order = np.lexsort((s, owner))
+        s, owner = s[order], owner[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
+        self.found, owner = s[new], owner[new]
+        self.first = np.concatenate([np.searchsorted(owner, long), [len(owner)]])
+        doc, self.number = lines.place(at[long])
+        self.row, self.start, self.n = row + doc, at[long] - lines.first[doc], n[long]
+
+    @staticmethod
+    def of(column: pa.Array):
+        for row, _, buf, offs in blocks(column):
+            made = _Paragraphs(row, buf, offs)
+            if len(made.row):
+                yield made
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,32 +150,21 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, text_key, paragraph, start_word, n_words, n, cls, bands) of every long paragraph; ``cls`` is a digest of its shingle set."""
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            rows, number, start, long, n, cls, flat = [], [], [], [], [], [], []
-            for row, p, w, m, s in _paragraphs(batch.column(2)):
-                rows.append(row)
-                number.append(p)
-                start.append(w)
-                long.append(m)
-                n.append(len(s))
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                flat.append(bands(s).view(np.int64))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(long, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], names=[f.name for f in FEATURES])
+            for p in _Paragraphs.of(batch.column(2)):
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(p.row) + 1) * BANDS, pa.int32()), pa.array(bands(p.found, p.first[:-1]).view(np.int64).ravel()))
+                at = pa.array(p.row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.number, pa.int32()), pa.array(p.start, pa.int64()), pa.array(p.n, pa.int64()), pa.array(np.diff(p.first), pa.int64()), pa.array(digests(p.found, p.first[:-1]), pa.binary()), keys], names=[f.name for f in FEATURES])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")), run, FEATURES)
 
 
 def _sets(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            raw = [s.tobytes() for *_, s in _paragraphs(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
+            for p in _Paragraphs.of(batch.column(0)):
+                raw = [p.found[a:b].tobytes() for a, b in zip(p.first[:-1], p.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests(p.found, p.first[:-1]), pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
     return map_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), run, "cls binary, shingles binary")
 
@@ -244,8 +259,14 @@ def _without(text: str | None, spans: list | None) -> str | None:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every repeated passage taken out of its text, but for the first of each."""
-    gone = repeats(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("__gone"))
-    named = docs.withColumn("__text_key", F.xxhash64(text_col))
-    both = named.join(gone, (F.col("__text_key") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    return both.withColumn(text_col, F.udf(_without, "string")(text_col, "__gone")).drop("__text_key", "__id", "__key", "__gone")
+    """``docs`` with every repeated passage taken out of its text, but for the first of each.
+
+    All rows stay, with their other columns, whatever those are called.  Null texts stay null; an empty table stays
+    empty; rows with the same id and text lose the same passages.
+    """
+    key, gone = free("text_key", docs.columns), free("gone", docs.columns)
+    found = repeats(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("id"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    named = docs.withColumn(key, F.xxhash64(text_col))
+    same = (F.col(f"d.`{key}`") == F.col("g.k")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("g.id"))
+    both = named.alias("d").join(found.alias("g"), same, "left").select("d.*", F.col("g.spans").alias(gone))
+    return both.withColumn(text_col, F.udf(_without, "string")(text_col, gone)).drop(key, gone)
