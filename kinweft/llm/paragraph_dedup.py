@@ -7,7 +7,7 @@ verified on their full sets and clustered by components; of each cluster the fir
 place, is kept and the others are removals.
 
 Runs have nothing to do with lines.  Of every ``SPREAD`` neighbouring windows of ``RUN`` words the one of least hash
-is a unit, so two texts that share ``RUN + SPREAD - 1`` words (51) share a unit, wherever these words stand in
+is a unit, so two texts that share ``RUN + SPREAD - 1`` words (50) share a unit, wherever these words stand in
 either; runs of ``RUN`` words or more may.  Units are equal or not: there is no candidate step.  Of each unit the
 first occurrence is kept, one outside removed paragraphs if there is any.
 """
@@ -24,24 +24,21 @@ from pyspark.sql import types as T
 
 from kinweft.llm.components import components
 from kinweft.llm.linking import connect
+from kinweft.llm.recurring import maybe, recurring, wanted_bits
 from kinweft.llm.shared import durable, free, map_arrow
 from kinweft.llm.textpack import WIDTH, blocks, constants, mix, shingles, windows, words
 
 MIN_WORDS = 40
 BANDS, ROWS = 12, 2
 #: Words of a verbatim unit, and of how many neighbouring ones one is taken.
-RUN, SPREAD = 41, 11
+RUN, SPREAD = 41, 10
 
 _XOR = constants(BANDS * ROWS, 404)
 _ODD = constants(BANDS * ROWS, 505) | np.uint64(1)
 _BAND = constants(BANDS, 606)
 _DIGEST = constants(2, 707) | np.uint64(1)
 
-FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
-#: ``at`` is the number of the unit's first word, shifted by 32 bits, and of the line it stands in.
-UNITS = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("at", T.ArrayType(T.LongType(), False)), T.StructField("units", T.ArrayType(T.LongType(), False))])
-
-
+FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("part", T.LongType())])
 def bands(found: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The band keys of sets of shingle hashes that stand one after another; ``first`` has where each begins."""
     key = np.repeat(_BAND[None, :], len(first), axis=0)
@@ -53,12 +50,12 @@ def bands(found: np.ndarray, first: np.ndarray) -> np.ndarray:
     return key
 
 
-def digests(found: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """128 bits of each of the sets: sums of two scramblings of its members."""
+def digests(found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """64 and 128 bits of each of the sets: sums of two scramblings of its members."""
     with np.errstate(over="ignore"):
         pair = [np.add.reduceat(mix(found * odd + odd), first) for odd in _DIGEST]
     flat = np.stack(pair, axis=1).astype("<u8").tobytes()
-    return [flat[i : i + 16] for i in range(0, len(flat), 16)]
+    return pair[0].view(np.int64), [flat[i : i + 16] for i in range(0, len(flat), 16)]
 
 
 class _Lines:
@@ -115,107 +112,114 @@ class _Paragraphs:
                 yield made
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, at, units) of every text of ``RUN`` words or more: its verbatim units and where they begin."""
+def units(column: pa.Array):
+    """(hashes of the units, rows, numbers of their first words, and of the lines these stand in) of blocks of texts."""
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-    def run(batches):
-        for batch in batches:
-            for first, _, buf, offs in blocks(batch.column(2)):
-                lines = _Lines(buf, offs)
-                h = windows(lines.words, RUN)
-                start = np.arange(len(h))
-                doc = np.searchsorted(lines.first, start, "right") - 1
-                last = lines.first[doc + 1] - RUN
-                inside = start <= last
-                h[~inside] = most
-                least, chosen = h.copy(), start.copy()
-                for k in range(1, min(SPREAD, len(h))):
-                    better = h[k:] <= least[:-k]
-                    least[:-k][better] = h[k:][better]
-                    chosen[:-k][better] = start[k:][better]
-                # all of a text of fewer windows are one group
-                chosen = np.unique(chosen[inside & ((start + SPREAD - 1 <= last) | (start == lines.first[doc]))])
-                doc, number = lines.place(chosen)
-                rows, n = np.unique(doc, return_counts=True)
-                to = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                at = ((chosen - lines.first[doc]) << 32) | number
-                taken = pa.array(rows + first, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.ListArray.from_arrays(to, pa.array(at, pa.int64())), pa.ListArray.from_arrays(to, pa.array(h[chosen].view(np.int64)))], names=[f.name for f in UNITS])
-
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")), run, UNITS)
+    for first, _, buf, offs in blocks(column):
+        lines = _Lines(buf, offs)
+        h, at = windows(lines.words, RUN), lines.first
+        start = np.arange(len(h))
+        doc = np.searchsorted(at, start, "right") - 1
+        last = at[doc + 1] - RUN
+        inside = start <= last
+        h[~inside] = most
+        least, chosen = h.copy(), start.copy()
+        for k in range(1, min(SPREAD, len(h))):
+            better = h[k:] <= least[:-k]
+            least[:-k][better] = h[k:][better]
+            chosen[:-k][better] = start[k:][better]
+        # all of a text of fewer windows are one group
+        chosen = np.unique(chosen[inside & ((start + SPREAD - 1 <= last) | (start == at[doc]))])
+        doc, number = lines.place(chosen)
+        yield h[chosen], first + doc, chosen - at[doc], number
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, paragraph, start_word, n_words, n, cls, bands) of every long paragraph; ``cls`` is a digest of its shingle set."""
+    """(id, text_key, paragraph, start_word, n_words, n, cls, part) of every long paragraph.
+
+    ``cls`` is a digest of its shingle set, ``part`` half of it.
+    """
 
     def run(batches):
         for batch in batches:
             for p in _Paragraphs.of(batch.column(2)):
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(p.row) + 1) * BANDS, pa.int32()), pa.array(bands(p.found, p.first[:-1]).view(np.int64).ravel()))
+                part, cls = digests(p.found, p.first[:-1])
                 at = pa.array(p.row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.number, pa.int32()), pa.array(p.start, pa.int64()), pa.array(p.n, pa.int64()), pa.array(np.diff(p.first), pa.int64()), pa.array(digests(p.found, p.first[:-1]), pa.binary()), keys], names=[f.name for f in FEATURES])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.number, pa.int32()), pa.array(p.start, pa.int64()), pa.array(p.n, pa.int64()), pa.array(np.diff(p.first), pa.int64()), pa.array(cls, pa.binary()), pa.array(part)], names=[f.name for f in FEATURES])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text")), run, FEATURES)
 
 
-def _sets(docs: DataFrame, text_col: str) -> DataFrame:
+def _tokens(batch: pa.RecordBatch):
+    """Entries of the bands of a batch's paragraphs, with half of the digests of their sets."""
+    for p in _Paragraphs.of(batch.column(0)):
+        part, _ = digests(p.found, p.first[:-1])
+        yield bands(p.found, p.first[:-1]).ravel(), np.repeat(part, BANDS).view(np.uint64), np.zeros(len(part) * BANDS, np.uint32)
+
+
+def _sets(docs: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
+    """(cls, shingles) of the paragraphs whose class is ``known``, by column ``part``, and of a few others."""
+    wanted = wanted_bits(known, "part")
+
     def run(batches):
         for batch in batches:
             for p in _Paragraphs.of(batch.column(0)):
-                raw = [p.found[a:b].tobytes() for a, b in zip(p.first[:-1], p.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests(p.found, p.first[:-1]), pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
+                part, cls = digests(p.found, p.first[:-1])
+                # equal paragraphs of a block need one row
+                some = np.intersect1d(np.flatnonzero(maybe(wanted.value, part)), np.unique(part, return_index=True)[1])
+                raw = [p.found[p.first[k] : p.first[k + 1]].tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in some], pa.binary()), pa.array(raw, pa.binary())], names=["cls", "shingles"])
 
     return map_arrow(docs.select(F.col(text_col).cast("binary").alias("text")), run, "cls binary, shingles binary")
 
 
-def _paragraph_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _paragraph_repeats(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Paragraphs that occur twice or more, as ``repeats`` has them."""
     feats = durable(features(docs, id_col, text_col), "paragraphs")
-    classes = feats.groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key"), F.count("*").alias("copies"))
-    classes = durable(classes, "paragraph-classes")
-    keys = classes.select("cls", "n", F.explode("bands").alias("token"))
-    several = keys.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    posted = durable(keys.join(several, "token", "left_semi"), "bands")
+    classes = durable(feats.groupBy("cls").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.count("*").alias("copies")), "paragraph-classes")
+    met = recurring(docs.select(F.col(text_col).cast("binary")), _tokens, size, once=True)
+    posted = durable(met.select(F.col("key").alias("token"), F.col("a").alias("part")).join(classes, "part").select("token", "cls", "n", "part").distinct(), "bands")
     named = classes.select("cls", F.col("cls").alias("component"), "copies")
     if not posted.isEmpty():
-        known = posted.select("cls").distinct()
-        wanted = classes.join(known, "cls", "left_semi").select("text_key").distinct()
-        texts = docs.select(F.col(text_col), F.xxhash64(text_col).alias("text_key")).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
-        full = durable(_sets(texts, text_col).join(known, "cls", "left_semi").dropDuplicates(["cls"]), "paragraph-sets")
-        comp = components(connect(posted, full)).withColumnRenamed("component", "c")
+        known = durable(posted.select("cls", "part").distinct(), "known")
+        full = durable(_sets(docs, known, text_col).join(known.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "paragraph-sets")
+        comp = components(connect(posted.drop("part"), full)).withColumnRenamed("component", "c")
         named = classes.join(comp.select(F.col("node").alias("cls"), "c"), "cls", "left").select("cls", F.coalesce("c", "cls").alias("component"), "copies")
     named = durable(named, "paragraph-components")
     often = named.groupBy("component").agg(F.sum("copies").alias("occurrences")).where("occurrences > 1")
-    rows = durable(feats.drop("bands").join(named.select("cls", "component"), "cls").join(often, "component"), "paragraph-repeats")
+    rows = durable(feats.drop("part").join(named.join(often, "component").select("cls", "component", "occurrences"), "cls"), "paragraph-repeats")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "paragraph")
-    first = rows.groupBy("component").agg(F.min(place).alias("first"), F.min("id").alias("cluster_id"))
+    first = durable(rows.groupBy("component").agg(F.min(place).alias("first"), F.min("id").alias("cluster_id")), "firsts")
     made = rows.join(first, "component")
     return made.select("id", "text_key", "paragraph", "start_word", "n_words", F.col("n").alias("n_shingles"), "cluster_id", "occurrences", (place == F.col("first")).alias("kept"))
 
 
-def _run_repeats(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _unit_entries(batch: pa.RecordBatch):
+    keys = batch.column(0).to_numpy().view(np.uint64)
+    for unit, row, start, line in units(batch.column(1)):
+        yield unit, keys[row], ((start << 32) | line).astype(np.uint64)
+
+
+def _run_repeats(docs: DataFrame, removed: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Runs that occur twice or more, as ``repeats`` has them, but for those in paragraphs that are ``removed``."""
-    found = durable(units(docs, id_col, text_col), "units")
-    several = durable(found.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("occurrences")).where("occurrences > 1"), "repeated-units")
-    spans = removed.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("stop"))).alias("spans"))
-    dealt = found.join(spans, (F.col("text_key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")), "left")
-    start = F.shiftright("at", 32)
-    each = dealt.select("id", "text_key", "spans", F.explode(F.arrays_zip("at", "units")).alias("x")).select("id", "text_key", F.col("x.at").alias("at"), F.col("x.units").alias("unit"), "spans")
-    gone = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= start) & (start + RUN <= s["stop"])), F.lit(False))
-    seen = durable(each.select("id", "text_key", "at", "unit", gone.alias("gone")).join(several, "unit"), "unit-repeats")
-    place = F.struct("gone", F.col("id").isNull().alias("none"), "id", "text_key", "at")
-    first = seen.groupBy("unit").agg(F.min(place).alias("first"), F.min("id").alias("cluster_id"))
-    rows = seen.join(first, "unit").select("id", "text_key", "at", "gone", "cluster_id", "occurrences", (place == F.col("first")).alias("kept"))
-    # rows with the same id and text have the same units
-    rows = rows.groupBy("id", "text_key", "at").agg(F.count("*").alias("copies"), F.first("gone").alias("gone"), F.first("cluster_id").alias("cluster_id"), F.first("occurrences").alias("occurrences"), F.first("kept").alias("kept"))
-    w = Window.partitionBy("id", "text_key").orderBy("at")
-    apart = F.coalesce((F.lag("kept").over(w) != F.col("kept")) | (start > F.lag(start).over(w) + RUN), F.lit(True))
+    met = recurring(docs.select(F.xxhash64(text_col), F.col(text_col).cast("binary")), _unit_entries, size, once=False, width=8)
+    met = durable(met.select(F.col("key").alias("unit"), F.col("a").alias("text_key"), F.shiftright("b", 32).alias("start"), F.col("b").bitwiseAND(0xFFFFFFFF).cast("int").alias("line")).distinct(), "units")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key")).groupBy("id", "text_key").agg(F.count("*").alias("copies"))
+    spans = removed.groupBy("id", "text_key").agg(F.collect_set(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("stop"))).alias("spans"))
+    same = (F.col("r.text_key") == F.col("s.text_key")) & F.col("r.id").eqNullSafe(F.col("s.id"))
+    rows = durable(rows.alias("r").join(spans.alias("s"), same, "left").select("r.*", "s.spans"), "unit-rows")
+    gone = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= F.col("start")) & (F.col("start") + RUN <= s["stop"])), F.lit(False))
+    seen = durable(met.join(rows, "text_key").select("id", "text_key", "start", "line", "unit", "copies", gone.alias("gone")), "unit-places")
+    place = F.struct("gone", F.col("id").isNull().alias("none"), "id", "text_key", "start")
+    first = durable(seen.groupBy("unit").agg(F.min(place).alias("first"), F.min("id").alias("cluster_id"), F.sum("copies").alias("occurrences")), "first-places")
+    rows = seen.join(first, "unit").select("id", "text_key", "start", "line", "copies", "gone", "cluster_id", "occurrences", (place == F.col("first")).alias("kept"))
+    w = Window.partitionBy("id", "text_key").orderBy("start")
+    apart = F.coalesce((F.lag("kept").over(w) != F.col("kept")) | (F.col("start") > F.lag("start").over(w) + RUN), F.lit(True))
     spans = rows.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(w))
-    spans = spans.groupBy("id", "text_key", "span").agg(F.min("at").alias("at"), F.max(start).alias("stop"), F.min("cluster_id").alias("cluster_id"), F.max("occurrences").alias("occurrences"), F.first("kept").alias("kept"), F.max("copies").alias("copies"), F.min("gone").alias("gone"))
-    n = F.col("stop") + RUN - start
-    made = spans.where("kept or not gone").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return made.select("id", "text_key", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("paragraph"), start.alias("start_word"), n.alias("n_words"), (n - (WIDTH - 1)).alias("n_shingles"), "cluster_id", "occurrences", "kept")
+    spans = spans.groupBy("id", "text_key", "span").agg(F.min("start").alias("start_word"), F.min("line").alias("paragraph"), F.max("start").alias("stop"), F.min("cluster_id").alias("cluster_id"), F.max("occurrences").alias("occurrences"), F.first("kept").alias("kept"), F.max("copies").alias("copies"), F.min("gone").alias("gone"))
+    n = F.col("stop") + RUN - F.col("start_word")
+    made = spans.where("kept or not gone").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return made.select("id", "text_key", "paragraph", "start_word", n.alias("n_words"), (n - (WIDTH - 1)).alias("n_shingles"), "cluster_id", "occurrences", "kept")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,8 +232,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of the words shared up to ``SPREAD - 1`` at either end may be left out.  Null and empty texts have no passages.
     Rows with the same id and text count as occurrences each, but share their fate.  Other columns are ignored.
     """
-    paragraphs = durable(_paragraph_repeats(docs, id_col, text_col), "paragraph-rows")
-    runs = _run_repeats(docs, paragraphs.where("not kept"), id_col, text_col)
+    size = docs.agg(F.coalesce(F.sum(F.length(F.col(text_col).cast("binary"))), F.lit(0))).first()[0]
+    paragraphs = durable(_paragraph_repeats(docs, size, id_col, text_col), "paragraph-rows")
+    runs = _run_repeats(docs, paragraphs.where("not kept"), size, id_col, text_col)
     return paragraphs.unionByName(runs).withColumnRenamed("id", id_col)
 
 

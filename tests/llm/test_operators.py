@@ -140,12 +140,15 @@ def test_repeated_passages_anywhere_in_a_text(spark):
     assert len(set(WORD.findall(left[4])) & set(split)) <= 18 and set(own("f", 30) + own("g", 300)) <= set(WORD.findall(left[4]))
 
 
-def test_two_texts_that_share_fifty_words_share_a_unit(spark):
+def test_two_texts_that_share_fifty_words_share_a_unit():
     rng = np.random.default_rng(3)
     shared = [f"s{i}" for i in range(50)]
     rows = [(i, " ".join([f"p{i}_{k}" for k in range(int(rng.integers(0, 80)))] + shared + [f"q{i}_{k}" for k in range(int(rng.integers(0, 80)))])) for i in range(60)]
-    found = paragraph_dedup.units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(found) == 60 and set.intersection(*(set(r.units) for r in found))
+    found = [set() for _ in rows]
+    for units, row, _, _ in paragraph_dedup.units(pa.array([t.encode() for _, t in rows], pa.binary())):
+        for unit, r in zip(units.tolist(), row.tolist(), strict=True):
+            found[r].add(unit)
+    assert all(found) and set.intersection(*found)
 
 
 def test_marked_pages_have_no_say_in_the_template_of_the_others(spark):
