@@ -95,8 +95,8 @@ class _Paragraphs:
         owner = np.repeat(np.arange(len(n)), np.diff(to))
         inside = (n >= MIN_WORDS)[owner]
         s, owner = s[inside], owner[inside]
-        order = np.lexsort((s, owner))
-        s, owner = s[order], owner[order]
+        for a, b in zip(*(np.searchsorted(owner, long, side) for side in ("left", "right")), strict=True):
+            s[a:b].sort()
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
         self.found, owner = s[new], owner[new]
@@ -123,11 +123,8 @@ def units(column: pa.Array):
         last = at[doc + 1] - RUN
         inside = start <= last
         h[~inside] = most
-        least, chosen = h.copy(), start.copy()
-        for k in range(1, min(SPREAD, len(h))):
-            better = h[k:] <= least[:-k]
-            least[:-k][better] = h[k:][better]
-            chosen[:-k][better] = start[k:][better]
+        padded = np.concatenate([h, np.full(SPREAD - 1, most)])
+        chosen = start + np.lib.stride_tricks.sliding_window_view(padded, SPREAD).argmin(axis=1)
         # all of a text of fewer windows are one group
         chosen = np.unique(chosen[inside & ((start + SPREAD - 1 <= last) | (start == at[doc]))])
         doc, number = lines.place(chosen)

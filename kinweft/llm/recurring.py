@@ -19,8 +19,8 @@ from kinweft.llm.shared import map_arrow
 
 _U = np.uint64
 #: Entries that a task gathers before it sorts them, and bytes of text for each shard.
-GATHER = 1_000_000
-SHARD_BYTES = 32 << 20
+GATHER = 300_000
+SHARD_BYTES = 16 << 20
 #: Bits of a filter of wanted keys, whatever their number.
 FILTER_BITS = 1 << 25
 
@@ -30,9 +30,14 @@ Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
 def _sorted(entries: Entries, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries by key, without repeated (key, a) if ``once``; where keys begin, and how many entries each has."""
     key, a, b = entries
-    order = np.lexsort((b, a, key))
+    order = np.argsort(key)
     key, a, b = key[order], a[order], b[order]
     if once and len(key):
+        # only the few keys that recur need their entries in order
+        same = np.concatenate([[False], key[1:] == key[:-1]])
+        at = np.flatnonzero(same | np.concatenate([same[1:], [False]]))
+        inner = at[np.lexsort((a[at], key[at]))]
+        key[at], a[at], b[at] = key[inner], a[inner], b[inner]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1])])
         key, a, b = key[new], a[new], b[new]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
