@@ -118,6 +118,8 @@ def units(column: pa.Array):
     for first, _, buf, offs in blocks(column):
         lines = _Lines(buf, offs)
         h, at = windows(lines.words, RUN), lines.first
+        if not len(h):
+            continue
         start = np.arange(len(h))
         doc = np.searchsorted(at, start, "right") - 1
         last = at[doc + 1] - RUN

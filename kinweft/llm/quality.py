@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweft.llm.shared import free
+
 MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters at which a finished line may end.
@@ -72,8 +74,8 @@ def _line(line: Column) -> Column:
     return let(n, judged)
 
 
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``__quality``: the base figures, the verdict, and the text that is left.
+def judge(docs: DataFrame, text_col: str = "text", name: str = "quality") -> DataFrame:
+    """``docs`` with a column ``name`` (not yet there): the base figures, the verdict, and the text that is left.
 
     A null or empty text has no words and fails.  Lines without words neither count nor stay.  Each row is
     judged by itself, so repeated rows get equal verdicts; an empty table stays empty.
@@ -101,20 +103,25 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     made = let(let(F.struct(words_of(text).alias("w"), F.transform(F.split(text, "\n", -1), _line).alias("lines")), figures), verdict)
     # a generator is evaluated once for each row, whatever is filtered and selected from it later
-    return docs.select("*", F.explode(F.array(made)).alias("__quality"))
+    return docs.select("*", F.explode(F.array(made)).alias(name))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_good_words, base_failed, kept) of every row."""
-    q = F.col("__quality")
+    name = free("quality", [id_col, text_col])
+    q = F.col(name)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_good_words", "base_failed", "kept")
-    return judge(docs.select(id_col, text_col), text_col).select(id_col, *[q[n].alias(n) for n in names])
+    return judge(docs.select(id_col, text_col), text_col, name).select(id_col, *[q[n].alias(n) for n in names])
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, their text less the lines that failed; other columns as they were."""
-    made = judge(docs, text_col).where("__quality.kept")
-    return made.withColumn(text_col, F.col("__quality.good_text")).drop("__quality")
+    """The rows of ``docs`` that are kept, their text less the lines that failed; other columns as they were.
+
+    Null and empty texts go, since they have no words; other columns may have any names; an empty table stays empty.
+    """
+    name = free("quality", docs.columns)
+    made = judge(docs, text_col, name).where(F.col(name)["kept"])
+    return made.withColumn(text_col, F.col(name)["good_text"]).drop(name)
 
 
 SQL = r"""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweft.llm.quality import let
-from kinweft.llm.shared import new_path
+from kinweft.llm.shared import free, new_path
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,35 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("host_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1),
 )
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
 
 
+def running(sizes: Column) -> Column:
+    """The sums of an array of integers before each of its elements.
+
+    Within blocks of about the square root of their number and over the blocks, so a text of very many matches
+    costs no square of them.
+    """
+
+    def grown(a: Column) -> Column:
+        return F.aggregate(a, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def dealt(z: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(z["a"]))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(z["a"]) - 1) / width).cast("int")), lambda i: grown(F.slice(z["a"], i * width + 1, width)))
+
+        def placed(y: Column) -> Column:
+            before = grown(F.transform(y["parts"], lambda x: F.element_at(x, -1)))
+            return let(F.struct(y["parts"].alias("parts"), before.alias("before")), lambda w: F.flatten(F.transform(w["parts"], lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + w["before"][i]))))
+
+        return let(F.struct(parts.alias("parts")), placed)
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(let(F.struct(sizes.alias("a")), dealt))
+
+
 def _spans(text: Column, order: int, rule: Rule) -> Column:
     """array(struct(start, kind_order, kind, stop)) of one rule; code points, ``stop`` exclusive."""
     # hexadecimal runs shorter than wanted are skipped by the pattern: a run is matched whole or not at all
@@ -51,18 +74,16 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
 
     def place(z: Column) -> Column:
         between = F.split(text, pattern, -1)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+        parts = F.regexp_extract_all(text, F.lit(pattern), rule.group) if rule.group else z
+        each = F.transform(F.arrays_zip(F.slice(between, 1, F.size(z)).alias("before"), z.alias("match"), parts.alias("part")), lambda x: F.struct(F.length(x["before"]).alias("skip"), F.length(x["match"]).alias("size"), F.length(x["part"]).alias("part")))
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["before"])
-            stop = start + F.length(x["match"])
-            span = F.struct(start.alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
-            grown = F.when(F.length(x["part"]) >= rule.least, F.concat(a["found"], F.array(span))).otherwise(a["found"])
-            return F.struct(stop.alias("at"), grown.cast(kind).alias("found"))
+        def spans(y: Column) -> Column:
+            before = running(F.transform(y["e"], lambda x: x["skip"] + x["size"]))
+            both = F.arrays_zip(y["e"].alias("e"), before.alias("at"))
+            good = F.filter(both, lambda x: x["e"]["part"] >= rule.least)
+            return F.transform(good, lambda x: F.struct((x["at"] + x["e"]["skip"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), (x["at"] + x["e"]["skip"] + x["e"]["size"]).alias("stop"))).cast(kind)
 
-        parts = F.regexp_extract_all(text, F.lit(pattern), rule.group) if rule.group else z
-        each = F.arrays_zip(F.slice(between, 1, F.size(z)).alias("before"), z.alias("match"), parts.alias("part"))
-        return F.aggregate(each, zero, step, lambda a: a["found"])
+        return let(F.struct(each.alias("e")), spans)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda z: F.when(F.size(z) == 0, F.array().cast(kind)).otherwise(place(z)))
 
@@ -93,11 +114,15 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text_col
 def findings(versions: DataFrame, ledger: DataFrame, keys: list[str], text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """``keys`` of every version and its ``spans``, from the ledger.
 
-    Versions without findings have an empty array.  Copies of a blob all get its spans.
+    Versions without findings have an empty array.  Copies of a blob all get its spans.  Keys may have any names but
+    ``spans``, which is the result's: that is an error.
     """
+    if "spans" in {k.lower() for k in keys}:
+        raise ValueError("a key is called spans, as the findings are")
     held = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    made = versions.select(*keys, blob(F.col(text_col)).alias("blob")).join(held, "blob", "left")
-    return made.select(*keys, F.coalesce("spans", F.array().cast(dict(held.dtypes)["spans"])).alias("spans"))
+    name = free("blob", keys)
+    made = versions.select(*[F.col(f"`{k}`") for k in keys], blob(F.col(text_col)).alias(name)).alias("v").join(held.alias("h"), F.col(f"v.`{name}`") == F.col("h.blob"), "left")
+    return made.select(*[F.col(f"v.`{k}`") for k in keys], F.coalesce("h.spans", F.array().cast(dict(held.dtypes)["spans"])).alias("spans"))
 
 
 def scan_versions(versions: DataFrame, ledger_path: str | None = None, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against brute force on awkward small tables."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -310,3 +311,91 @@ def test_cuckoo_filter_inserts_finds_and_deletes():
 def test_held_out_rule(spark):
     got = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", kneser_ney.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in got)
+
+
+def test_any_column_names_may_be_there(spark):
+    text = " ".join(f"w{i}" for i in range(60)) + "."
+    extra = ["text_key", "__text_key", "gone", "quality", "__quality", "id", "n", "cls", "component_id", "kept", "item_id", "sequence_id", "offset", "shard", "key", "spans"]
+    rows = spark.createDataFrame([(1, text, *range(len(extra))), (2, text, *range(len(extra))), (3, None, *range(len(extra)))], "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in extra))
+    items = spark.createDataFrame([(7, "none of these words is there", 1)], "item_id long, text string, doc_id long")
+    for made, n in ((minhash_dedup.keep_first(rows), 2), (quality.clean(rows), 2), (paragraph_dedup.drop_repeats(rows), 3), (decontaminate.decontaminate(rows, items), 3), (line_dedup.drop_common_lines(rows).drop("n_lines", "n_dropped"), 3)):
+        assert made.columns == rows.columns
+        got = made.collect()
+        assert len(got) == n and all([r[c] for c in extra] == list(range(len(extra))) for r in got)
+    assert secret_scan.scan_versions(rows.withColumnRenamed("key", "blob"), keys=("doc_id", "blob")).columns == ["doc_id", "blob", "spans"]
+    with pytest.raises(ValueError):
+        secret_scan.scan_versions(rows, keys=("spans",))
+    assert packing.packed_documents(rows, "byte_bpe_50k.json").count() == 3
+    assert kneser_ney.scores(rows, kneser_ney.train(rows, ~kneser_ney.held_out())).count() == 3
+    assert decontaminate.contained_items(rows, items).count() == 0
+
+
+def test_empty_tables_of_pages_items_and_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame([(1, "five words are in this")], "doc_id long, text string")
+    assert html_wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert decontaminate.contained_items(docs, items).count() == 0 and decontaminate.contained_items(some, items).count() == 0
+    assert decontaminate.decontaminate(docs, items).count() == 0 and decontaminate.decontaminate(some, items).count() == 1
+    assert paragraph_dedup.drop_repeats(docs).count() == 0 and minhash_dedup.keep_first(docs).count() == 0
+
+
+def test_very_many_secrets_in_one_text(spark):
+    n = 100_000
+    text = "token=abcdef " * n
+    row = secret_scan.scan_versions(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert len(row) == 2 and [(s.start, s.stop) for s in row[0].spans] == [(13 * i, 13 * i + 12) for i in range(n)]
+
+
+def test_ids_and_counts_of_odd_texts_are_the_library_s():
+    rng = np.random.default_rng(5)
+    alphabet = [*"ab \n \n", "\xa0", "\u2003", "\t", "\r", "\x1c", "\x85", "é", "中", "<|", "the", "1", "'s", "!", "\u3000", "\x0b"]
+    ids, counts = tokenization.ByteLevelIds("byte_bpe_50k.json"), tokenization.UnitCounts("word_bpe_49k.json")
+    for _ in range(20_000):
+        text = "".join(rng.choice(alphabet, int(rng.integers(0, 12))))
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.encode(text), np.uint32).tolist() == want, text
+        units = counts.units(text)
+        assert (counts.whole(text) if units is None else sum(counts.counts(units))) == counts.whole(text), text
+    assert np.frombuffer(ids.encode("a\xa0b\n\xa0"), np.uint32).tolist() == ids.tokenizer.encode("a\xa0b\n\xa0", add_special_tokens=False).ids
+
+
+def test_scores_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.choice(words, int(rng.integers(0, 40)), p=np.arange(30, 0, -1) / 465))) for i in range(50)] + [(50, None), (51, "w1 unseen words W2")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    seq = {i: [*WORD.findall(low(t or "")), "</s>"] for i, t in texts}
+    held = {i for i in seq if zlib.crc32(str(i).encode()) % 7 == 2}
+    pair, one, total = Counter(), Counter(), Counter()
+    for i in seq.keys() - held:
+        for u, w in zip(["<s>", *seq[i]], seq[i]):
+            pair[u, w] += 1
+            one[w] += 1
+            total[u] += 1
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3)]
+        return [0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d))]
+
+    contexts = Counter(w for _, w in pair)
+    d, e, k_all, v = discounts(pair.values()), discounts(contexts.values()), len(pair), len(one)
+    rest = sum(e[min(k, 3)] for k in contexts.values()) / k_all / (v + 1)
+
+    def p(u, w):
+        low_p = max(contexts[w] - e[min(contexts[w], 3)], 0) / k_all + rest
+        if not total[u]:
+            return low_p
+        gamma = sum(d[min(c, 3)] for (x, _), c in pair.items() if x == u) / total[u]
+        return max(pair[u, w] - d[min(pair[u, w], 3)], 0) / total[u] + gamma * low_p
+
+    got = kneser_ney.scores(docs, kneser_ney.train(docs, ~kneser_ney.held_out())).collect()
+    n = sum(one.values())
+    assert len(got) == len(texts)
+    for r in got:
+        s = seq[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(s), sum(one[w] > 0 for w in s), n)
+        assert abs(r.base_score - sum(math.log10((one[w] + 1) / (n + 1 * (v + 1))) for w in s)) < 1e-6
+        assert abs(r.score - sum(math.log10(p(u, w)) for u, w in zip(["<s>", *s], s))) < 1e-6
