@@ -105,8 +105,9 @@ def candidates(tables: dict[str, DataFrame], config: dict[str, Any], clock: date
     # the configuration is bounded by what one JSON file holds, so its accounts can be sent everywhere
     joined = joined.join(F.broadcast(accounts(spark, config)), "organization_id", "left")
     attributes = {f: rules.text_attribute(F.col(f)) if f in ("title", "function", "seniority") else F.col(f"attr_{f}") for f in FIELDS}
-    direct = F.col("contributor_id").isin(*config["directContributorIds"])
-    made = joined.withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "direct": direct, "icp": rules.evaluate(config["icpRuleSet"], attributes), "persona": rules.evaluate(config["stakeholderPersonaRuleSet"], attributes)})
+    directs = spark.createDataFrame([(k, True) for k in sorted(set(config["directContributorIds"]))], "contributor_id string, direct boolean")
+    joined = joined.join(directs, "contributor_id", "left")
+    made = joined.withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "direct": F.coalesce("direct", F.lit(False)), "icp": rules.evaluate(config["icpRuleSet"], attributes), "persona": rules.evaluate(config["stakeholderPersonaRuleSet"], attributes)})
     coach = rules.evaluate(config["coachCandidateRuleSet"], attributes)["matched"] if "coachCandidateRuleSet" in config else F.lit(False)
     made = made.withColumns({"coach_matched": coach, "persona_outcome": rules.persona_outcome(F.col("persona"), config["scoring"])})
     made = made.withColumn("category", rules.category(F.col("direct"), F.col("is_target"), F.col("icp")["matched"], F.col("persona_outcome")))
@@ -143,7 +144,9 @@ def dependency_closure(found: DataFrame, tables: dict[str, DataFrame], policy: d
     snapshots = tables["source_snapshot"].select(F.col("source_snapshot_id").alias("snapshot"), F.col("contributor_id").alias("by_contributor"), F.col("consent_record_id").alias("by_consent"), "source_kind")
     consents = tables["consent"].select(F.col("consent_record_id").alias("by_consent"), disposition(clock).alias("disposition"), "purpose_id", F.col("contributor_id").alias("consent_contributor"), "allowed_categories", "source_classes")
     people = tables["contributor"].select(F.col("contributor_id").alias("by_contributor"), "status")
-    rows = each.join(snapshots, "snapshot", "left").join(consents, "by_consent", "left").join(people, "by_contributor", "left")
+    # what is known of a snapshot is brought together before the candidates' many rows meet it, once
+    known = snapshots.join(consents, "by_consent", "left").join(people, "by_contributor", "left")
+    rows = each.join(known, "snapshot", "left")
     there, given = F.col("source_kind").isNotNull(), F.col("source_kind").isNotNull() & F.col("disposition").isNotNull()
     codes = {
         "DEPENDENCY_SNAPSHOT_MISSING": ~there & (F.col("resolved") > 0),
@@ -208,6 +211,8 @@ def gates(config: dict[str, Any], policy: dict[str, Any]) -> list[tuple[str, Col
 
 def verdicts(tables: dict[str, DataFrame], config: dict[str, Any], policy: dict[str, Any], clock: datetime) -> DataFrame:
     """Every candidate with all its reasons, its disposition and its scores."""
+    # read three times below
+    tables = tables | {"evidence_ref": staged(tables["evidence_ref"].select("evidence_ref_id", "source_snapshot_id"), "evidence")}
     found = staged(candidates(tables, config, clock), "candidates")
     found = found.join(identity_summary(tables["identity_claim"]), "person_id", "left")
     found = found.join(scoped_organization_claims(found, tables), "relationship_edge_id", "left")
