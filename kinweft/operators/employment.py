@@ -28,9 +28,17 @@ def _conflict() -> Column:
     return F.coalesce((low != F.col("organization_id")) | (high != F.col("organization_id")), F.lit(False))
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """The claims with a current claim of the same person at another organization within 365 days of them."""
-    return claims.withColumn("__conflict", _conflict()).where("__conflict").drop("__conflict")
+def conflicts(claims: DataFrame, order: str) -> DataFrame:
+    """The claims that came after a current claim of the same person at another organization within 365 days of them.
+
+    ``order`` is the column in whose order claims came; those with equal order came together.  A range frame finds
+    the claims that have such a claim at all, which are few; only these are held against their person's claims.
+    """
+    maybe = claims.withColumn("__conflict", _conflict()).where("__conflict").drop("__conflict")
+    theirs = claims.where("state = 'current'").select("workspace_id", "person_id", F.col("organization_id").alias("__organization"), _millis().alias("__at"), F.col(order).alias("__order"))
+    same = [maybe[c] == theirs[c] for c in ("workspace_id", "person_id")]
+    near = (maybe["organization_id"] != theirs["__organization"]) & (theirs["__order"] < maybe[order]) & (F.abs(F.unix_millis(F.try_to_timestamp(maybe["observed_at"])) - theirs["__at"]) <= YEAR_MS)
+    return maybe.join(theirs, [*same, near], "left_semi")
 
 
 def disposition(claims: DataFrame, clock: datetime) -> DataFrame:
