@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweft.config import ConfigError, instant
@@ -39,8 +39,8 @@ def accept(records: DataFrame, stored: DataFrame, allowed_fields: list[str], sin
     """
     key = ["adapter_authorization_id", "provider_record_id"]
     known = stored.select(*key, F.col("record_digest_sha256").alias("__stored"))
-    first = records.groupBy(*key).agg(F.min_by("record_digest_sha256", F.struct("observed_at", "record_digest_sha256")).alias("__first"), F.count_distinct("record_digest_sha256").alias("__digests"))
-    made = records.join(known, key, "left").join(first, key)
+    same = Window.partitionBy(*key)
+    made = records.join(known, key, "left").withColumns({"__place": F.row_number().over(same.orderBy("observed_at", "record_digest_sha256")), "__digests": F.size(F.collect_set("record_digest_sha256").over(same))})
     seen = F.try_to_timestamp("observed_at")
     extra = F.size(F.array_except(F.json_object_keys("fields"), F.array(*[F.lit(f) for f in allowed_fields]))) > 0
     verdict = (
@@ -48,7 +48,7 @@ def accept(records: DataFrame, stored: DataFrame, allowed_fields: list[str], sin
         .when(extra, "FIELD_NOT_AUTHORIZED")
         .when(seen.isNull() | ~seen.between(F.to_timestamp(F.lit(since)), F.to_timestamp(F.lit(until))), "RECORD_OUTSIDE_TIME_WINDOW")
         .when((F.col("__stored") != F.col("record_digest_sha256")) | (F.col("__digests") > 1), "PROVIDER_RECORD_REBINDING_REJECTED")
-        .when(F.col("__stored").isNotNull(), "duplicate")
+        .when(F.col("__stored").isNotNull() | (F.col("__place") > 1), "duplicate")
         .otherwise("accepted")
     )
-    return made.withColumn("verdict", verdict).drop("__stored", "__first", "__digests")
+    return made.withColumn("verdict", verdict).drop("__stored", "__place", "__digests")

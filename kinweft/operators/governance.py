@@ -35,6 +35,12 @@ def withdrawal_dependants(tables: dict[str, DataFrame], consent_id: str) -> dict
     return found
 
 
+def latest_events(events: DataFrame) -> DataFrame:
+    """The last audit event of every workspace, which the next one continues."""
+    last = events.groupBy("workspace_id").agg(F.max("sequence").alias("sequence"))
+    return events.join(last, ["workspace_id", "sequence"]).select("workspace_id", "sequence", "hash")
+
+
 def withdraw(tables: dict[str, DataFrame], workspace: str, consent_id: str, reason: str, at: str, actor: str) -> tuple[dict[str, DataFrame], dict[str, Any]]:
     """The tables after a contributor's withdrawal, and the receipt, which has counts and digests only."""
     held = tables["consent"].where((F.col("workspace_id") == workspace) & (F.col("consent_record_id") == consent_id)).first()

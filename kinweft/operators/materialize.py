@@ -212,6 +212,17 @@ def resolve_organizations(first: DataFrame, claims: DataFrame, request: Request)
     return first.join(found, "row_number", "left")
 
 
+def employment_status(claims: DataFrame, order: str, imported_at: str) -> DataFrame:
+    """``claims`` with the ``review_status`` that an import gives them, in the order they came.
+
+    A claim against an earlier one is conflicted, one of more than a year before the import not reviewed.
+    """
+    clash = employment.conflicts(claims, order).select("employment_claim_id", order).distinct().withColumn("clash", F.lit(True))
+    late = (F.unix_millis(F.try_to_timestamp(F.lit(imported_at))) - F.unix_millis(F.try_to_timestamp("observed_at"))) > employment.YEAR_MS
+    status = F.when(F.col("clash"), "conflicted").when(F.coalesce(late, F.lit(True)), "unreviewed").otherwise("approved")
+    return claims.join(clash, ["employment_claim_id", order], "left").withColumn("review_status", status).drop("clash")
+
+
 def _as_table(df: DataFrame, name: str, request: Request, **columns: Column) -> DataFrame:
     exprs = {"workspace_id": F.lit(request.workspace), "source_snapshot_id": F.lit(request.snapshot()), **columns}
     return df.select(*[exprs.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.schema(name).fields])
@@ -257,11 +268,7 @@ def materialize(rows: DataFrame, request: Request, tables: dict[str, DataFrame])
     jobs = _as_table(works, "employment_claim", request, employment_claim_id=job, person_id=F.col("person_id"), organization_id=F.col("organization_id"), title=F.col("title"), state=F.lit("current"), evidence_refs=F.col("employment_evidence"), confidence=F.lit(0.7), observed_at=F.col("observed"), review_status=F.col("row_number").cast("string"))
     jobs = jobs.withColumn("position", F.col("review_status").cast("long"))
     before = tables["employment_claim"].withColumn("position", F.lit(-1).cast("long"))
-    clash = employment.conflicts(staged(before.unionByName(jobs), "employments"), "position").where("position >= 0").select("position").withColumn("clash", F.lit(True))
-    age = scalars.age_days(F.try_to_timestamp(F.lit(request.imported_at)), F.try_to_timestamp("observed_at"))
-    late = (F.unix_millis(F.try_to_timestamp(F.lit(request.imported_at))) - F.unix_millis(F.try_to_timestamp("observed_at"))) > employment.YEAR_MS
-    status = F.when(F.col("clash"), "conflicted").when(age.isNull() | late, "unreviewed").otherwise("approved")
-    jobs = jobs.join(clash, "position", "left").withColumn("review_status", status)
+    jobs = employment_status(staged(before.unionByName(jobs), "employments"), "position", request.imported_at).where("position >= 0")
     last = jobs.groupBy("employment_claim_id").agg(F.max("position").alias("position"))
     made["employment_claim"] = jobs.join(last, ["employment_claim_id", "position"]).select(*tables["employment_claim"].columns)
     edges = found.withColumn("refs", F.transform("records", lambda r: evidence_id(request, r, F.lit("relationship"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinweft.config import read_config, read_policy
 from kinweft.functions import digest, scalars
 from kinweft.operators import adapters, claims, consent, display, employment, evaluate, governance, rules
-from kinweft.plans import oracle, workload
+from kinweft.plans import ingest, oracle, workload
 from kinweft.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,7 @@ def withdrawal_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def employment_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return employment.conflicts(workload.tables(spark, sf_dir)["employment_claim"]).select("employment_claim_id")
+    return employment.conflicts(workload.tables(spark, sf_dir)["employment_claim"].withColumn("position", F.substring("employment_claim_id", 2, 20).cast("long")), "position").select("employment_claim_id")
 
 
 def employment_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,9 +274,9 @@ def queries() -> dict[str, Query]:
         ordered_results, category_counts, account_coverage, evidence_summary, display_revalidation, export_filter, withdrawal_cascade, employment_conflict, employment_disposition, alias_mapping, duplicate_groups, row_digest, claim_fanout, evidence_fanout, anchor_selection, email_risk,
         domain_normalize, formula_neutralize, terminal_escape, adapter_dedup, page_slice, audit_chain_verify, input_fingerprint,
     )
-    made = {f.__name__: f for f in names} | {f"rule_{k}": _rule(k) for k in _RULES}
+    made = {f.__name__: f for f in names} | ingest.queries() | {f"rule_{k}": _rule(k) for k in _RULES}
     return made | {name: _score(column) for name, column in (("path_confidence", "path_confidence"), ("freshness_score", "freshness"), ("review_priority", "review_priority"))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return oracle.SQL | ingest.SQL
