@@ -105,8 +105,10 @@ def records(text: str, mapping: Mapping):
             if text[at : at + 1] not in ("", "\n", delimiter):
                 raise ScanError("MALFORMED_QUOTING")
         else:
-            stops = [x for x in (text.find(delimiter, at), text.find("\n", at)) if x >= 0]
-            stop = min(stops, default=end)
+            line = text.find("\n", at)
+            line = end if line < 0 else line
+            stop = text.find(delimiter, at, line)  # never beyond the line: a file may have no delimiter at all
+            stop = line if stop < 0 else stop
             value = text[at:stop].replace("\r", "")
             if '"' in value:
                 raise ScanError("MALFORMED_QUOTING")
@@ -175,11 +177,14 @@ def guard(path: str, roots: list[str]) -> str:
     return whole
 
 
-def scan(spark: SparkSession, paths: str | list[str], mapping: Mapping) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], mapping: Mapping, roots: list[str] | None = None) -> DataFrame:
     """(path, raw_sha256, byte_count, preamble_lines, row_number, fields: map of target to text, error).
 
-    A file that fails is one row with its ``error`` code and no fields; nothing of it is read.
+    A file that fails is one row with its ``error`` code and no fields; nothing of it is read.  With ``roots``, paths
+    must be plain files under one of them (:func:`guard`); without, they are what the caller's file system has.
     """
+    if roots is not None:
+        paths = [guard(p, roots) for p in ([paths] if isinstance(paths, str) else paths)]
 
     def run(batches):
         for batch in batches:

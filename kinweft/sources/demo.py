@@ -66,9 +66,10 @@ def frames(spark: SparkSession, rows: dict[str, list[dict[str, Any]]]) -> dict[s
 
 def rows() -> dict[str, list[dict[str, Any]]]:
     """The rows of the demonstration workspace, by table."""
+    # Ids, names, instants and texts that the published digests are of.
     ws = {"workspace_id": WORKSPACE}
     out: dict[str, list[dict[str, Any]]] = {name: [] for name in schemas.TABLES}
-    out["workspace"].append(ws | {"name": "Synthetic Warm Path Demo", "owner_actor_id": "actor_demo", "purpose_id": PURPOSE, "policy_version": "1", "created_at": CLOCK})
+    out["workspace"].append(ws | {"name": "Demonstration workspace", "owner_actor_id": "actor_demo", "purpose_id": PURPOSE, "policy_version": "1", "created_at": CLOCK})
     for name, display, kind, disclosure in (("owner", "Demo Owner", "owner", "redacted_in_exports"), ("broker", "Demo Advisor", "advisor", "authorized_reviewers")):
         who = f"contributor_{name}"
         out["contributor"].append(ws | {"contributor_id": who, "display_name": display, "kind": kind, "status": "active", "created_at": CLOCK})
