@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinweft.llm.shared import durable, map_arrow
 from kinweft.llm.tokenization import UnitCounts
 
-#: Pre-tokens sent to every worker: about 10 MB, whatever the corpus.
+#: Pre-tokens sent to every worker, at most: about 10 MB, whatever the corpus.
 COMMON = 400_000
 _FLUSH = 400_000
 
@@ -61,6 +61,19 @@ def pieces(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
     return map_arrow(total, encode, "key long, unit string, freq long, pieces int")
 
 
+def _least_common(table: DataFrame) -> int:
+    """The least frequency that at most ``COMMON`` pre-tokens reach, from a histogram of frequencies."""
+    # above a few thousand, frequencies count by powers of two, so the histogram is small whatever the corpus
+    level = F.when(F.col("freq") < 4096, F.col("freq")).otherwise(F.expr("shiftleft(1L, cast(floor(log2(freq)) as int))"))
+    seen, least = 0, 1 << 62
+    for at, n in sorted(((r[0], r[1]) for r in table.groupBy(level.alias("level")).agg(F.count("*")).collect()), reverse=True):
+        seen += n
+        if seen > COMMON:
+            break
+        least = at
+    return least
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
@@ -69,7 +82,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     Repeated rows give repeated rows; other columns are ignored.
     """
     table = durable(pieces(docs, tokenizer, text_col), "pieces")
-    top = table.orderBy(F.desc("freq"), "key").limit(COMMON).select("unit", "pieces").toArrow()
+    top = table.where(F.col("freq") >= _least_common(table)).select("unit", "pieces").toArrow()
     common = docs.sparkSession.sparkContext.broadcast((top.column("unit").to_pylist(), top.column("pieces").to_pylist()))
 
     def run(batches):
