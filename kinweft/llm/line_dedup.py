@@ -162,19 +162,28 @@ def shard_filters(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         made = CuckooFilter.build(group.column("key").to_pylist())
         return pa.table({"shard": group.column("shard").slice(0, 1), "shards": pa.array([shards], pa.int32()), "keys": pa.array([group.num_rows], pa.int64()), "filter": pa.array([made.buckets.tobytes()], pa.binary())})
 
-    return common.withColumn("shard", F.expr(f"cast(pmod(xxhash64(key), {shards}) as int)")).groupBy("shard").applyInArrow(build, "shard int, shards int, keys long, filter binary")
+    # bytes of the digest that the filters themselves do not use
+    return common.withColumn("shard", F.expr(f"cast(pmod(cast(conv(hex(substring(key, 9, 4)), 16, 10) as bigint), {shards}) as int)")).groupBy("shard").applyInArrow(build, "shard int, shards int, keys long, filter binary")
 
 
 class Shards:
-    """All shards' filters, for probing.  A key's shard is stored with it by :func:`shard_filters`."""
+    """All shards' filters, for probing; a key asks the filter of its own shard only."""
 
     def __init__(self, rows: list[tuple[int, int, bytes]]):
-        self.filters = [CuckooFilter(np.frombuffer(raw, np.uint16).reshape(-1, _SLOTS)) for _, _, raw in rows]
+        self.shards = max((n for _, n, _ in rows), default=1)
+        self.filters = {shard: CuckooFilter(np.frombuffer(raw, np.uint16).reshape(-1, _SLOTS)) for shard, _, raw in rows}
 
     def contains(self, digests: list[bytes]) -> np.ndarray:
         hit = np.zeros(len(digests), bool)
-        for f in self.filters:
-            hit |= f.contains(digests)
+        if len(self.filters) == 1 and self.shards == 1:
+            return self.filters[0].contains(digests)
+        if digests:
+            flat = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+            shard = np.ascontiguousarray(flat[:, 8:12]).view(">u4").ravel() % self.shards
+            for s in np.unique(shard):
+                at = np.flatnonzero(shard == s)
+                if s in self.filters:
+                    hit[at] = self.filters[int(s)].contains([digests[i] for i in at])
         return hit
 
 
