@@ -327,8 +327,22 @@ def validate(tables: dict[str, DataFrame], config: dict[str, Any], policy: dict[
                 raise ConfigError(f"ORGANIZATION_ALIAS_APPROVAL_INVALID:{x['aliasId']}")
 
 
-def evaluate(tables: dict[str, DataFrame], config: Any, policy: Any, clock: str | datetime) -> Evaluation:
-    """Evaluate one workspace at a clock.  ``tables`` maps table names to DataFrames; missing ones are empty."""
+@dataclass(frozen=True)
+class Task:
+    """A checked evaluation that is still to be run, and the id that its inputs give it."""
+
+    audit_run_id: str
+    config_sha256: str
+    policy_sha256: str
+    input_set_sha256: str
+    config: dict[str, Any]
+    policy: dict[str, Any]
+    clock: datetime
+    tables: dict[str, DataFrame]
+
+
+def prepare(tables: dict[str, DataFrame], config: Any, policy: Any, clock: str | datetime) -> Task:
+    """Check what a run of one workspace needs.  ``tables`` maps table names to DataFrames; missing ones are empty."""
     config, policy = read_config(config), read_policy(policy)
     ws = config["workspaceId"]
     if policy["workspaceId"] != ws:
@@ -339,8 +353,18 @@ def evaluate(tables: dict[str, DataFrame], config: Any, policy: Any, clock: str
     validate(tables, config, policy, clock)
     inputs, hashes = input_set_sha256(tables, ws), (config_digest(config), config_digest(policy))
     run_id = scoped_id(ws, "audit_run", {"engineVersion": ENGINE_VERSION, "inputSetSha256": inputs, "configSha256": hashes[0], "policySha256": hashes[1], "runClock": iso(clock)})
-    found = staged(verdicts(tables, config, policy, clock), "verdicts")
-    return Evaluation(run_id, *hashes, inputs, clock, found, results(found, config, ws, run_id), _others(found, "blocked", ws, run_id), _others(found, "review_only", ws, run_id))
+    return Task(run_id, *hashes, inputs, config, policy, clock, tables)
+
+
+def run(task: Task) -> Evaluation:
+    ws, run_id = task.config["workspaceId"], task.audit_run_id
+    found = staged(verdicts(task.tables, task.config, task.policy, task.clock), "verdicts")
+    return Evaluation(run_id, task.config_sha256, task.policy_sha256, task.input_set_sha256, task.clock, found, results(found, task.config, ws, run_id), _others(found, "blocked", ws, run_id), _others(found, "review_only", ws, run_id))
+
+
+def evaluate(tables: dict[str, DataFrame], config: Any, policy: Any, clock: str | datetime) -> Evaluation:
+    """Evaluate one workspace at a clock."""
+    return run(prepare(tables, config, policy, clock))
 
 
 def results(found: DataFrame, config: dict[str, Any], ws: str, run_id: str) -> DataFrame:
@@ -360,10 +384,18 @@ def results(found: DataFrame, config: dict[str, Any], ws: str, run_id: str) -> D
     # two direct edges to one person are one finding: the last edge, in dictionary order, is kept
     last = Window.partitionBy("result_id").orderBy(F.desc(in_dictionary_order("edge")))
     made = made.withColumn("rank", F.row_number().over(last)).where("rank = 1").drop("rank", "edge")
+    return in_result_order(made)
+
+
+def in_result_order(made: DataFrame) -> DataFrame:
     return made.orderBy("category", F.desc("scores.review_priority"), in_dictionary_order("canonical_account_id"), in_dictionary_order("destination_person_id"), F.collate(F.coalesce("broker_contributor_id", F.lit("")), _ORDER), in_dictionary_order("result_id"))
 
 
 def _others(found: DataFrame, disposition_: str, ws: str, run_id: str) -> DataFrame:
     identity = json_object({"auditRunId": F.lit(f'"{run_id}"'), "category": json_string(F.col("category")), "edge": json_string(F.col("relationship_edge_id")), "employment": json_string(F.col("employment_claim_id"))})
     made = found.where(F.col("disposition") == disposition_).select(scoped_id_column(ws, "candidate", identity).alias("candidate_id"), "category", F.col("person_id").alias("destination_person_id"), "reason_codes")
+    return in_candidate_order(made)
+
+
+def in_candidate_order(made: DataFrame) -> DataFrame:
     return made.orderBy("category", in_dictionary_order("destination_person_id"), in_dictionary_order("candidate_id"))

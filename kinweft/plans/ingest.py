@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinweft import schemas
 from kinweft.functions import scalars
 from kinweft.functions.digest import json_object, json_string, scoped_id_column
-from kinweft.operators import adapters, governance, materialize
+from kinweft.operators import adapters, governance, materialize, normalize
 from kinweft.plans import workload
 
 REQUEST = materialize.Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", "m", "1", workload.CLOCK, "0" * 64)
@@ -112,8 +112,21 @@ def adapter_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def adapter_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim that provider records make of people, organizations and employments."""
+    records = workload.star(spark, sf_dir, "customer").selectExpr(
+        "concat('p', c_custkey) AS provider_record_id", "if(c_custkey % 2 = 0, 'crm', 'mail') AS kind", "'2001-01-01T00:00:00.000Z' AS observed_at", "concat('d', c_custkey) AS record_digest_sha256", "1L AS byte_count", "concat(' ', c_name) AS person_name",
+        "if(c_custkey % 3 = 0, concat('u', c_custkey % 50), null) AS person_provider_id", "if(c_custkey % 4 = 0, concat('A', c_custkey, '@X.example'), null) AS person_email", "if(c_custkey % 7 <> 0, c_mktsegment, null) AS organization_name",
+        "if(c_custkey % 2 = 1, concat('n', c_nationkey, '.example'), '') AS organization_domain", "if(c_custkey % 5 = 0, concat('c', c_custkey), null) AS crm_contact_id", "if(c_custkey % 3 = 1, concat('a', c_nationkey), null) AS crm_account_id",
+    )
+    made = normalize.normalize(records, normalize.Source(workload.WORKSPACE, "auth", "prov", "ten", "who", "consent", workload.CLOCK))
+    shown = (("identity_claim", "person_id", "kind", "value"), ("organization_claim", "organization_id", "kind", "value"), ("employment_claim", "person_id", "state", "organization_id"))
+    parts = [made[t].select(F.col(f"{t}_id").alias("claim_id"), F.col(who).alias("subject_id"), F.col(kind).alias("kind"), F.col(value).alias("value")) for t, who, kind, value in shown]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (row_canonicalize, row_staging, edge_derivation, person_resolution, organization_resolution, employment_derivation, import_idempotency, referential_check, email_functions, profile_url_normalize, scoped_ids, csv_cells, source_class_cover, latest_event, adapter_verdicts)
+    made = (adapter_normalization, row_canonicalize, row_staging, edge_derivation, person_resolution, organization_resolution, employment_derivation, import_idempotency, referential_check, email_functions, profile_url_normalize, scoped_ids, csv_cells, source_class_cover, latest_event, adapter_verdicts)
     return {f.__name__: f for f in made}
 
 
@@ -146,7 +159,22 @@ SELECT k AS row_number, outcome, count(*) OVER (PARTITION BY who) AS {{rows}}, m
 
 _DIGEST = "sha256('{' || CASE WHEN company IS NULL THEN '' ELSE '\"company_name\":\"' || company || '\",' END || '\"full_name\":\"' || name || '\"}')"
 
+def _json(**fields: str) -> str:
+    """A JSON object of SQL texts, its keys in the order given."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":"' || {v} || '"'""" for k, v in fields.items()) + " || '}'"
+
+
+_BOUND = _json(adapterAuthorizationId="'auth'", providerRecordId="'p' || k", providerTenantId="'ten'", recordDigest="'d' || k")
+
 SQL = {
+    "adapter_normalization": f"""WITH c AS (SELECT c_custkey AS k, c_name AS name, c_nationkey AS n, c_custkey % 2 = 0 AS crm, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS org FROM customer),
+r AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'u' || (k % 50) WHEN crm AND k % 5 = 0 THEN 'c' || k ELSE 'p' || k END AS anchor, CASE WHEN crm AND k % 3 = 1 THEN 'a' || n END AS account, CASE WHEN NOT crm THEN 'n' || n || '.example' END AS domain FROM c),
+a AS (SELECT *, {_hmac("adapter_snapshot", _BOUND)} AS snap, {_hmac("person", _json(namespace="'prov:ten'", personAnchor="anchor"))} AS person, {_hmac("organization", _json(namespace="'prov:ten'", organizationAnchor="coalesce(account, domain, org)"))} AS firm FROM r),
+i AS (SELECT snap, person, 'name' AS kind, name AS v FROM a UNION ALL SELECT snap, person, 'provider_id', anchor FROM a UNION ALL SELECT snap, person, 'email', 'a' || k || '@x.example' FROM a WHERE k % 4 = 0),
+o AS (SELECT snap, firm, 'name' AS kind, org AS v FROM a WHERE org IS NOT NULL UNION ALL SELECT snap, firm, 'domain', domain FROM a WHERE org IS NOT NULL AND domain IS NOT NULL UNION ALL SELECT snap, firm, 'crm_id', account FROM a WHERE org IS NOT NULL AND account IS NOT NULL)
+SELECT {_hmac("adapter_identity", _json(kind="kind", personId="person", snapshotId="snap", value="v"))} AS claim_id, person AS subject_id, kind, v AS value FROM i
+UNION ALL SELECT {_hmac("adapter_org_claim", _json(kind="kind", organizationId="firm", snapshotId="snap", value="v"))}, firm, kind, v FROM o
+UNION ALL SELECT {_hmac("adapter_employment", _json(organizationId="firm", personId="person", snapshotId="snap"))}, person, 'unknown', firm FROM a WHERE org IS NOT NULL""",
     "row_canonicalize": r"""
 WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS full_name, CASE WHEN c_custkey % 7 = 0 THEN 'nobody' ELSE 'u' || c_custkey || '@corp.example' END AS email,
   CASE WHEN c_custkey % 13 <> 0 THEN 'n' || c_nationkey || '.example' END AS company_domain, CASE c_custkey % 5 WHEN 0 THEN '2001-02-03T00:00:00.000Z' WHEN 1 THEN '2001-02-03T04:05:06.789Z' WHEN 2 THEN '2001-02-03T00:00:00.000Z' END AS connected_on FROM customer)
