@@ -6,6 +6,10 @@ the document.  Keys that occur in at least ``min_docs`` documents are put into c
 each shard of the key space; filters support deletion too, and answer for most lines without a look at
 the table.  The few rare keys that a filter takes for common ones are found by probing the exact table
 once, so results are exact.
+
+Filters up to a size are sent to all workers.  Beyond it, lines are sent to the tasks of their shards, which are
+made ready by the shard's filter and its false positives; how many tasks a shard has follows from its reference
+counts, so a line that every document has is spread over many.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from kinweft.llm.shared import durable, map_arrow
 
 MIN_DOCS = 10
 KEYS_PER_SHARD = 200_000
-#: Above so many bytes of filters, or so many false positives, lines are joined instead of broadcast.
+#: Above so many bytes of filters, or so many false positives, lines go to the filters instead of filters to lines.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_KEYS = 200_000
+#: Lines for each task there; a shard with more of them has copies of its filter in several tasks.
+LINES_PER_TASK = 10_000_000
 
 _U = np.uint64
 _SLOTS = 4
@@ -153,6 +159,11 @@ def update_counts(table: DataFrame, inserted: DataFrame | None = None, deleted:
     return total.withColumn("refs", sound.cast("long")).where("refs > 0")
 
 
+def _shard(shards: int):
+    """A key's shard, by bytes of the digest that the filters themselves do not use."""
+    return F.expr(f"cast(pmod(cast(conv(hex(substring(key, 9, 4)), 16, 10) as bigint), {shards}) as int)")
+
+
 def shard_filters(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(shard, shards, keys, filter): a cuckoo filter for each shard of the keys in ``min_docs`` documents or more."""
     common = table.where(F.col("refs") >= min_docs).select("key")
@@ -162,8 +173,7 @@ def shard_filters(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         made = CuckooFilter.build(group.column("key").to_pylist())
         return pa.table({"shard": group.column("shard").slice(0, 1), "shards": pa.array([shards], pa.int32()), "keys": pa.array([group.num_rows], pa.int64()), "filter": pa.array([made.buckets.tobytes()], pa.binary())})
 
-    # bytes of the digest that the filters themselves do not use
-    return common.withColumn("shard", F.expr(f"cast(pmod(cast(conv(hex(substring(key, 9, 4)), 16, 10) as bigint), {shards}) as int)")).groupBy("shard").applyInArrow(build, "shard int, shards int, keys long, filter binary")
+    return common.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, "shard int, shards int, keys long, filter binary")
 
 
 class Shards:
@@ -213,7 +223,7 @@ def drop_common_lines(docs: DataFrame, table: DataFrame | None = None, text_col:
     filters = durable(shard_filters(table, min_docs), "line-filters")
     size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
     if size > BROADCAST_BYTES:
-        return _drop_joined(docs, table, text_col, min_docs)
+        return _drop_routed(docs, table, filters, text_col, min_docs)
     context = docs.sparkSession.sparkContext
     shards = context.broadcast([tuple(r) for r in filters.select("shard", "shards", "filter").collect()])
 
@@ -225,7 +235,7 @@ def drop_common_lines(docs: DataFrame, table: DataFrame | None = None, text_col:
 
     wrong = durable(map_arrow(table.where(F.col("refs") < min_docs).select("key"), probe, "key binary"), "line-false")
     if wrong.count() > BROADCAST_KEYS:
-        return _drop_joined(docs, table, text_col, min_docs)
+        return _drop_routed(docs, table, filters, text_col, min_docs)
     rare = context.broadcast({r[0] for r in wrong.collect()})
     at = docs.columns.index(text_col)
 
@@ -257,8 +267,44 @@ def drop_common_lines(docs: DataFrame, table: DataFrame | None = None, text_col:
     return _named(map_arrow(made, run, _numbered(docs.schema, at)), docs.columns, at)
 
 
-def _drop_joined(docs: DataFrame, table: DataFrame, text_col: str, min_docs: int) -> DataFrame:
-    """The same by a join of all distinct lines, for filters too large to send to every worker."""
+def _found_in_shards(asked: DataFrame, filters: DataFrame, wrong: DataFrame | None) -> DataFrame:
+    """The rows (text_key, key) of ``asked`` whose key its shard's filter holds and ``wrong`` does not.
+
+    ``filters`` has (shard, shards, filter, tasks).  A task reads a shard's filter, then its false positives, then
+    its lines, in this order, and holds the first two only.
+    """
+    shards, tasks = filters.agg(F.coalesce(F.max("shards"), F.lit(1)), F.coalesce(F.sum("tasks"), F.lit(1))).first()
+    # one row for each shard of 200,000 common keys or so; how it is joined is left to Spark's check of its size
+    where, every = filters.select("shard", "tasks"), F.explode(F.expr("sequence(0L, tasks - 1)")).alias("task")
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = filters.select("shard", every, F.lit(0).alias("kind"), none("long").alias("text_key"), none("binary").alias("key"), "filter")
+    if wrong is not None:
+        parts = parts.unionByName(wrong.withColumn("shard", _shard(shards)).join(where, "shard").select("shard", every, F.lit(1).alias("kind"), none("long").alias("text_key"), "key", none("binary").alias("filter")))
+    lines = asked.withColumn("shard", _shard(shards)).join(where, "shard")
+    parts = parts.unionByName(lines.select("shard", F.expr("pmod(xxhash64(text_key, key), tasks)").alias("task"), F.lit(2).alias("kind"), "text_key", "key", none("binary").alias("filter")))
+
+    def run(batches):
+        held, no = None, set()
+        for batch in batches:
+            kinds, keys = batch.column(2).to_numpy(), batch.column(4)
+            heads = np.flatnonzero(kinds == 0)
+            hit = np.zeros(batch.num_rows, bool)
+            for a, b in zip([0, *heads], [*heads, batch.num_rows], strict=True):
+                if a < b and kinds[a] == 0:
+                    held, no = CuckooFilter(np.frombuffer(batch.column(5)[int(a)].as_py(), np.uint16).reshape(-1, _SLOTS)), set()
+                no.update(keys[int(i)].as_py() for i in np.flatnonzero(kinds[a:b] == 1) + a)
+                at = np.flatnonzero(kinds[a:b] == 2) + a
+                if len(at):
+                    ask = keys.take(pa.array(at)).to_pylist()
+                    hit[at] = held.contains(ask) & np.array([k not in no for k in ask], bool)
+            yield batch.filter(pa.array(hit, pa.bool_())).select(["text_key", "key"])
+
+    width = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(tasks))
+    return map_arrow(parts.repartition(width, "shard", "task").sortWithinPartitions("shard", "task", "kind"), run, "text_key long, key binary")
+
+
+def _drop_routed(docs: DataFrame, table: DataFrame, filters: DataFrame, text_col: str, min_docs: int) -> DataFrame:
+    """The same with all distinct lines sent to the filters, where these are too large to send to every worker."""
 
     def explode(batches):
         for batch in batches:
@@ -271,7 +317,11 @@ def _drop_joined(docs: DataFrame, table: DataFrame, text_col: str, min_docs: int
 
     named = docs.withColumn("__text_key", F.xxhash64(text_col))
     lines = map_arrow(named.select("__text_key", F.col(text_col).cast("binary")), explode, "text_key long, key binary").distinct()
-    gone = lines.join(table.where(F.col("refs") >= min_docs).select("key"), "key", "left_semi").groupBy("text_key").agg(F.collect_list("key").alias("__gone"))
+    load = table.groupBy(_shard(filters.agg(F.coalesce(F.max("shards"), F.lit(1))).first()[0]).alias("shard")).agg(F.ceil(F.sum("refs") / LINES_PER_TASK).alias("tasks"))
+    filters = durable(filters.join(load, "shard"), "line-filters")
+    rare = table.where(F.col("refs") < min_docs).select(F.lit(0).cast("long").alias("text_key"), "key")
+    wrong = durable(_found_in_shards(rare, filters, None).select("key"), "line-false")
+    gone = _found_in_shards(lines, filters, wrong).groupBy("text_key").agg(F.collect_list("key").alias("__gone"))
     both = named.join(gone.withColumnRenamed("text_key", "__text_key"), "__text_key", "left")
     at, last = docs.columns.index(text_col), len(docs.columns)
 
