@@ -75,12 +75,12 @@ def violations(table: str, df: DataFrame) -> DataFrame:
     columns = df.columns
     if "confidence" in columns:
         gates["CONFIDENCE_RANGE"] = ~F.col("confidence").between(0.0, 1.0)
-    for c in ("observed_at", "granted_at", "expires_at", "imported_at", "decided_at", "created_at"):
+    for c in ("observed_at", "granted_at", "expires_at", "withdrawn_at", "imported_at", "decided_at", "created_at"):
         if c in columns:
             gates[f"INVALID_{c.upper()}"] = F.col(c).isNotNull() & F.try_to_timestamp(c).isNull()
     if table == "consent":
         granted, expires, withdrawn = (F.try_to_timestamp(c) for c in ("granted_at", "expires_at", "withdrawn_at"))
-        gates["CONSENT_CHRONOLOGY"] = (expires <= granted) | (withdrawn < granted)
+        gates["CONSENT_CHRONOLOGY"] = F.coalesce(expires <= granted, F.lit(False)) | F.coalesce(withdrawn < granted, F.lit(False))
         gates["DUPLICATE_SCOPE"] = ~_sorted_unique(F.col("source_classes")) | ~_sorted_unique(F.col("allowed_categories"))
     if table == "organization_alias_candidate":
         gates["APPROVED_WITHOUT_CANONICAL"] = (F.col("status") == "approved") & F.col("approved_canonical_organization_id").isNull()

@@ -2,8 +2,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from kinweft import cli
+from kinweft import cli, schemas
 from kinweft.config import ConfigError
 from kinweft.operators import evaluate, normalize
 from kinweft.operators.runs import Runs
@@ -108,3 +109,10 @@ def test_records_become_claims_without_an_edge(spark):
     assert got["employment_claim"][0].state == "unknown" and got["employment_claim"][0].evidence_refs[0] in {r.evidence_ref_id for r in got["evidence_ref"]}
     empty = normalize.normalize(spark.createDataFrame([], _ddl(columns)), normalize.Source("w", "a", "p", "t", "c", "k", "t0"))
     assert all(df.isEmpty() for df in empty.values())
+
+
+def test_a_consent_without_withdrawal_is_sound(spark):
+    consents = demo.seed(spark)["consent"]
+    assert schemas.violations("consent", consents).isEmpty()
+    early = consents.withColumn("withdrawn_at", F.lit("2020-01-01T00:00:00.000Z"))
+    assert {tuple(r["gate_codes"]) for r in schemas.violations("consent", early).collect()} == {("CONSENT_CHRONOLOGY",)}
