@@ -18,12 +18,18 @@ from kinweft.llm.shared import free, new_path
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of ``pattern`` of which group ``group`` has at least ``least`` characters."""
+    """A kind of secret: matches of ``pattern`` of which group ``group`` has at least ``least`` characters.
+
+    ``after`` is a class of characters (the inside of square brackets); a match does not begin behind one of them.
+    Patterns take time linear in the text: no group repeats without a bound, and where a class is followed by what it
+    holds itself, ``after`` lets a run of it be tried from its beginning only.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    after: str = ""
 
 
 BASE_RULES = (
@@ -33,21 +39,21 @@ BASE_RULES = (
 )
 #: Well-known credential formats, beyond the base rules.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", after="A-Za-z0-9_-"),
     Rule("host_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", after="A-Za-z0-9+.-"),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 
 
 def running(sizes: Column) -> Column:
     """The sums of an array of integers before each of its elements.
 
-    Within blocks of about the square root of their number and over the blocks, so a text of very many matches
-    costs no square of them.
+    Beyond 64 of them within blocks of about the square root of their number and over the blocks, so a text of very
+    many matches costs no square of them.
     """
 
     def grown(a: Column) -> Column:
@@ -63,13 +69,16 @@ def running(sizes: Column) -> Column:
 
         return let(F.struct(parts.alias("parts")), placed)
 
-    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(let(F.struct(sizes.alias("a")), dealt))
+    few = F.slice(grown(sizes), 1, F.size(sizes))
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).when(F.size(sizes) <= 64, few).otherwise(let(F.struct(sizes.alias("a")), dealt))
 
 
 def _spans(text: Column, order: int, rule: Rule) -> Column:
     """array(struct(start, kind_order, kind, stop)) of one rule; code points, ``stop`` exclusive."""
     # hexadecimal runs shorter than wanted are skipped by the pattern: a run is matched whole or not at all
     pattern = "[0-9a-f]{%d,}" % rule.least if rule.pattern == "[0-9a-f]+" else rule.pattern
+    if rule.after:
+        pattern = f"(?<![{rule.after}])" + pattern
     kind = "array<struct<start:int,kind_order:int,kind:string,stop:int>>"
 
     def place(z: Column) -> Column:

@@ -49,9 +49,11 @@ FROM l LEFT JOIN hot ON l.k = hot.k GROUP BY doc_id
 
 def _found(order: int) -> str:
     rule = RULES[order]
-    pattern = rule.pattern.replace("'", "''")
-    return rf"""f{order} AS (SELECT doc_id, len(a[i]) AS before, len(m[i]) AS size, len(g[i]) AS part, i FROM (SELECT doc_id, a, m, g, unnest(range(1, len(m) + 1)) AS i
-  FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS a, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS g FROM d))),
+    # what may not stand before a match is matched as a group of its own and taken off again
+    pattern = (f"(^|[^{rule.after}])" if rule.after else "()") + rule.pattern.replace("'", "''")
+    group = rule.group and rule.group + 1
+    return rf"""f{order} AS (SELECT doc_id, len(a[i]) + len(b[i]) AS before, len(m[i]) - len(b[i]) AS size, len(g[i]) AS part, i FROM (SELECT doc_id, a, b, m, g, unnest(range(1, len(m) + 1)) AS i
+  FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS a, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS g, regexp_extract_all(text, '{pattern}', 1) AS b FROM d))),
 s{order} AS (SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, stop - size AS start, stop FROM (SELECT *, sum(before + size) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM f{order}) WHERE part >= {rule.least})"""
 
 

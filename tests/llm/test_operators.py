@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -399,3 +400,18 @@ def test_scores_against_brute_force(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(s), sum(one[w] > 0 for w in s), n)
         assert abs(r.base_score - sum(math.log10((one[w] + 1) / (n + 1 * (v + 1))) for w in s)) < 1e-6
         assert abs(r.score - sum(math.log10(p(u, w)) for u, w in zip(["<s>", *s], s))) < 1e-6
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN ", "-----BEGIN RSA PRIVATE KEY-----", "AB ", "eyJ", "eyJabcdefgh.", "a://", "ab.", "a://b:", "gh", "ghp_", "xoxb-", "xoxb-a", "AKIA", "0", "password", "password = ", "token\"", "api_key "])
+def test_secret_rules_take_linear_time_on_what_they_begin_with(spark, unit):
+    text = "-----BEGIN " + unit * (1_000_000 // len(unit)) + "KEY"
+    began = time.monotonic()
+    rows = secret_scan.scan_versions(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(rows) == 1 and time.monotonic() - began < 60
+
+
+def test_a_secret_does_not_begin_inside_a_run(spark):
+    jwt = "eyJabcdefgh.eyJabcdefgh.abcdefgh"
+    texts = {1: f"x{jwt}", 2: f"{jwt} {jwt}", 3: f"x.{jwt}", 4: "longerschemethanallowed://a:b@", 5: "http://a:b@ftp://c:d@", 6: "-----BEGIN RSA PRIVATE KEY-----\nabc=\n-----END RSA PRIVATE KEY-----", 7: "-----BEGIN PRIVATE KEY-----ab-----END PRIVATE KEY-----"}
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in secret_scan.scan_versions(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [("jwt", 0, 32), ("jwt", 33, 65)], 3: [("jwt", 2, 34)], 4: [], 5: [("url_login", 0, 11), ("url_login", 11, 21)], 6: [("pem", 0, 67 - 1)], 7: [("pem", 0, 54)]}
