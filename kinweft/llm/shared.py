@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; a larger row is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -63,3 +64,33 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: A table is sent to all executors up to so many bytes; beyond, it is dealt out so many times, and the other side once.
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
+
+
+def held_bytes(df: DataFrame):
+    """About the bytes of a row: its texts, and 16 for every column and element."""
+    size = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 48 * F.greatest(F.size(F.col(f"`{name}`")), F.lit(0))
+    return size
+
+
+def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which is broadcast only if it was measured to be below ``BROADCAST_BYTES``.
+
+    Beyond that, ``small`` is dealt out ``SALTS`` times and each row of ``big`` goes to one of them by the hash of
+    all it holds, so a key that very many rows of ``big`` have is spread.  ``small`` is computed twice: pass one that
+    is cheap or written.
+    """
+    if small.agg(F.coalesce(F.sum(held_bytes(small)), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    salt = free("salt", [*big.columns, *small.columns])
+    dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn(salt, F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).join(dealt, [*keys, salt], how).drop(salt)
