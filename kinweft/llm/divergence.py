@@ -18,6 +18,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,16 +92,31 @@ def _scan(least: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["lang", "term", "source", "n", "lang_n", "first"])
 
         for batch in batches:
-            for lang, term, source, n_docs, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "source", "n_docs", "n")), strict=True):
-                if key != (lang, term):
+            if not batch.num_rows:
+                continue
+            lang, term, source = (batch.column(c) for c in ("lang", "term", "source"))
+            changes = lambda c: pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            other_term = np.r_[True, changes(lang) | changes(term)]
+            runs, parts = np.flatnonzero(other_term), np.flatnonzero(other_term | np.r_[True, changes(source)])
+            docs = np.add.reduceat(batch.column("n_docs").to_numpy(), runs)
+            sums = np.add.reduceat(batch.column("n").to_numpy(), parts)
+            bounds = np.r_[np.searchsorted(parts, runs), len(parts)]
+            # a run that is whole in the batch and too rare needs no look; the first and the last may go on elsewhere
+            seen = docs >= least
+            seen[0] = seen[-1] = True
+            for r in np.flatnonzero(seen).tolist():
+                of = (lang[runs[r]].as_py(), term[runs[r]].as_py())
+                if of != key:
                     close()
-                    key, in_docs, sources, counts = (lang, term), 0, [], []
-                in_docs += n_docs
-                if sources and sources[-1] == source:
-                    counts[-1] += n
-                else:
-                    sources.append(source)
-                    counts.append(n)
+                    key, in_docs, sources, counts = of, 0, [], []
+                in_docs += int(docs[r])
+                here = slice(bounds[r], bounds[r + 1])
+                for s, n in zip(source.take(parts[here]).to_pylist(), sums[here].tolist(), strict=True):
+                    if sources and sources[-1] == s:
+                        counts[-1] += n
+                    else:
+                        sources.append(s)
+                        counts.append(n)
             if len(made) > 50_000:
                 yield out()
         close()
@@ -199,7 +215,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, lang_co
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     partial = map_arrow(rows, _fold, _PARTIAL)
     runs = partial.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "block")
-    kept = durable(map_arrow(runs, _scan(least_docs), _KEPT), "terms")
+    kept = durable(map_arrow(runs.drop("block"), _scan(least_docs), _KEPT), "terms")
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum(F.col("first").cast("long")).alias("v"))
     groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0)
