@@ -10,7 +10,7 @@ from kinweft.sources.csv_scan import Mapping, ScanError, parse
 from kinweft.sources.store import Store
 from kinweft.streaming import adapter_stream
 
-MAPPING = {"columns": [{"sourceHeader": "First", "targetField": "given_name", "required": True}, {"source_header": "Last", "target_field": "family_name", "required": True}], "headerMode": "detect_required_headers", "maxPreambleLines": 3}
+MAPPING = {"columns": [{"sourceHeader": "First", "targetField": "first_name", "required": True}, {"source_header": "Last", "target_field": "last_name", "required": True}], "headerMode": "detect_required_headers", "maxPreambleLines": 3}
 
 
 def test_preamble_is_skipped_and_quotes_are_undone():
@@ -41,7 +41,7 @@ def test_scan_gives_rows_or_one_error(spark, tmp_path):
     (tmp_path / "b.csv").write_text("First,Last\na\n")
     rows = csv_scan.scan(spark, str(tmp_path), Mapping.read(MAPPING))
     good = rows.where("error is null").orderBy("row_number").collect()
-    assert [r.fields for r in good] == [{"given_name": "a", "family_name": "b"}, {"given_name": "c", "family_name": "d"}]
+    assert [r.fields for r in good] == [{"first_name": "a", "last_name": "b"}, {"first_name": "c", "last_name": "d"}]
     assert [r.error for r in csv_scan.failures(rows).collect()] == ["COLUMN_COUNT_MISMATCH"]
     assert csv_scan.guard(str(tmp_path / "a.csv"), [str(tmp_path)])
     for bad, code in (("http://x/a", "URL"), ("a.csv", "ABSOLUTE"), ("/etc/passwd", "OUTSIDE"), (str(tmp_path), "REGULAR")):
