@@ -28,7 +28,7 @@ from kinweft.llm.shared import durable, map_arrow, small_join
 LEAST_DOCS = 10
 TOP = 10
 #: Counts that a task holds before it passes them on, bytes of a text looked at together, entries of a run's chunk.
-HELD, SLICE, CHUNK = 300_000, 1 << 20, 200_000
+HELD, SLICE, CHUNK = 100_000, 1 << 20, 50_000
 #: Bytes to term bytes, A-Z lower-cased, and everything that stands in no term to a space.  All bytes of characters
 #: from U+0080 on are 0x80 or more.
 _TERM = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
