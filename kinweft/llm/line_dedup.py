@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweft.llm.shared import durable, map_arrow
+from kinweft.llm.shared import durable, free, map_arrow
 
 MIN_DOCS = 10
 KEYS_PER_SHARD = 200_000
@@ -315,14 +315,15 @@ def _drop_routed(docs: DataFrame, table: DataFrame, filters: DataFrame, text_col
                 digests += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary())], names=["text_key", "key"])
 
-    named = docs.withColumn("__text_key", F.xxhash64(text_col))
-    lines = map_arrow(named.select("__text_key", F.col(text_col).cast("binary")), explode, "text_key long, key binary").distinct()
+    text_key, gone_name = free("text_key_", docs.columns), free("gone_", docs.columns)
+    named = docs.withColumn(text_key, F.xxhash64(text_col))
+    lines = map_arrow(named.select(text_key, F.col(text_col).cast("binary")), explode, "text_key long, key binary").distinct()
     load = table.groupBy(_shard(filters.agg(F.coalesce(F.max("shards"), F.lit(1))).first()[0]).alias("shard")).agg(F.ceil(F.sum("refs") / LINES_PER_TASK).alias("tasks"))
     filters = durable(filters.join(load, "shard"), "line-filters")
     rare = table.where(F.col("refs") < min_docs).select(F.lit(0).cast("long").alias("text_key"), "key")
     wrong = durable(_found_in_shards(rare, filters, None).select("key"), "line-false")
-    gone = _found_in_shards(lines, filters, wrong).groupBy("text_key").agg(F.collect_list("key").alias("__gone"))
-    both = named.join(gone.withColumnRenamed("text_key", "__text_key"), "__text_key", "left")
+    gone = _found_in_shards(lines, filters, wrong).groupBy("text_key").agg(F.collect_list("key").alias(gone_name))
+    both = named.join(gone.withColumnRenamed("text_key", text_key), text_key, "left")
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
@@ -338,5 +339,5 @@ def _drop_routed(docs: DataFrame, table: DataFrame, filters: DataFrame, text_col
             cols[at] = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[f"c{k}" for k in range(last + 2)])
 
-    made = both.select(*[F.col(f"`{c}`").cast("binary") if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__gone")
+    made = both.select(*[F.col(f"`{c}`").cast("binary") if c == text_col else F.col(f"`{c}`") for c in docs.columns], gone_name)
     return _named(map_arrow(made, run, _numbered(docs.schema, at)), docs.columns, at)

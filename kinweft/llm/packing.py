@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.llm.shared import durable, map_arrow
+from kinweft.llm.shared import durable, free, map_arrow
 from kinweft.llm.tokenization import ByteLevelIds
 
 #: Pieces that one group packs: a task holds about 1 MB of lengths, whatever the corpus.
@@ -108,8 +108,9 @@ def pack(pieces: DataFrame, size: int, group: int = GROUP) -> DataFrame:
         number = table.column(last).to_numpy().astype(np.int64)
         return pa.table([*table.columns[:last], pa.array((number << 40) + bins), pa.array(offsets)], names=[*table.column_names[:last], "sequence_id", "offset"])
 
-    dealt = pieces.withColumn("__group", F.expr(f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in pieces.columns)}, monotonically_increasing_id()), {groups}) as int)"))
-    return dealt.groupBy("__group").applyInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    name = free("group", pieces.columns)
+    dealt = pieces.withColumn(name, F.expr(f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in pieces.columns)}, monotonically_increasing_id()), {groups}) as int)"))
+    return dealt.groupBy(name).applyInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -415,3 +415,18 @@ def test_a_secret_does_not_begin_inside_a_run(spark):
     texts = {1: f"x{jwt}", 2: f"{jwt} {jwt}", 3: f"x.{jwt}", 4: "longerschemethanallowed://a:b@", 5: "http://a:b@ftp://c:d@", 6: "-----BEGIN RSA PRIVATE KEY-----\nabc=\n-----END RSA PRIVATE KEY-----", 7: "-----BEGIN PRIVATE KEY-----ab-----END PRIVATE KEY-----"}
     got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in secret_scan.scan_versions(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {1: [], 2: [("jwt", 0, 32), ("jwt", 33, 65)], 3: [("jwt", 2, 34)], 4: [], 5: [("url_login", 0, 11), ("url_login", 11, 21)], 6: [("pem", 0, 67 - 1)], 7: [("pem", 0, 54)]}
+
+
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, -1])
+def test_names_that_the_line_filters_use_may_be_there(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+    names = ["__gone", "__text_key", "gone_", "text_key_", "text_key", "key"]
+    rows = spark.createDataFrame([(i, "line\nown", *range(len(names))) for i in range(12)], "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names))
+    made = line_dedup.drop_common_lines(rows).collect()
+    assert len(made) == 12 and all([r[c] for c in names] == list(range(len(names))) and r.text == "" for r in made)
+
+
+def test_packing_may_have_groups(spark):
+    pieces = spark.createDataFrame([(i, 5, "x", "y") for i in range(10)], "id long, length long, `__group` string, `group` string")
+    made = packing.pack(pieces, 10).collect()
+    assert len(made) == 10 and {r["__group"] + r["group"] for r in made} == {"xy"} and len({r.sequence_id for r in made}) == 5
