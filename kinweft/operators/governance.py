@@ -15,9 +15,15 @@ from kinweft.config import ConfigError
 from kinweft.functions.digest import camel, canonical_json, json_object, json_value, scoped_id, sha256, sha256_hex
 from kinweft.session import shared_dir
 
+#: Immutable tables whose rows go when the consent they rest on is withdrawn.
+CASCADED = ("evidence_ref", "source_snapshot", "adapter_metadata_record")
 CLAIMS = {"identity_claim": "identity_claim_id", "organization_claim": "organization_claim_id", "employment_claim": "employment_claim_id"}
 
 
+#: The tables that rows rest on a consent in.
+DEPENDENT = ("source_snapshot", "evidence_ref", "relationship_edge", *CLAIMS, "coverage_result", "adapter_metadata_record")
+
+
 def withdrawal_dependants(tables: dict[str, DataFrame], consent_id: str) -> dict[str, DataFrame]:
     """What rests on a consent, by table: its snapshots and edges, their evidence, claims on it, and results.
 
@@ -47,14 +53,7 @@ def withdraw(tables: dict[str, DataFrame], workspace: str, consent_id: str, reas
     if held is None:
         raise ConfigError("CONSENT_NOT_FOUND")
     gone = withdrawal_dependants(tables, consent_id)
-    n = {k: v.count() for k, v in gone.items()}
-    counts = {"snapshots": n["source_snapshot"], "evidence": n["evidence_ref"], "claims": sum(n[c] for c in CLAIMS), "edges": n["relationship_edge"], "results": n["coverage_result"], "adapter_records": n["adapter_metadata_record"]}
-    scope = sha256_hex(canonical_json({"workspaceId": workspace, "contributorId": held["contributor_id"], "consentRecordId": consent_id, "counts": counts}))
-    receipt = {
-        "workspaceId": workspace, "receiptId": scoped_id(workspace, "receipt", {"consentRecordId": consent_id, "at": at}), "operation": "contributor_withdrawal", "subjectScopeDigest": scope, "requestedAt": at, "completedAt": at, "status": "completed_with_external_actions_required",
-        "policyId": held["retention_policy_id"], "policyVersion": "1", "counts": counts, "externalActionsRequired": ["operator_backups_and_copied_exports"], "personalValuesIncluded": False, "otherContributorIdsIncluded": False,
-        "auditChainHash": sha256_hex(canonical_json({"actorId": actor, "reasonCode": sha256_hex(reason), "scopeDigest": scope, "at": at})),
-    }
+    made = receipt(held.asDict(), {k: v.count() for k, v in gone.items()}, reason, at, actor)
     after = dict(tables)
     for name, rows in gone.items():
         key = schemas.KEYS[name]
@@ -63,39 +62,61 @@ def withdraw(tables: dict[str, DataFrame], workspace: str, consent_id: str, reas
     after["consent"] = tables["consent"].withColumns({"status": F.when(mine, "withdrawn").otherwise(F.col("status")), "withdrawn_at": F.when(mine, at).otherwise(F.col("withdrawn_at")), "withdrawal_reason": F.when(mine, reason).otherwise(F.col("withdrawal_reason"))})
     theirs = F.col("contributor_id") == held["contributor_id"]
     after["contributor"] = tables["contributor"].withColumn("status", F.when(theirs, "withdrawn").otherwise(F.col("status")))
-    return after, receipt
+    return after, made
+
+
+def receipt(consent: dict[str, Any], n: dict[str, int], reason: str, at: str, actor: str) -> dict[str, Any]:
+    """The receipt of a withdrawal that removed ``n`` rows of each table."""
+    workspace, consent_id = consent["workspace_id"], consent["consent_record_id"]
+    counts = {"snapshots": n["source_snapshot"], "evidence": n["evidence_ref"], "claims": sum(n[c] for c in CLAIMS), "edges": n["relationship_edge"], "results": n["coverage_result"], "adapter_records": n["adapter_metadata_record"]}
+    scope = sha256_hex(canonical_json({"workspaceId": workspace, "contributorId": consent["contributor_id"], "consentRecordId": consent_id, "counts": counts}))
+    return {
+        "workspaceId": workspace, "receiptId": scoped_id(workspace, "receipt", {"consentRecordId": consent_id, "at": at}), "operation": "contributor_withdrawal", "subjectScopeDigest": scope, "requestedAt": at, "completedAt": at, "status": "completed_with_external_actions_required",
+        "policyId": consent["retention_policy_id"], "policyVersion": "1", "counts": counts, "externalActionsRequired": ["operator_backups_and_copied_exports"], "personalValuesIncluded": False, "otherContributorIdsIncluded": False,
+        "auditChainHash": sha256_hex(canonical_json({"actorId": actor, "reasonCode": sha256_hex(reason), "scopeDigest": scope, "at": at})),
+    }
+
+
+def _decision(workspace: str, subject_type: str, subject: str, decision: str, actor: str, reason: str, at: str) -> dict[str, Any]:
+    name = scoped_id(workspace, "review", {"candidateId": subject, "decision": decision, "actorId": actor, "decidedAt": at})
+    return {"workspace_id": workspace, "review_decision_id": name, "subject_type": subject_type, "subject_id": subject, "actor_id": actor, "decision": decision, "reason": reason, "decided_at": at, "prior_state": "pending", "organization_alias_authorization": None}
 
 
 def decide_alias(candidate: dict[str, Any], decision: str, actor: str, reason: str, at: str) -> tuple[dict[str, Any], dict[str, Any]]:
     """The candidate and the immutable decision after a review of an organization alias.
 
-    An approval maps the proposed organization to its one conflicting organization, or to itself where there is none.
+    An approval maps the proposed organization to its one conflicting organization, or to itself where there is none
+    or more than one.
     """
     if candidate["status"] != "pending":
-        raise ConfigError("CANDIDATE_NOT_PENDING")
-    if not reason.strip() or decision not in ("approve", "reject", "defer"):
+        raise ConfigError("ALIAS_DECISION_ALREADY_RECORDED")
+    if not reason.strip() or decision not in ("approve", "reject"):
         raise ConfigError("REVIEW_DECISION_INVALID")
     conflicts = candidate.get("conflict_organization_ids") or []
-    if decision == "approve" and len(conflicts) > 1:
-        raise ConfigError("ALIAS_CANONICAL_AMBIGUOUS")
-    canonical = conflicts[0] if conflicts else candidate["proposed_organization_id"]
-    made = dict(candidate)
-    if decision != "defer":
-        made["status"] = "approved" if decision == "approve" else "rejected"
-    said = None
-    if decision == "approve":
-        made["approved_canonical_organization_id"] = canonical
-        said = {"source_organization_id": candidate["proposed_organization_id"], "canonical_organization_id": canonical, "alias_kind": candidate["alias_kind"], "alias_value": candidate["alias_value"]}
-    subject = candidate["organization_alias_candidate_id"]
-    name = scoped_id(candidate["workspace_id"], "review_decision", {"subjectId": subject, "decision": decision, "actorId": actor, "decidedAt": at})
-    return made, {"workspace_id": candidate["workspace_id"], "review_decision_id": name, "subject_type": "organization_alias", "subject_id": subject, "actor_id": actor, "decision": decision, "reason": reason, "decided_at": at, "prior_state": "pending", "organization_alias_authorization": said}
-
-
-def decide_person(candidate: dict[str, Any], decision: str) -> dict[str, Any]:
-    """The person candidate after a review; its edge and claims stay as they are."""
+    canonical = conflicts[0] if len(conflicts) == 1 else candidate["proposed_organization_id"]
+    said = _decision(candidate["workspace_id"], "organization_alias", candidate["organization_alias_candidate_id"], decision, actor, reason, at)
+    if decision == "reject":
+        return candidate | {"status": "rejected"}, said
+    said["organization_alias_authorization"] = {"source_organization_id": candidate["proposed_organization_id"], "canonical_organization_id": canonical, "alias_kind": candidate["alias_kind"], "alias_value": candidate["alias_value"]}
+    return candidate | {"status": "approved", "approved_canonical_organization_id": canonical}, said
+
+
+def alias_claim(candidate: dict[str, Any], decision: dict[str, Any]) -> dict[str, Any] | None:
+    """The claim that an approved alias becomes: its value names the organization it stands for."""
+    allowed = decision["organization_alias_authorization"]
+    if allowed is None:
+        return None
+    name = scoped_id(candidate["workspace_id"], "organization_claim", {"candidateId": candidate["organization_alias_candidate_id"], "decisionId": decision["review_decision_id"]})
+    return {"workspace_id": candidate["workspace_id"], "organization_claim_id": name, "organization_id": allowed["canonical_organization_id"], "kind": "alias", "namespace": "approved_alias", "value": candidate["alias_value"], "evidence_refs": candidate["evidence_refs"], "confidence": 1.0, "observed_at": decision["decided_at"], "review_status": "approved"}
+
+
+def decide_person(candidate: dict[str, Any], decision: str, actor: str, reason: str, at: str) -> tuple[dict[str, Any], dict[str, Any]]:
+    """The candidate and the immutable decision after a review of a person; edge and claims stay as they are."""
     if candidate["status"] != "pending":
-        raise ConfigError("CANDIDATE_NOT_PENDING")
-    return candidate | ({} if decision == "defer" else {"status": "approved" if decision == "approve" else "rejected"})
+        raise ConfigError("PERSON_RESOLUTION_DECISION_ALREADY_RECORDED")
+    if not reason.strip() or decision not in ("approve", "reject"):
+        raise ConfigError("REVIEW_DECISION_INVALID")
+    return candidate | {"status": "approved" if decision == "approve" else "rejected"}, _decision(candidate["workspace_id"], "person_resolution", candidate["resolution_candidate_id"], decision, actor, reason, at)
 
 
 def consent_change_errors(old: dict[str, Any], new: dict[str, Any]) -> list[str]:

@@ -43,6 +43,8 @@ class Request:
     mapping_version: str
     imported_at: str
     raw_sha256: str
+    byte_count: int | None = None
+    record_count: int | None = None
 
     def binding(self) -> dict[str, str]:
         return {"workspaceId": self.workspace, "contributorId": self.contributor, "consentRecordId": self.consent, "sourceKind": self.source_kind, "mappingId": self.mapping, "mappingVersion": self.mapping_version, "rawSha256": self.raw_sha256}
@@ -104,10 +106,13 @@ def canonical_rows(rows: DataFrame, required: tuple[str, ...] = ()) -> DataFrame
     return made.withColumns({"reject_code": code, "full_name": name, "email": email, "company_domain": domain, "profile_url": url, **dates})
 
 
-def stage_rows(canonical: DataFrame, raw: list[str], request: Request) -> DataFrame:
-    """Rows with ``row_digest`` (of the ``raw`` columns), ``group_digest`` (of the canonical fields), and ``record_id``."""
+def stage_rows(canonical: DataFrame, raw: list[str] | None, request: Request) -> DataFrame:
+    """Rows with ``row_digest``, ``group_digest`` (of the canonical fields), and ``record_id``.
+
+    The row's digest is that of its ``raw`` columns; without ``raw`` the rows bring it.
+    """
     json = lambda names: json_object({n: json_string(F.col(n).cast("string")) for n in names})
-    made = canonical.withColumns({"row_digest": sha256(json(raw)), "group_digest": sha256(json(FIELDS))})
+    made = canonical.withColumns({"row_digest": F.col("row_digest") if raw is None else sha256(json(raw)), "group_digest": sha256(json(FIELDS))})
     record = json_object({"sourceSnapshotId": json_string(F.lit(request.snapshot())), "rowNumber": F.col("row_number").cast("string"), "rowDigest": json_string(F.col("row_digest"))})
     return made.withColumn("record_id", scoped_id_column(request.workspace, "record", record))
 
@@ -276,8 +281,8 @@ def materialize(rows: DataFrame, request: Request, tables: dict[str, DataFrame])
     edge = name("edge", contributorId=F.lit(request.contributor), sourceSnapshotId=F.lit(snapshot), personId=F.col("person_id"))
     made["relationship_edge"] = _as_table(edges.join(last, ["person_id", "row_number"]), "relationship_edge", request, relationship_edge_id=edge, contributor_id=F.lit(request.contributor), destination_person_id=F.col("person_id"), consent_record_id=F.lit(request.consent), assertion_kind=F.lit("contributed_direct_connection"), observed_at=F.col("observed"), confidence=F.lit(1.0), evidence_refs=F.col("refs"), eligible=~review)
     one = rows.sparkSession.range(1)
-    made["source_snapshot"] = _as_table(one, "source_snapshot", request, contributor_id=F.lit(request.contributor), consent_record_id=F.lit(request.consent), source_kind=F.lit(ns), raw_sha256=F.lit(request.raw_sha256), idempotency_key=F.lit(request.key()), mapping_id=F.lit(request.mapping), mapping_version=F.lit(request.mapping_version), imported_at=F.lit(request.imported_at), transform_version=F.lit(TRANSFORM))
-    made["import_transaction"] = _as_table(one, "import_transaction", request, import_transaction_id=F.lit(scoped_id(ws, "import", request.key())), status=F.lit("committed"), created_at=F.lit(request.imported_at))
+    made["source_snapshot"] = _as_table(one, "source_snapshot", request, contributor_id=F.lit(request.contributor), consent_record_id=F.lit(request.consent), source_kind=F.lit(ns), raw_sha256=F.lit(request.raw_sha256), idempotency_key=F.lit(request.key()), mapping_id=F.lit(request.mapping), mapping_version=F.lit(request.mapping_version), imported_at=F.lit(request.imported_at), transform_version=F.lit(TRANSFORM), byte_count=F.lit(request.byte_count), record_count=F.lit(request.record_count), raw_retained=F.lit(False), network_accessed=F.lit(False))
+    made["import_transaction"] = _as_table(one, "import_transaction", request, import_transaction_id=F.lit(scoped_id(ws, "import", request.key())), contributor_id=F.lit(request.contributor), consent_record_id=F.lit(request.consent), source_kind=F.lit(ns), mapping_id=F.lit(request.mapping), mapping_version=F.lit(request.mapping_version), raw_sha256=F.lit(request.raw_sha256), idempotency_key=F.lit(request.key()), status=F.lit("committed"), failure_codes=F.array().cast("array<string>"), row_count=F.lit(request.record_count), created_at=F.lit(request.imported_at), completed_at=F.lit(request.imported_at))
     return made
 
 

@@ -29,12 +29,16 @@ TABLES: dict[str, str] = {
     "review_decision": "workspace_id string, review_decision_id string, subject_type string, subject_id string, actor_id string, decision string, reason string, decided_at string, prior_state string, organization_alias_authorization struct<source_organization_id:string,canonical_organization_id:string,alias_kind:string,alias_value:string>",
     "suppression_rule": "workspace_id string, suppression_rule_id string, kind string, value string, reason_code string, effective_at string, expires_at string",
     "adapter_metadata_record": "workspace_id string, adapter_metadata_record_id string, adapter_authorization_id string, contributor_id string, consent_record_id string, provider string, provider_tenant_id string, provider_record_id string, source_kind string, observed_at string, imported_at string, record_digest_sha256 string, fields string, network_accessed boolean, raw_retained boolean",
-    "import_transaction": "workspace_id string, import_transaction_id string, source_snapshot_id string, status string, error_code string, row_count long, created_at string",
+    "import_transaction": "workspace_id string, import_transaction_id string, source_snapshot_id string, contributor_id string, consent_record_id string, source_kind string, mapping_id string, mapping_version string, raw_sha256 string, idempotency_key string, status string, failure_codes array<string>, row_count long, created_at string, completed_at string",
     "audit_event": "workspace_id string, audit_event_id string, sequence long, event_type string, actor_id string, occurred_at string, subject_type string, subject_id string, payload_sha256 string, previous_hash string, hash string",
     "deletion_receipt": "workspace_id string, deletion_receipt_id string, consent_record_id string, actor_id string, requested_at string, completed_at string, counts map<string,long>, dependency_digest_sha256 string",
     "coverage_result": "workspace_id string, audit_run_id string, result_id string, category string, destination_person_id string, canonical_account_id string, persona_outcome string, candidate_label string, broker_contributor_id string, relationship_edge_id string, dependencies struct<contributor_ids:array<string>,consent_record_ids:array<string>,source_snapshot_ids:array<string>,evidence_ref_ids:array<string>,relationship_edge_ids:array<string>,mixed_source_rule:string>, scores struct<account_fit:int,persona_fit:int,relationship_confidence:int,employment_confidence:int,path_confidence:int,freshness:int,review_priority:int>, reason_codes array<string>, evidence_refs array<string>, consent_disposition string, suppression_status string",
 }
 
+#: The version of these schemas.  Tables whose columns were others before are listed under the version that had them.
+VERSION = 2
+OLDER: dict[int, dict[str, str]] = {1: {"import_transaction": "workspace_id string, import_transaction_id string, source_snapshot_id string, status string, error_code string, row_count long, created_at string"}}
+
 #: The column that identifies a row of each table within its workspace.
 KEYS: dict[str, str] = {
     "workspace": "workspace_id", "contributor": "contributor_id", "consent": "consent_record_id", "person": "person_id", "identity_claim": "identity_claim_id", "organization": "organization_id",
@@ -52,8 +56,20 @@ INPUTS = ("contributor", "consent", "person", "identity_claim", "organization",
 ID_PATTERN = r"\A[a-zA-Z0-9][a-zA-Z0-9._:-]{0,199}\z"
 
 
-def schema(table: str) -> T.StructType:
-    return T.StructType.fromDDL(TABLES[table])
+def schema(table: str, version: int = VERSION) -> T.StructType:
+    """A table's columns in a version: the oldest listing from that version on, else the newest."""
+    found = next((OLDER[v][table] for v in sorted(OLDER) if v >= version and table in OLDER[v]), TABLES[table])
+    return T.StructType.fromDDL(found)
+
+
+def _with_bindings(df: DataFrame) -> DataFrame:
+    """Imports tell what they were bound to, and may fail for several reasons."""
+    names = ("contributor_id", "consent_record_id", "source_kind", "mapping_id", "mapping_version", "raw_sha256", "idempotency_key", "completed_at")
+    return df.withColumns({c: F.lit(None).cast("string") for c in names} | {"failure_codes": F.when(F.col("error_code").isNotNull(), F.array("error_code")).otherwise(F.array().cast("array<string>"))})
+
+
+#: (version, name, {table: upgrade of its rows from the version before}), in order.
+UPGRADES = ((2, "import bindings", {"import_transaction": _with_bindings}),)
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:

@@ -66,7 +66,7 @@ def store_problem(path: str) -> str | None:
 def reset_store(path: str, allowed_root: str) -> bool:
     """Remove a store's folder below ``allowed_root``; False if there is none.
 
-    A folder that holds anything but a store (no ``_manifests``) or any link or file of several names stays whole.
+    A folder that is not a store (no ``_log`` nor ``_manifests``) or holds any link or file of several names stays whole.
     """
     if problem := store_problem(path):
         raise ConfigError(problem)
@@ -75,7 +75,7 @@ def reset_store(path: str, allowed_root: str) -> bool:
         raise ConfigError("RESET_OUTSIDE_ROOT")
     if not at.exists():
         return False
-    if not (at / "_manifests").is_dir() or any(not p.is_dir() and not _plain_file(p) or p.is_symlink() for p in at.rglob("*")):
+    if not ((at / "_log").is_dir() or (at / "_manifests").is_dir()) or any(not p.is_dir() and not _plain_file(p) or p.is_symlink() for p in at.rglob("*")):
         raise ConfigError("RESET_NOT_A_PLAIN_STORE")
     shutil.rmtree(at)
     return True
