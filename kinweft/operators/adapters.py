@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweft.config import ConfigError, instant
@@ -13,18 +13,31 @@ from kinweft.config import ConfigError, instant
 LIMITS = {"page": 1000, "pages": 100, "records": 10_000, "record_bytes": 64 * 1024}
 
 
+def _checks(a: Any, workspace: str, adapter: str, provider: str, purpose: str, capability: str, between: Any, holds: Any, absent: Any) -> dict[str, Any]:
+    """What must hold of an authorization, by the code that refuses it; in order."""
+    return {
+        "ADAPTER_AUTHORIZATION_WORKSPACE_MISMATCH": a["workspace_id"] == workspace, "ADAPTER_AUTHORIZATION_ADAPTER_MISMATCH": (a["adapter_id"] == adapter) & (a["provider"] == provider), "ADAPTER_AUTHORIZATION_PURPOSE_MISMATCH": a["purpose_id"] == purpose,
+        "ADAPTER_AUTHORIZATION_REVOKED": absent(a["revoked_at"]) & (a["status"] == "active"), "ADAPTER_AUTHORIZATION_NOT_ACTIVE": between(a["authorized_at"], a["expires_at"]), "ADAPTER_CAPABILITY_DENIED": holds(a["capabilities"], capability),
+    }
+
+
 def authorize(authorization: dict[str, Any], workspace: str, adapter: str, provider: str, purpose: str, capability: str, at: datetime) -> None:
     """Raise unless the authorization lets this adapter read this kind of metadata for this purpose now."""
-    checks = {
-        "ADAPTER_AUTHORIZATION_WORKSPACE_MISMATCH": authorization["workspace_id"] == workspace, "ADAPTER_AUTHORIZATION_ADAPTER_MISMATCH": authorization["adapter_id"] == adapter and authorization["provider"] == provider,
-        "ADAPTER_AUTHORIZATION_PURPOSE_MISMATCH": authorization["purpose_id"] == purpose, "ADAPTER_AUTHORIZATION_REVOKED": authorization.get("revoked_at") is None and authorization["status"] == "active",
-        "ADAPTER_AUTHORIZATION_NOT_ACTIVE": instant(authorization["authorized_at"]) <= at < instant(authorization["expires_at"]), "ADAPTER_CAPABILITY_DENIED": capability in authorization["capabilities"],
-    }
-    for code, ok in checks.items():
+    held = {"revoked_at": None} | authorization
+    for code, ok in _checks(held, workspace, adapter, provider, purpose, capability, lambda a, b: instant(a) <= at < instant(b), lambda xs, x: x in xs, lambda x: x is None).items():
         if not ok:
             raise ConfigError(code)
 
 
+def refusal(workspace: str, adapter: str, provider: str, purpose: str, capability: str, at: datetime) -> Column:
+    """The same of a table of authorizations: the code that refuses a row, or null.  What is unknown is refused."""
+    now = F.lit(at)
+    columns = {c: F.col(c) for c in ("workspace_id", "adapter_id", "provider", "purpose_id", "revoked_at", "status", "authorized_at", "expires_at", "capabilities")}
+    between = lambda a, b: (F.try_to_timestamp(a) <= now) & (now < F.try_to_timestamp(b))
+    made = _checks(columns, workspace, adapter, provider, purpose, capability, between, F.array_contains, lambda x: x.isNull())
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in made.items()])
+
+
 def deduplicate(records: DataFrame, key: list[str], order: str) -> DataFrame:
     """(key, order, duplicates): the first record of each key, and how many others have it."""
     return records.groupBy(*key).agg(F.min(order).alias(order), (F.count("*") - 1).alias("duplicates"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import islice
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweft import schemas
@@ -126,15 +127,50 @@ def consent_change_errors(old: dict[str, Any], new: dict[str, Any]) -> list[str]
     return bad + (["CONSENT_REACTIVATED"] if old["status"] != "active" and new["status"] == "active" else [])
 
 
+def change_codes(old: Column, new: Column) -> Column:
+    """:func:`consent_change_errors` of struct columns of a stored and a new consent."""
+    codes = [F.when(~old[k].eqNullSafe(new[k]), f"CONSENT_{k.upper()}_CHANGED") for k in ("contributor_id", "purpose_id", "authorization_basis")]
+    codes += [F.when(F.size(F.array_except(new[k], old[k])) > 0, f"CONSENT_{k.upper()}_WIDENED") for k in ("source_classes", "allowed_categories")]
+    return F.array_compact(F.array(*codes, F.when((old["status"] != "active") & (new["status"] == "active"), "CONSENT_REACTIVATED")))
+
+
+def postings(tables: dict[str, DataFrame]) -> DataFrame:
+    """(workspace_id, consent_record_id, table_name, row_id): what rests on each consent, every row once for a consent.
+
+    Snapshots, edges and provider records name theirs; evidence rests on its snapshot's, a claim on that of each
+    evidence it refers to, a result on all that it lists.  Evidence is joined by its id, so a claim's references are
+    exploded once for all consents.
+    """
+    def shown(df: DataFrame, name: str) -> DataFrame:
+        return df.select("workspace_id", "consent_record_id", F.lit(name).alias("table_name"), F.col(schemas.KEYS[name]).cast("string").alias("row_id"))
+
+    there = {k: tables[k] for k in DEPENDENT if k in tables}
+    made = [shown(there[k], k) for k in ("source_snapshot", "relationship_edge", "adapter_metadata_record") if k in there]
+    evidence = tables["evidence_ref"].join(tables["source_snapshot"].select("workspace_id", "source_snapshot_id", "consent_record_id"), ["workspace_id", "source_snapshot_id"])
+    made.append(shown(evidence, "evidence_ref"))
+    rests = evidence.select("workspace_id", F.col("evidence_ref_id").alias("ref"), "consent_record_id")
+    claims = [there[k].select("workspace_id", F.lit(k).alias("table_name"), F.col(schemas.KEYS[k]).alias("row_id"), F.explode(F.array_distinct("evidence_refs")).alias("ref")) for k in CLAIMS if k in there]
+    if claims:
+        both = reduce(DataFrame.unionByName, claims).join(rests, ["workspace_id", "ref"])
+        made.append(both.select("workspace_id", "consent_record_id", "table_name", "row_id").distinct())
+    if "coverage_result" in there:
+        made.append(shown(there["coverage_result"].withColumn("consent_record_id", F.explode(F.array_distinct("dependencies.consent_record_ids"))), "coverage_result"))
+    return reduce(DataFrame.unionByName, made)
+
+
 _BODY = ("workspace_id", "sequence", "event_type", "actor_id", "occurred_at", "subject_type", "subject_id", "payload_sha256", "previous_hash")
 
 
+def _linked(body: dict[str, Any]) -> dict[str, Any]:
+    """An event's body with its hash and id."""
+    digest = sha256_hex(canonical_json({camel(k): v for k, v in body.items()}))
+    return body | {"audit_event_id": scoped_id(body["workspace_id"], "audit_event", {"sequence": body["sequence"], "hash": digest}), "hash": digest}
+
+
 def audit_event(workspace: str, sequence: int, previous: str | None, event: tuple) -> dict[str, Any]:
     """The next event of a chain; ``event`` is (type, actor, instant, subject type, subject id, payload)."""
     kind, actor, when, subject_type, subject, payload = event
-    body = dict(zip(_BODY, (workspace, sequence, kind, actor, when, subject_type, subject, sha256_hex(canonical_json(payload)), previous), strict=True))
-    digest = sha256_hex(canonical_json({camel(k): v for k, v in body.items()}))
-    return body | {"audit_event_id": scoped_id(workspace, "audit_event", {"sequence": sequence, "hash": digest}), "hash": digest}
+    return _linked(dict(zip(_BODY, (workspace, sequence, kind, actor, when, subject_type, subject, sha256_hex(canonical_json(payload)), previous), strict=True)))
 
 
 def chained(events: Iterable[tuple], workspace: str, after: dict[str, Any] | None = None) -> Iterator[dict[str, Any]]:
@@ -163,18 +199,56 @@ def staged_audit_frame(spark: SparkSession, events: Iterable[dict[str, Any]], bl
     return spark.read.schema(schemas.schema("audit_event")).parquet(path)
 
 
+def chained_frame(events: DataFrame) -> DataFrame:
+    """The chains of all workspaces at once.
+
+    ``events`` has (workspace_id, place, event_type, actor_id, occurred_at, subject_type, subject_id, payload: canonical
+    JSON).  A workspace's events are chained by ``place``: its chain is serial by nature and made by one task, which
+    streams them and holds one batch and the last hash.
+    """
+    kind = schemas.schema("audit_event")
+    names = ("workspace_id", "event_type", "actor_id", "occurred_at", "subject_type", "subject_id", "payload_sha256")
+    rows = events.withColumn("payload_sha256", F.sha2("payload", 256)).repartition("workspace_id").sortWithinPartitions("workspace_id", "place").select(*names)
+
+    def run(batches):
+        import pyarrow as pa
+
+        last: dict[str, Any] | None = None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                goes_on = last is not None and last["workspace_id"] == row["workspace_id"]
+                last = _linked(row | {"sequence": last["sequence"] + 1 if goes_on else 1, "previous_hash": last["hash"] if goes_on else None})
+                made.append(last)
+            yield pa.RecordBatch.from_pydict({f.name: pa.array([m[f.name] for m in made], pa.int64() if f.name == "sequence" else pa.string()) for f in kind.fields})
+
+    return rows.mapInArrow(run, kind)
+
+
+#: Events of a block whose number is known without looking into it.
+BLOCK = 10_000
+
+
 def first_break(events: DataFrame) -> DataFrame:
     """(workspace_id, events, first_index, reason): where each workspace's chain breaks first; null where it holds.
 
-    Each event is checked against its predecessor in a window, its hash by an expression.
+    An event meets its predecessor by a join on the number before its own, so a chain of any length is checked by all
+    tasks; the place of the first break is the number of events before it, counted by blocks.
     """
-    w = Window.partitionBy("workspace_id").orderBy("sequence")
     kinds = {f.name: f.dataType for f in schemas.schema("audit_event").fields}
     body = json_object({camel(c): F.coalesce(json_value(F.col(c), kinds[c]), F.lit("null")) for c in _BODY})
+    before = events.select("workspace_id", (F.col("sequence") + 1).alias("sequence"), F.struct("hash").alias("before"))
     reason = (
-        F.when(F.col("sequence") != F.row_number().over(w), "sequence gap")
-        .when(~F.col("previous_hash").eqNullSafe(F.lag("hash").over(w)), "previous hash mismatch")
+        F.when(F.col("before").isNull() & (F.col("sequence") != 1), "sequence gap")
+        .when(~F.col("previous_hash").eqNullSafe(F.col("before.hash")), "previous hash mismatch")
         .when(F.col("hash") != sha256(body), "event hash mismatch")
     )
-    checked = events.withColumns({"__index": F.row_number().over(w) - 1, "__reason": reason})
-    return checked.groupBy("workspace_id").agg(F.count("*").alias("events"), F.min(F.when(F.col("__reason").isNotNull(), F.col("__index"))).alias("first_index"), F.min_by("__reason", F.when(F.col("__reason").isNotNull(), F.col("__index"))).alias("reason"))
+    bad = events.join(before, ["workspace_id", "sequence"], "left").select("workspace_id", "sequence", reason.alias("reason")).where("reason is not null")
+    first = bad.groupBy("workspace_id").agg(F.min(F.struct("sequence", "reason")).alias("first"))
+    number = F.floor(F.col("sequence") / BLOCK)
+    blocks = events.groupBy("workspace_id", number.alias("block")).agg(F.count("*").alias("n"))
+    own = first.select("workspace_id", F.floor(F.col("first.sequence") / BLOCK).alias("block"), F.col("first.sequence").alias("upto"))
+    inside = events.select("workspace_id", "sequence", number.alias("block")).join(own, ["workspace_id", "block"]).where("sequence < upto").groupBy("workspace_id").agg(F.count("*").alias("inside"))
+    counted = blocks.join(own.select("workspace_id", F.col("block").alias("own_block")), "workspace_id", "left").groupBy("workspace_id").agg(F.sum("n").alias("events"), F.sum(F.when(F.col("block") < F.col("own_block"), F.col("n")).otherwise(0)).alias("earlier"))
+    made = counted.join(first, "workspace_id", "left").join(inside, "workspace_id", "left")
+    return made.select("workspace_id", "events", F.when(F.col("first").isNotNull(), F.col("earlier") + F.coalesce("inside", F.lit(0))).alias("first_index"), F.col("first.reason").alias("reason"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinweft.config import read_config, read_policy
 from kinweft.functions import digest, scalars
 from kinweft.operators import adapters, claims, consent, display, employment, evaluate, governance, rules
-from kinweft.plans import ingest, oracle, workload
+from kinweft.plans import ingest, oracle, scans, workload
 from kinweft.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,14 +255,6 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.star(spark, sf_dir, "events").select("event_id").orderBy("event_id").offset(200).limit(100)
 
 
-def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of all consents' grants, and the first event at which it breaks after one was changed."""
-    consents = workload.tables(spark, sf_dir)["consent"].select(F.col("consent_record_id").alias("id")).orderBy("id")
-    granted = (("consent.granted", "actor", workload.CLOCK, "consent", r["id"], {"id": r["id"]}) for r in consents.toLocalIterator())
-    changed = (e | ({"actor_id": "someone"} if e["sequence"] == 20 else {}) for e in governance.chained(granted, workload.WORKSPACE))
-    return governance.first_break(governance.staged_audit_frame(spark, changed))
-
-
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of input entities and an order-free digest of them."""
     return spark.createDataFrame([(workload.WORKSPACE, evaluate.input_set_fingerprint(workload.tables(spark, sf_dir), workload.WORKSPACE))], "workspace_id string, fingerprint string")
@@ -272,11 +264,11 @@ def queries() -> dict[str, Query]:
     names = (
         coverage_audit, latest_employment, consent_disposition, eligible_edges, rule_set_score, persona_outcome, category_classify, identity_summary, organization_claims_in_scope, dependency_closure, evidence_incomplete, gate_reasons, disposition_split, suppression_union, suppression_anti,
         ordered_results, category_counts, account_coverage, evidence_summary, display_revalidation, export_filter, withdrawal_cascade, employment_conflict, employment_disposition, alias_mapping, duplicate_groups, row_digest, claim_fanout, evidence_fanout, anchor_selection, email_risk,
-        domain_normalize, formula_neutralize, terminal_escape, adapter_dedup, page_slice, audit_chain_verify, input_fingerprint,
+        domain_normalize, formula_neutralize, terminal_escape, adapter_dedup, page_slice, input_fingerprint,
     )
-    made = {f.__name__: f for f in names} | ingest.queries() | {f"rule_{k}": _rule(k) for k in _RULES}
+    made = {f.__name__: f for f in names} | ingest.queries() | scans.queries() | {f"rule_{k}": _rule(k) for k in _RULES}
     return made | {name: _score(column) for name, column in (("path_confidence", "path_confidence"), ("freshness_score", "freshness"), ("review_priority", "review_priority"))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | ingest.SQL
+    return oracle.SQL | ingest.SQL | scans.SQL
