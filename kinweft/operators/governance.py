@@ -134,28 +134,36 @@ def change_codes(old: Column, new: Column) -> Column:
     return F.array_compact(F.array(*codes, F.when((old["status"] != "active") & (new["status"] == "active"), "CONSENT_REACTIVATED")))
 
 
-def postings(tables: dict[str, DataFrame]) -> DataFrame:
+def postings(tables: dict[str, DataFrame], known: DataFrame | None = None) -> DataFrame:
     """(workspace_id, consent_record_id, table_name, row_id): what rests on each consent, every row once for a consent.
 
     Snapshots, edges and provider records name theirs; evidence rests on its snapshot's, a claim on that of each
     evidence it refers to, a result on all that it lists.  Evidence is joined by its id, so a claim's references are
-    exploded once for all consents.
+    exploded once for all consents.  ``known`` are postings of rows that are stored already and not among ``tables``.
     """
+
     def shown(df: DataFrame, name: str) -> DataFrame:
         return df.select("workspace_id", "consent_record_id", F.lit(name).alias("table_name"), F.col(schemas.KEYS[name]).cast("string").alias("row_id"))
 
+    def resting(name: str, own: DataFrame | None, ref: str) -> DataFrame | None:
+        """(workspace_id, ref, consent_record_id) of the rows of a table, here and known."""
+        parts = [] if own is None else [own.select("workspace_id", F.col("row_id").alias(ref), "consent_record_id")]
+        if known is not None:
+            parts.append(known.where(F.col("table_name") == name).select("workspace_id", F.col("row_id").alias(ref), "consent_record_id"))
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+
     there = {k: tables[k] for k in DEPENDENT if k in tables}
-    made = [shown(there[k], k) for k in ("source_snapshot", "relationship_edge", "adapter_metadata_record") if k in there]
-    evidence = tables["evidence_ref"].join(tables["source_snapshot"].select("workspace_id", "source_snapshot_id", "consent_record_id"), ["workspace_id", "source_snapshot_id"])
-    made.append(shown(evidence, "evidence_ref"))
-    rests = evidence.select("workspace_id", F.col("evidence_ref_id").alias("ref"), "consent_record_id")
+    made = {k: shown(there[k], k) for k in ("source_snapshot", "relationship_edge", "adapter_metadata_record") if k in there}
+    snapshots = resting("source_snapshot", made.get("source_snapshot"), "source_snapshot_id")
+    if "evidence_ref" in there and snapshots is not None:
+        made["evidence_ref"] = shown(there["evidence_ref"].join(snapshots, ["workspace_id", "source_snapshot_id"]), "evidence_ref")
+    rests = resting("evidence_ref", made.get("evidence_ref"), "ref")
     claims = [there[k].select("workspace_id", F.lit(k).alias("table_name"), F.col(schemas.KEYS[k]).alias("row_id"), F.explode(F.array_distinct("evidence_refs")).alias("ref")) for k in CLAIMS if k in there]
-    if claims:
-        both = reduce(DataFrame.unionByName, claims).join(rests, ["workspace_id", "ref"])
-        made.append(both.select("workspace_id", "consent_record_id", "table_name", "row_id").distinct())
+    if claims and rests is not None:
+        made["claims"] = reduce(DataFrame.unionByName, claims).join(rests, ["workspace_id", "ref"]).select("workspace_id", "consent_record_id", "table_name", "row_id").distinct()
     if "coverage_result" in there:
-        made.append(shown(there["coverage_result"].withColumn("consent_record_id", F.explode(F.array_distinct("dependencies.consent_record_ids"))), "coverage_result"))
-    return reduce(DataFrame.unionByName, made)
+        made["coverage_result"] = shown(there["coverage_result"].withColumn("consent_record_id", F.explode(F.array_distinct("dependencies.consent_record_ids"))), "coverage_result")
+    return reduce(DataFrame.unionByName, made.values())
 
 
 _BODY = ("workspace_id", "sequence", "event_type", "actor_id", "occurred_at", "subject_type", "subject_id", "payload_sha256", "previous_hash")

@@ -12,7 +12,6 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweft import schemas
 from kinweft.config import ConfigError, instant
 from kinweft.functions.digest import canonical_json, scoped_id, sha256_hex
 from kinweft.operators import governance
@@ -82,8 +81,8 @@ def withdraw_consent(store: Store, workspace: str, consent: str, actor: str, rea
     tx = store.begin()
     row = _found(tx, "consent", workspace, consent, "CONSENT_NOT_FOUND")
     contributor = _found(tx, "contributor", workspace, row["contributor_id"], "CONTRIBUTOR_NOT_FOUND")
-    tables = _of(tx.tables(("consent", "contributor", *governance.DEPENDENT)), workspace)
-    gone = {k: staged(df.select("workspace_id", schemas.KEYS[k]), f"gone-{k}") for k, df in governance.withdrawal_dependants(tables, consent).items()}
+    tx.read.update(governance.DEPENDENT)  # what rests on the consent must not change meanwhile
+    gone = {k: staged(df, f"gone-{k}") for k, df in store.dependants(workspace, consent, tx.base).items()}
     receipt = governance.receipt(row, {k: df.count() for k, df in gone.items()}, reason, at, actor)
     for name, rows in gone.items():
         tx.delete(name, rows)

@@ -104,7 +104,13 @@ def withdrawal_dependants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of each user's events, and where it breaks after every fifth user's third event was changed."""
+    """A chain of all consents' grants, and the first event at which it breaks after one was changed."""
+    events = workload.tables(spark, sf_dir)["consent"].selectExpr("workspace_id", "consent_record_id AS place", "'consent.granted' AS event_type", "'actor' AS actor_id", f"'{workload.CLOCK}' AS occurred_at", "'consent' AS subject_type", "consent_record_id AS subject_id", "concat('{\"id\":\"', consent_record_id, '\"}') AS payload")
+    return governance.first_break(governance.chained_frame(events).withColumn("actor_id", F.when(F.col("sequence") == 20, "someone").otherwise(F.col("actor_id"))))
+
+
+def user_audit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of each user's events, its last hash, and where it breaks after every fifth user's third event was changed."""
     events = workload.star(spark, sf_dir, "events").selectExpr("concat('w', user_id) AS workspace_id", "event_id AS place", "event_type", "'actor' AS actor_id", f"'{workload.CLOCK}' AS occurred_at", "'event' AS subject_type", "cast(event_id AS string) AS subject_id", "'{}' AS payload")
     chain = governance.chained_frame(events)
     head = chain.groupBy("workspace_id").agg(F.max_by("hash", "sequence").alias("head"))
@@ -113,12 +119,21 @@ def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (csv_documents, csv_refusals, adapter_authorizations, consent_changes, alias_authorizations, withdrawal_dependants, audit_chain_verify)
+    made = (csv_documents, csv_refusals, adapter_authorizations, consent_changes, alias_authorizations, withdrawal_dependants, audit_chain_verify, user_audit_chains)
     return {f.__name__: f for f in made}
 
 
-def _event(previous: str) -> str:
-    return f"""sha256('{{"actorId":"actor","eventType":"' || e.event_type || '","occurredAt":"{workload.CLOCK}","payloadSha256":"' || sha256('{{}}') || '","previousHash":' || {previous} || ',"sequence":' || e.n || ',"subjectId":"' || e.event_id || '","subjectType":"event","workspaceId":"w' || e.u || '"}}')"""
+def _event(previous: str, kind: str, payload: str, subject: str, subject_type: str, workspace: str, actor: str = "'actor'") -> str:
+    """The hash of an event in SQL; the arguments are SQL texts."""
+    return f"""sha256('{{"actorId":"' || {actor} || '","eventType":"' || {kind} || '","occurredAt":"{workload.CLOCK}","payloadSha256":"' || sha256({payload}) || '","previousHash":' || {previous} || ',"sequence":' || e.n || ',"subjectId":"' || {subject} || '","subjectType":"{subject_type}","workspaceId":"' || {workspace} || '"}}')"""
+
+
+def _of_user(previous: str) -> str:
+    return _event(previous, "e.event_type", "'{}'", "e.event_id", "event", "'w' || e.u")
+
+
+def _of_consent(previous: str, actor: str = "'actor'") -> str:
+    return _event(previous, "'consent.granted'", """'{"id":"' || e.k || '"}'""", "e.k", "consent", f"'{workload.WORKSPACE}'", actor)
 
 
 SQL = {
@@ -138,7 +153,11 @@ p AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 10 = 2 AND '199501'
 SELECT 'source_snapshot' AS table_name, 'n2_' || month AS row_id FROM m UNION ALL SELECT 'relationship_edge', 'e2_' || c FROM e WHERE s = 2 UNION ALL SELECT 'evidence_ref', 'er2_' || c FROM e WHERE s = 2 AND strftime(seen, '%Y%m') IN (SELECT month FROM m)
 UNION ALL SELECT 'evidence_ref', 'ee' || k FROM o WHERE k % 97 <> 0 UNION ALL SELECT 'evidence_ref', 'eo' || k FROM o WHERE k % 3 = 0 UNION ALL SELECT 'evidence_ref', 'ei' || k FROM p
 UNION ALL SELECT 'employment_claim', 'm' || k FROM o WHERE k % 97 <> 0 UNION ALL SELECT 'organization_claim', 'g' || k FROM o WHERE k % 3 = 0 UNION ALL SELECT 'identity_claim', 'i' || k FROM p""",
-    "audit_chain_verify": f"""WITH RECURSIVE e AS (SELECT user_id AS u, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-c AS (SELECT u, n, {_event("'null'")} AS h FROM e WHERE n = 1 UNION ALL SELECT e.u, e.n, {_event("'\"' || c.h || '\"'")} FROM c JOIN e ON e.u = c.u AND e.n = c.n + 1)
+    "audit_chain_verify": f"""WITH RECURSIVE e AS (SELECT 'k' || s_suppkey AS k, row_number() OVER (ORDER BY 'k' || s_suppkey) AS n FROM supplier),
+c AS (SELECT n, k, 'null' AS prev, {_of_consent("'null'")} AS h FROM e WHERE n = 1 UNION ALL SELECT e.n, e.k, '"' || c.h || '"', {_of_consent("'\"' || c.h || '\"'")} FROM c JOIN e ON e.n = c.n + 1),
+x AS (SELECT e.n, e.h <> {_of_consent("e.prev", "CASE WHEN e.n = 20 THEN 'someone' ELSE 'actor' END")} AS bad FROM c e)
+SELECT '{workload.WORKSPACE}' AS workspace_id, count(*) AS events, min(n) FILTER (bad) - 1 AS first_index, CASE WHEN bool_or(bad) THEN 'event hash mismatch' END AS reason FROM x""",
+    "user_audit_chains": f"""WITH RECURSIVE e AS (SELECT user_id AS u, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT u, n, {_of_user("'null'")} AS h FROM e WHERE n = 1 UNION ALL SELECT e.u, e.n, {_of_user("'\"' || c.h || '\"'")} FROM c JOIN e ON e.u = c.u AND e.n = c.n + 1)
 SELECT 'w' || u AS workspace_id, max(n) AS events, arg_max(h, n) AS head, CASE WHEN u % 5 = 0 AND max(n) >= 3 THEN 2 END AS first_index, CASE WHEN u % 5 = 0 AND max(n) >= 3 THEN 'event hash mismatch' END AS reason FROM c GROUP BY u""",
 }

@@ -35,6 +35,9 @@ TABLES: dict[str, str] = {
     "coverage_result": "workspace_id string, audit_run_id string, result_id string, category string, destination_person_id string, canonical_account_id string, persona_outcome string, candidate_label string, broker_contributor_id string, relationship_edge_id string, dependencies struct<contributor_ids:array<string>,consent_record_ids:array<string>,source_snapshot_ids:array<string>,evidence_ref_ids:array<string>,relationship_edge_ids:array<string>,mixed_source_rule:string>, scores struct<account_fit:int,persona_fit:int,relationship_confidence:int,employment_confidence:int,path_confidence:int,freshness:int,review_priority:int>, reason_codes array<string>, evidence_refs array<string>, consent_disposition string, suppression_status string",
 }
 
+#: Tables that a store derives when rows are committed: what rests on which consent.
+INDEXES = {"dependency": "workspace_id string, consent_record_id string, table_name string, row_id string"}
+
 #: The version of these schemas.  Tables whose columns were others before are listed under the version that had them.
 VERSION = 2
 OLDER: dict[int, dict[str, str]] = {1: {"import_transaction": "workspace_id string, import_transaction_id string, source_snapshot_id string, status string, error_code string, row_count long, created_at string"}}
@@ -58,7 +61,7 @@ ID_PATTERN = r"\A[a-zA-Z0-9][a-zA-Z0-9._:-]{0,199}\z"
 
 def schema(table: str, version: int = VERSION) -> T.StructType:
     """A table's columns in a version: the oldest listing from that version on, else the newest."""
-    found = next((OLDER[v][table] for v in sorted(OLDER) if v >= version and table in OLDER[v]), TABLES[table])
+    found = next((OLDER[v][table] for v in sorted(OLDER) if v >= version and table in OLDER[v]), TABLES.get(table) or INDEXES[table])
     return T.StructType.fromDDL(found)
 
 

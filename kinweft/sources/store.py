@@ -100,8 +100,8 @@ class Store:
             return self._read(f"{self.root}/_log/{names[-1]}")
         if names := self._names("_manifests"):
             made = self._read(f"{self.root}/_manifests/{names[-1]}")
-            return {"number": 0, "schema": 1, "migrations": [], "heads": None, "changed": [], "tables": {k: [{"put": p, "fresh": True, "number": 0, "schema": 1} for p in v] for k, v in made.items()}}
-        return {"number": 0, "schema": schemas.VERSION, "migrations": [[schemas.VERSION, "created"]], "heads": {}, "changed": [], "tables": {}}
+            return {"number": 0, "schema": 1, "migrations": [], "heads": None, "indexed": False, "changed": [], "tables": {k: [{"put": p, "fresh": True, "number": 0, "schema": 1} for p in v] for k, v in made.items()}}
+        return {"number": 0, "schema": schemas.VERSION, "migrations": [[schemas.VERSION, "created"]], "heads": {}, "indexed": True, "changed": [], "tables": {}}
 
     def _changed_after(self, number: int, upto: int) -> set[str]:
         return {t for n in range(number + 1, upto + 1) for t in self._read(f"{self.root}/_log/{n:012d}.json")["changed"]}
@@ -170,6 +170,31 @@ class Store:
                 return None
         return None
 
+    def dependants(self, workspace: str, consent: str, state: dict[str, Any] | None = None) -> dict[str, DataFrame]:
+        """(workspace_id, key) of the rows of each table that rest on a consent.
+
+        Read from the postings that commits keep, which are sorted by consent: no other table is read.  Only where rows
+        of a table were replaced since, which may rest on other consents now, are these looked at again.
+        """
+        state = state or self.state()
+        if not state["indexed"]:
+            mine = {k: self.table(k, state).where(F.col("workspace_id") == workspace) for k in governance.DEPENDENT}
+            return {k: df.select("workspace_id", schemas.KEYS[k]) for k, df in governance.withdrawal_dependants(mine, consent).items()}
+        posted = self.table("dependency", state).where((F.col("consent_record_id") == consent) & (F.col("workspace_id") == workspace))
+        found = {k: posted.where(F.col("table_name") == k).select("workspace_id", F.col("row_id").alias(schemas.KEYS[k])).distinct() for k in governance.DEPENDENT}
+        for name, rows in found.items():
+            if not all(s["fresh"] for s in state["tables"].get(name, [])):
+                now = self.table(name, state).join(rows, _key(name), "left_semi")
+                if name in governance.CLAIMS:
+                    gone = found["evidence_ref"].select(F.col("evidence_ref_id").alias("ref"))
+                    now = now.withColumn("ref", F.explode("evidence_refs")).join(gone, "ref", "left_semi")
+                elif name == "coverage_result":
+                    now = now.where(F.array_contains("dependencies.consent_record_ids", consent))
+                elif "consent_record_id" in now.columns:
+                    now = now.where(F.col("consent_record_id") == consent)
+                found[name] = now.select(*_key(name)).distinct()
+        return found
+
     def begin(self) -> Transaction:
         return Transaction(self)
 
@@ -183,7 +208,7 @@ class Store:
     def compact(self, names: Iterable[str] | None = None) -> int:
         """Write tables of several segments as one.  Refused if somebody changes them meanwhile."""
         base = self.state()
-        wanted = [n for n in (names or schemas.TABLES) if len(base["tables"].get(n, [])) > 1]
+        wanted = [n for n in (names or (*schemas.TABLES, *schemas.INDEXES)) if len(base["tables"].get(n, [])) > 1]
         for n in wanted:
             base["tables"][n] = [self._write(n, self.table(n, base), base["number"] + 1)]
         if not wanted:
@@ -197,7 +222,7 @@ class Store:
         """Delete the segments that the newest entry does not name; only while nobody else reads or writes."""
         named = {p.rsplit("/", 2)[1] + "/" + p.rsplit("/", 1)[1] for of in self.state()["tables"].values() for s in of for p in (s.get("put"), s.get("delete")) if p}
         n = 0
-        for name in schemas.TABLES:
+        for name in (*schemas.TABLES, *schemas.INDEXES):
             path, fs = self._fs(f"{self.root}/{name}")
             for s in fs.listStatus(path) if fs.exists(path) else []:
                 if f"{name}/{s.getPath().getName()}" not in named:
@@ -208,7 +233,8 @@ class Store:
     def _write(self, name: str, rows: DataFrame, number: int) -> dict[str, Any]:
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         # sorted, so that the statistics of the files' groups let a look-up by id skip most of them
-        rows.select(*schemas.schema(name).names).sortWithinPartitions(*_key(name)).write.parquet(path)
+        order = _key(name) if name in schemas.KEYS else schemas.schema(name).names
+        rows.select(*schemas.schema(name).names).sortWithinPartitions(*order).write.parquet(path)
         return {"put": path, "fresh": True, "number": number, "schema": schemas.VERSION}
 
 
@@ -302,11 +328,15 @@ class Transaction:
         if references:
             for name, segment in made.items():
                 self._dangling(name, segment, made)
+        if self.base["indexed"] and (rests := {k: store._segment(k, [s]) for k, s in made.items() if k in governance.DEPENDENT}):
+            made["dependency"] = store._write("dependency", governance.postings(rests, store.table("dependency", self.base)), number)
         for name, keys in self.deletes.items():
             path = f"{store.root}/{name}/{uuid.uuid4().hex}"
             keys.write.parquet(path)
             made[name] = made.get(name, {"put": None, "number": number, "schema": schemas.VERSION}) | {"delete": path, "fresh": False}
         mine = self.read | set(self.puts) | set(self.deletes)
+        if "dependency" in made:  # the postings of evidence hang on the snapshots that were seen
+            mine |= {"source_snapshot", "evidence_ref"}
         for _ in range(ATTEMPTS):
             now = store.state()
             if now["number"] > self.base["number"] and mine & store._changed_after(self.base["number"], now["number"]):
@@ -323,7 +353,7 @@ class Transaction:
             tables = dict(now["tables"])
             for name, segment in added.items():
                 tables[name] = [*tables.get(name, []), segment | {"number": number}]
-            entry = now | {"number": number, "heads": None if "audit_event" in made else heads, "tables": tables, "changed": sorted(set(made))}
+            entry = now | {"number": number, "heads": None if "audit_event" in made else heads, "tables": tables, "changed": sorted(set(made) - set(schemas.INDEXES))}
             if store._put_if_absent(f"{store.root}/_log/{number:012d}.json", json.dumps(entry)):
                 return number
             if events:

@@ -69,8 +69,26 @@ def test_audit_chain_breaks_where_it_was_changed(spark):
     assert governance.first_break(governance.audit_frame(spark, events[1:])).first()["reason"] == "sequence gap"
 
 
+def test_chains_of_several_workspaces_and_mistakes(spark):
+    rows = [(f"w{i % 3}", i, "kind", "actor", demo.CLOCK, "thing", str(i), "{}") for i in range(31)]
+    made = governance.chained_frame(spark.createDataFrame(rows, "workspace_id string, place int, event_type string, actor_id string, occurred_at string, subject_type string, subject_id string, payload string"))
+    events = [r.asDict() for r in made.collect()]
+    for w in range(3):
+        want = governance.chain([("kind", "actor", demo.CLOCK, "thing", str(i), {}) for i in range(w, 31, 3)], f"w{w}")
+        assert sorted((e for e in events if e["workspace_id"] == f"w{w}"), key=lambda e: e["sequence"]) == want
+    changes = {"w0": ("sequence gap", lambda e: [x for x in e if x["sequence"] != 4], 3), "w1": ("previous hash mismatch", lambda e: [x | ({"previous_hash": "0"} if x["sequence"] == 7 else {}) for x in e], 6), "w2": ("event hash mismatch", lambda e: [x | ({"actor_id": "y"} if x["sequence"] in (1, 5) else {}) for x in e], 0)}
+    rows = [x for w, (_, change, _) in changes.items() for x in change([e for e in events if e["workspace_id"] == w])]
+    for block in (10_000, 2):
+        governance.BLOCK, kept = block, governance.BLOCK
+        try:
+            got = {r["workspace_id"]: (r["reason"], r["first_index"], r["events"]) for r in governance.first_break(governance.audit_frame(spark, rows)).collect()}
+        finally:
+            governance.BLOCK = kept
+        assert got == {"w0": ("sequence gap", 3, 10), "w1": ("previous hash mismatch", 6, 10), "w2": ("event hash mismatch", 0, 10)}
+
+
 def test_audit_chain_verify_has_all_consents(spark):
-    found = catalog.audit_chain_verify(spark, "/root/testdata/sf0.01").collect()
+    found = catalog.queries()["audit_chain_verify"](spark, "/root/testdata/sf0.01").collect()
     assert [(r["events"], r["first_index"], r["reason"]) for r in found] == [(workload.tables(spark, "/root/testdata/sf0.01")["consent"].count(), 19, "event hash mismatch")]
     assert found[0]["events"] == 100
     events = governance.chain([("kind", "actor", demo.CLOCK, "thing", str(i), {"i": i}) for i in range(7)], "w")
