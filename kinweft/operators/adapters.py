@@ -43,6 +43,17 @@ def deduplicate(records: DataFrame, key: list[str], order: str) -> DataFrame:
     return records.groupBy(*key).agg(F.min(order).alias(order), (F.count("*") - 1).alias("duplicates"))
 
 
+def own_verdict(allowed_fields: list[str], since: str, until: str) -> Column:
+    """The code of the error that a record is by itself, or null."""
+    seen = F.try_to_timestamp("observed_at")
+    extra = F.size(F.array_except(F.json_object_keys("fields"), F.array(*[F.lit(f) for f in allowed_fields]).cast("array<string>"))) > 0
+    return (
+        F.when(F.length("fields") > LIMITS["record_bytes"], "RECORD_TOO_LARGE")
+        .when(extra, "FIELD_NOT_AUTHORIZED")
+        .when(seen.isNull() | ~seen.between(F.to_timestamp(F.lit(since)), F.to_timestamp(F.lit(until))), "RECORD_OUTSIDE_TIME_WINDOW")
+    )
+
+
 def accept(records: DataFrame, stored: DataFrame, allowed_fields: list[str], since: str, until: str) -> DataFrame:
     """``records`` with ``verdict``: ``accepted``, ``duplicate``, or the code of the error that stops them.
 
@@ -54,14 +65,7 @@ def accept(records: DataFrame, stored: DataFrame, allowed_fields: list[str], sin
     known = stored.select(*key, F.col("record_digest_sha256").alias("__stored"))
     same = Window.partitionBy(*key)
     made = records.join(known, key, "left").withColumns({"__place": F.row_number().over(same.orderBy("observed_at", "record_digest_sha256")), "__digests": F.size(F.collect_set("record_digest_sha256").over(same))})
-    seen = F.try_to_timestamp("observed_at")
-    extra = F.size(F.array_except(F.json_object_keys("fields"), F.array(*[F.lit(f) for f in allowed_fields]))) > 0
-    verdict = (
-        F.when(F.length("fields") > LIMITS["record_bytes"], "RECORD_TOO_LARGE")
-        .when(extra, "FIELD_NOT_AUTHORIZED")
-        .when(seen.isNull() | ~seen.between(F.to_timestamp(F.lit(since)), F.to_timestamp(F.lit(until))), "RECORD_OUTSIDE_TIME_WINDOW")
-        .when((F.col("__stored") != F.col("record_digest_sha256")) | (F.col("__digests") > 1), "PROVIDER_RECORD_REBINDING_REJECTED")
-        .when(F.col("__stored").isNotNull() | (F.col("__place") > 1), "duplicate")
-        .otherwise("accepted")
-    )
+    rebound = (F.col("__stored") != F.col("record_digest_sha256")) | (F.col("__digests") > 1)
+    repeat = F.col("__stored").isNotNull() | (F.col("__place") > 1)
+    verdict = F.coalesce(own_verdict(allowed_fields, since, until), F.when(rebound, "PROVIDER_RECORD_REBINDING_REJECTED").when(repeat, "duplicate").otherwise("accepted"))
     return made.withColumn("verdict", verdict).drop("__stored", "__place", "__digests")

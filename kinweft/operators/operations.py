@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from kinweft.config import ConfigError, instant
 from kinweft.functions.digest import canonical_json, scoped_id, sha256_hex
-from kinweft.operators import governance
+from kinweft.operators import adapters, governance, normalize
 from kinweft.operators.materialize import Request, authorize, canonical_rows, materialize, stage_rows
 from kinweft.session import staged
-from kinweft.sources import csv_scan
+from kinweft.sources import csv_scan, paging, provider_source
 from kinweft.sources.csv_scan import Mapping, ScanError
+from kinweft.sources.provider_source import Read
 from kinweft.sources.store import Store, Transaction
 
 #: Tables that an import's rows are resolved against.
@@ -210,3 +211,35 @@ def _record_failure(store: Store, request: Request, code: str) -> None:
     tx.commit()
 
 
+
+
+def ingest_adapter(store: Store, authorization: dict[str, Any], read: Read, workspace: str, contributor: str, consent: str, at: str, since: str, until: str, allowed_fields: list[str], capability: str = "list", cursor: str | None = None, limit: int = 100, actor: str = "actor_operator") -> dict[str, Any]:
+    """Read a provider from a cursor, and commit its new records with the claims they make.
+
+    Returns ``status`` (``completed``, or ``rate_limited`` and ``temporary_error`` with the cursor to go on from),
+    ``next_cursor``, and how many records were ``accepted`` or ``duplicates``.  A record that is not allowed, or that
+    says otherwise what was accepted under its key, refuses all.  A reading holds at most 10,000 records.
+    """
+    tx = store.begin()
+    held = _found(tx, "workspace", workspace, workspace, "WORKSPACE_NOT_FOUND")
+    adapters.authorize(authorization, workspace, authorization["adapter_id"], authorization["provider"], held["purpose_id"], capability, instant(at))
+    agreed = _found(tx, "consent", workspace, consent, "CONSENT_NOT_FOUND")
+    if agreed["contributor_id"] != contributor or agreed["purpose_id"] != held["purpose_id"] or agreed["status"] != "active" or agreed["withdrawn_at"] or not instant(agreed["granted_at"]) <= instant(at) < instant(agreed["expires_at"]):
+        raise ConfigError("CONSENT_BINDING_INVALID")
+    progress, name = paging.Progress(cursor), authorization["adapter_authorization_id"]
+    rows = [provider_source.row(r, name) for page in paging.pages(read, progress, limit) for r in page]
+    records = store.spark.createDataFrame(rows, provider_source.RECORD)
+    judged = staged(adapters.accept(records, tx.table("adapter_metadata_record").where(F.col("workspace_id") == workspace), allowed_fields, since, until), "judged")
+    counts = {r["verdict"]: r["n"] for r in judged.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    if bad := sorted(set(counts) - {"accepted", "duplicate"}):
+        raise ConfigError(bad[0])
+    made = {"status": progress.status, "next_cursor": None if progress.status == "completed" else progress.cursor, "retry_after": progress.retry_after, "accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0)}
+    if made["accepted"]:
+        said = judged.where("verdict = 'accepted'").select("*", *[F.get_json_object("fields", f"$.{c}").alias(c) for c in normalize.FIELDS])
+        source = normalize.Source(workspace, name, authorization["provider"], authorization["provider_tenant_id"], contributor, consent, at)
+        for table, df in normalize.normalize(said, source).items():
+            tx.put(table, df)
+    event = "adapter_ingest" if progress.status == "completed" else "adapter_checkpointed_error"
+    tx.audit(workspace, event, actor, at, "adapter_authorization", name, {k: v for k, v in made.items() if v is not None})
+    tx.commit()
+    return made
