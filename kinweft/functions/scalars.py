@@ -1,7 +1,7 @@
 """Text, date and number functions of the analytics, as Columns.
 
-All but three run in generated code.  Unicode compatibility forms, URL parsing and control-character escapes
-need Python; they are Arrow-batched, and used at ingest or rendering only, never in the evaluation.
+All but two run in generated code.  Unicode compatibility forms of texts that are not ASCII and URL parsing need
+Python; they are Arrow-batched, and used at ingest only, never in the evaluation.
 """
 
 from __future__ import annotations
@@ -26,9 +26,15 @@ _DAY_MS = 86_400_000
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition."""
-    return text.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+def _composed(text: pd.Series) -> pd.Series:
+    """Unicode compatibility composition of the texts that are not null."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition; only what is not ASCII is handed to Python."""
+    odd = ~text.rlike(r"\A\p{ASCII}*\z")
+    return F.coalesce(_composed(F.when(odd, text)), text)
 
 
 def trimmed(text: Column) -> Column:
@@ -112,6 +118,7 @@ def neutralize_formula(text: Column) -> Column:
 
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u2028\u2029]")
+_CONTROL_CLASS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{2028}\x{2029}]"
 _NAMED = str.maketrans({"\r": "\\r", "\n": "\\n", "\t": "\\t"})
 
 
@@ -120,9 +127,12 @@ def terminal_safe(text: str) -> str:
     return _CONTROL.sub(lambda m: f"\\u{ord(m[0]):04x}", text).translate(_NAMED)
 
 
-@F.pandas_udf(T.StringType())
-def escape_terminal(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else terminal_safe(x))
+def escape_terminal(text: Column) -> Column:
+    """:func:`terminal_safe` of a column, in generated code."""
+    named = F.replace(F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    # each control character is a split point of its own; texts that have none are not split
+    shown = F.aggregate(F.split(named, ""), F.lit(""), lambda a, c: F.concat(a, F.when(c.rlike(_CONTROL_CLASS), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c).cast("long"))), 4, "0"))).otherwise(c)))
+    return F.when(named.rlike(_CONTROL_CLASS), shown).otherwise(named)
 
 
 def csv_cell(text: Column) -> Column:

@@ -8,6 +8,7 @@ before they meet edges.  Small tables (consents, contributors, rules) are left t
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from kinweft import schemas
 from kinweft.config import FIELDS, WEIGHTS, ConfigError, instant, iso, read_config, read_policy
 from kinweft.config import digest as config_digest
-from kinweft.functions.digest import camel, json_object, json_string, json_value, scoped_id, scoped_id_column, sha256
+from kinweft.functions.digest import camel, json_object, json_string, json_value, scoped_id, scoped_id_column, sha256, sha256_hex
 from kinweft.functions.scalars import age_days, score
 from kinweft.operators import rules
 from kinweft.operators.consent import at, authorized_aliases, disposition, suppressions
@@ -290,11 +291,26 @@ def entity_json(tables: dict[str, DataFrame], workspace: str) -> DataFrame:
 def input_set_sha256(tables: dict[str, DataFrame], workspace: str) -> str:
     """The digest of all inputs as one canonical array, in dictionary order.
 
-    One string of everything is what the digest is defined on; workspaces are bounded by what their owners
-    contribute.  Use :func:`input_set_fingerprint` to compare very large ones.
+    The digest is defined on one text, so one task reads it; but it streams the sorted entities, which Spark sorts on
+    disk where they are many, and holds one batch.  :func:`input_set_fingerprint` is what any number of tasks can add
+    up.
     """
-    row = entity_json(tables, workspace).agg(sha256(F.concat(F.lit("["), F.coalesce(F.expr("listagg(j, ',') within group (order by collate(j, 'UNICODE'))"), F.lit("")), F.lit("]"))).alias("h")).first()
-    return row["h"]
+    order = F.collate(F.col("j"), "UNICODE")
+    rows = entity_json(tables, workspace).repartition(1).sortWithinPartitions(order, "j")
+
+    def run(batches):
+        import pyarrow as pa
+
+        made, first = hashlib.sha256(b"["), True
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                made.update(text if first else b"," + text)
+                first = False
+        made.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([made.hexdigest()])], names=["h"])
+
+    found = rows.mapInArrow(run, "h string").head(1)
+    return found[0]["h"] if found else sha256_hex("[]")
 
 
 def input_set_fingerprint(tables: dict[str, DataFrame], workspace: str) -> str:

@@ -13,6 +13,7 @@ from kinweft import schemas
 from kinweft.config import ConfigError
 from kinweft.operators import evaluate
 from kinweft.operators.evaluate import Evaluation
+from kinweft.sources.store import Store
 
 PARTS = ("verdicts", "results", "blocked", "review_only")
 
@@ -63,14 +64,8 @@ class Runs:
         for p in PARTS:
             getattr(made, p).write.parquet(f"{self.root}/{made.audit_run_id}/{attempt}/{p}")
         noted = {"attempt": attempt, "clock": made.clock.isoformat(), **{k: getattr(made, k) for k in ("config_sha256", "policy_sha256", "input_set_sha256")}}
-        part, fs = self._path(f"{self.root}/{made.audit_run_id}/{attempt}/run.json")
-        out = fs.create(part)
-        out.write(bytearray(json.dumps(noted).encode()))
-        out.close()
-        # a rename of a whole file; where another attempt was first, its marker stays
-        to = self._path(f"{self.root}/{made.audit_run_id}/run.json")[0]
-        if not fs.exists(to):
-            fs.rename(part, to)
+        # of two attempts the marker of one is made; the other one's stays away
+        Store(self.spark, self.root).put_if_absent(f"{self.root}/{made.audit_run_id}/run.json", json.dumps(noted))
         return self.read(made.audit_run_id), False
 
     def results(self, workspace: str) -> DataFrame:

@@ -109,7 +109,7 @@ SQL: dict[str, str] = {
     "account_coverage": _with("SELECT 'o' || org AS organization_id, string_agg(DISTINCT category, '|' ORDER BY category) AS categories, count(*) AS finding_count FROM result GROUP BY org"),
     "evidence_summary": _with("SELECT edge, count(DISTINCT ref) AS evidence_count, count(DISTINCT substr(ref, 2, 1)) AS n_claim_types FROM refs JOIN result USING (edge) WHERE refs.n IS NOT NULL GROUP BY edge"),
     "export_filter": _with("SELECT edge FROM result WHERE edge NOT IN (SELECT edge FROM dep WHERE NOT export_ok) AND s % 9 <> 0"),
-    "withdrawal_cascade": _with("SELECT 'e' || s || '_' || c AS relationship_edge_id FROM edges WHERE s = 2 UNION ALL SELECT edge FROM result SEMI JOIN (SELECT edge FROM dep WHERE who = 2) USING (edge) WHERE s <> 2").replace(" dep AS (", " dep AS MATERIALIZED (").replace("\ndep AS (", "\ndep AS MATERIALIZED (").replace("\nverdict AS (", "\nverdict AS MATERIALIZED (").replace("\nresult AS (", "\nresult AS MATERIALIZED ("),
+    "withdrawal_cascade": _with("SELECT DISTINCT 'e2_' || o_custkey AS relationship_edge_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = 2 UNION ALL SELECT edge FROM result WHERE s <> 2 AND edge IN (SELECT edge FROM dep WHERE who = 2)"),
     "employment_conflict": "SELECT DISTINCT 'm' || a.o_orderkey AS employment_claim_id FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey % 25 <> b.o_orderkey % 25 AND b.o_orderkey < a.o_orderkey AND b.o_orderstatus = 'O' AND abs(epoch_ms(a.o_orderdate) - epoch_ms(b.o_orderdate)) <= 31536000000",
     "employment_disposition": _with("""SELECT 'm' || a.o AS employment_claim_id, CASE
   WHEN a.st = 'F' OR EXISTS (SELECT 1 FROM emp b WHERE b.c = a.c AND b.st = 'F' AND b.seen >= a.seen) THEN 'blocked_ended'

@@ -61,7 +61,7 @@ class Store:
         local = self._local(path)
         return json.loads(local.read_text(encoding="utf-8") if local else self.spark.read.text(path, wholetext=True).first()[0])
 
-    def _put_if_absent(self, path: str, text: str) -> bool:
+    def put_if_absent(self, path: str, text: str) -> bool:
         """Make a whole file unless there is one of that name already; of two at once one is refused."""
         folder, name = path.rsplit("/", 1)
         part = f"{folder}/.{name}-{uuid.uuid4().hex}"
@@ -120,7 +120,7 @@ class Store:
         steps = [[v, name] for v, name, _ in schemas.UPGRADES if v > old["schema"]]
         if steps:
             made = old | {"number": old["number"] + 1, "schema": schemas.VERSION, "migrations": old["migrations"] + steps, "changed": list(schemas.TABLES), "heads": self._heads(old)}
-            if not self._put_if_absent(f"{self.root}/_log/{made['number']:012d}.json", json.dumps(made)):
+            if not self.put_if_absent(f"{self.root}/_log/{made['number']:012d}.json", json.dumps(made)):
                 raise ConfigError("COMMIT_CONFLICT")
         return self.state()["migrations"]
 
@@ -214,7 +214,7 @@ class Store:
         if not wanted:
             return base["number"]
         made = base | {"number": base["number"] + 1, "changed": wanted}
-        if not self._put_if_absent(f"{self.root}/_log/{made['number']:012d}.json", json.dumps(made)):
+        if not self.put_if_absent(f"{self.root}/_log/{made['number']:012d}.json", json.dumps(made)):
             raise ConfigError("COMMIT_CONFLICT")
         return made["number"]
 
@@ -354,7 +354,7 @@ class Transaction:
             for name, segment in added.items():
                 tables[name] = [*tables.get(name, []), segment | {"number": number}]
             entry = now | {"number": number, "heads": None if "audit_event" in made else heads, "tables": tables, "changed": sorted(set(made) - set(schemas.INDEXES))}
-            if store._put_if_absent(f"{store.root}/_log/{number:012d}.json", json.dumps(entry)):
+            if store.put_if_absent(f"{store.root}/_log/{number:012d}.json", json.dumps(entry)):
                 return number
             if events:
                 store._drop(added["audit_event"]["put"])

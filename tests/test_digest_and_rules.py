@@ -64,3 +64,14 @@ def test_scalars(spark):
     assert scalars.profile_url("http://example.com") is None
     df = spark.createDataFrame([(x,) for x in (-2.5, 99.5, 140.0)], "x double").select(scalars.score(F.col("x")))
     assert [r[0] for r in df.collect()] == [0, 100, 100]
+
+
+def test_escapes_and_composition_equal_python(spark):
+    from kinweft.functions import scalars
+
+    texts = [None, "", "a\tb\r\n", "".join(map(chr, range(0x00, 0x100))), "x y z", "ﬁ Å ① é", "日本\x85", "\\n", "plain"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", scalars.escape_terminal(F.col("t")).alias("e"), scalars.nfkc(F.col("t")).alias("n")).orderBy("i").collect()
+    import unicodedata
+
+    assert [r.e for r in rows] == [None if t is None else scalars.terminal_safe(t) for t in texts]
+    assert [r.n for r in rows] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]

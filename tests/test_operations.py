@@ -110,7 +110,7 @@ def test_commits_that_meet(spark, tmp_path):
         with pytest.raises(ConfigError, match="COMMIT_CONFLICT"):
             late.commit()
     assert {r.person_id for r in store.table("person").collect()} == {"p1", "p2"} and store.table("organization").isEmpty()
-    assert not store._put_if_absent(f"{store.root}/_log/{1:012d}.json", "{}")
+    assert not store.put_if_absent(f"{store.root}/_log/{1:012d}.json", "{}")
     # rows are replaced, deleted and put again by key; a look-up sees what a scan sees
     store.commit({"person": person(1).withColumn("display_name", F.lit("new"))})
     gone = store.begin()
