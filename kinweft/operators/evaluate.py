@@ -115,55 +115,94 @@ def candidates(tables: dict[str, DataFrame], config: dict[str, Any], clock: date
     return made.where("category is not null").drop(*[c for c in made.columns if c.startswith("attr_") and c != "attr_crm_state"])
 
 
-def scoped_organization_claims(found: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """For each candidate: what is claimed of its latest organization by the snapshots that its own evidence is from.
-
-    (relationship_edge_id, organization_refs, organization_conflicted, organization_domains)
-    """
-    refs = tables["evidence_ref"].select(F.col("evidence_ref_id").alias("ref"), F.col("source_snapshot_id").alias("snapshot"))
-    own = found.select("relationship_edge_id", "latest_organization_id", F.explode("employment_refs").alias("ref")).join(refs, "ref").select("relationship_edge_id", "latest_organization_id", "snapshot")
-    own = own.unionByName(found.select("relationship_edge_id", "latest_organization_id", F.col("source_snapshot_id").alias("snapshot"))).distinct()
-    claims = tables["organization_claim"]
-    by_snapshot = claims.select("organization_claim_id", F.col("organization_id").alias("latest_organization_id"), F.explode("evidence_refs").alias("ref")).join(refs, "ref").select("organization_claim_id", "latest_organization_id", "snapshot").distinct()
-    body = claims.select("organization_claim_id", "evidence_refs", "review_status", "kind", F.lower("value").alias("value"))
-    hit = own.join(by_snapshot, ["latest_organization_id", "snapshot"]).select("relationship_edge_id", "organization_claim_id").distinct().join(body, "organization_claim_id")
-    return hit.groupBy("relationship_edge_id").agg(
-        F.array_distinct(F.flatten(F.collect_set("evidence_refs"))).alias("organization_refs"), F.bool_or(F.col("review_status") == "conflicted").alias("organization_conflicted"), F.collect_set(F.when(F.col("kind") == "domain", F.col("value"))).alias("organization_domains")
-    )
-
-
-def dependency_closure(found: DataFrame, tables: dict[str, DataFrame], policy: dict[str, Any], clock: datetime) -> DataFrame:
-    """For each candidate with ``all_refs``: the snapshots, consents and contributors it rests on, and what is wrong with them.
+def known_evidence(tables: dict[str, DataFrame], policy: dict[str, Any], clock: datetime) -> tuple[DataFrame, DataFrame]:
+    """(ref, dep) of all evidence, and (snapshot, dep) of all snapshots.
 
-    (relationship_edge_id, snapshot_ids, consent_ids, contributor_ids, source_kinds, resolved_refs, dependency_codes)
+    ``dep`` is all that a candidate needs to know of a snapshot it rests on: its id, consent, contributor and kind, the
+    codes of what is wrong with it for whatever class, and the classes its consent allows.  Worked out once for each
+    snapshot, it goes with the evidence, and candidates only put arrays of it together.
     """
-    refs = tables["evidence_ref"].select(F.col("evidence_ref_id").alias("ref"), F.col("source_snapshot_id").alias("snapshot"))
-    base = found.select("relationship_edge_id", "category", "source_snapshot_id", "all_refs")
-    resolved = base.select("relationship_edge_id", "category", F.explode("all_refs").alias("ref")).join(refs, "ref").groupBy("relationship_edge_id", "category", "snapshot").agg(F.count("*").alias("resolved"))
-    own = base.select("relationship_edge_id", "category", F.col("source_snapshot_id").alias("snapshot"), F.lit(0).cast("long").alias("resolved"))
-    each = resolved.unionByName(own).groupBy("relationship_edge_id", "category", "snapshot").agg(F.sum("resolved").alias("resolved"))
     snapshots = tables["source_snapshot"].select(F.col("source_snapshot_id").alias("snapshot"), F.col("contributor_id").alias("by_contributor"), F.col("consent_record_id").alias("by_consent"), "source_kind")
     consents = tables["consent"].select(F.col("consent_record_id").alias("by_consent"), disposition(clock).alias("disposition"), "purpose_id", F.col("contributor_id").alias("consent_contributor"), "allowed_categories", "source_classes")
     people = tables["contributor"].select(F.col("contributor_id").alias("by_contributor"), "status")
-    # what is known of a snapshot is brought together before the candidates' many rows meet it, once
     known = snapshots.join(consents, "by_consent", "left").join(people, "by_contributor", "left")
-    rows = each.join(known, "snapshot", "left")
     there, given = F.col("source_kind").isNotNull(), F.col("source_kind").isNotNull() & F.col("disposition").isNotNull()
     codes = {
-        "DEPENDENCY_SNAPSHOT_MISSING": ~there & (F.col("resolved") > 0),
         "DEPENDENCY_CONSENT_MISSING": there & F.col("disposition").isNull(),
         "DEPENDENCY_CONSENT_PURPOSE_MISMATCH": given & (F.col("purpose_id") != policy["purposeId"]),
         "DEPENDENCY_CONSENT_CONTRIBUTOR_MISMATCH": given & (F.col("consent_contributor") != F.col("by_contributor")),
-        "DEPENDENCY_CONSENT_CATEGORY_DISALLOWED": given & ~F.array_contains("allowed_categories", F.col("category")),
         "DEPENDENCY_CONSENT_SOURCE_DISALLOWED": given & ~F.array_contains("source_classes", F.col("source_kind")),
         "DEPENDENCY_CONTRIBUTOR_INACTIVE": there & (F.coalesce("status", F.lit("")) != "active"),
     }
     listed = [F.when(c, F.lit(k)) for k, c in codes.items()]
     listed.append(F.when(given & (F.col("disposition") != "active"), F.concat(F.lit("DEPENDENCY_CONSENT_"), F.upper("disposition"))))
-    return rows.groupBy("relationship_edge_id").agg(
-        F.array_sort(F.collect_set("snapshot")).alias("snapshot_ids"), F.collect_set("by_consent").alias("consent_ids"), F.collect_set("by_contributor").alias("contributor_ids"), F.collect_set("source_kind").alias("source_kinds"),
-        F.sum("resolved").alias("resolved_refs"), F.array_distinct(F.flatten(F.collect_set(F.array_compact(F.array(*listed))))).alias("dependency_codes"),
+    wrong = F.array_compact(F.array(*listed))
+    fields = ("by_consent", "by_contributor", "source_kind", "codes", "allowed")
+    known = staged(known.select("snapshot", "by_consent", "by_contributor", "source_kind", wrong.alias("codes"), F.when(given, F.col("allowed_categories")).alias("allowed")), "snapshots")
+    refs = tables["evidence_ref"].select(F.col("evidence_ref_id").alias("ref"), F.col("source_snapshot_id").alias("snapshot")).join(known, "snapshot", "left")
+    missing = F.when(F.col("source_kind").isNull(), F.array(F.lit("DEPENDENCY_SNAPSHOT_MISSING"))).otherwise(F.col("codes"))
+    evidence = refs.withColumn("codes", missing).select("ref", F.struct("snapshot", *fields).alias("dep"))
+    return staged(evidence, "evidence"), known.select("snapshot", F.struct("snapshot", *fields).alias("dep"))
+
+
+def rests_on(df: DataFrame, key: str, refs: str, evidence: DataFrame, name: str) -> DataFrame:
+    """(key, ``{name}_deps``, ``{name}_missing``): what the evidence of each row rests on, and references to none."""
+    each = df.select(key, F.explode(refs).alias("ref")).join(evidence, "ref", "left")
+    return each.groupBy(key).agg(F.collect_set("dep").alias(f"{name}_deps"), F.collect_set(F.when(F.col("dep").isNull(), F.col("ref"))).alias(f"{name}_missing"))
+
+
+_ORGANIZATION = ("organization_refs", "organization_domains", "organization_deps", "organization_missing")
+
+
+def _merged(names: tuple[str, ...]) -> list[Column]:
+    return [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in names]
+
+
+def scoped_organization_claims(found: DataFrame, tables: dict[str, DataFrame], evidence: DataFrame) -> DataFrame:
+    """For each candidate: what is claimed of its latest organization by the snapshots that its own evidence is from.
+
+    (relationship_edge_id, organization_refs, organization_conflicted, organization_domains, organization_deps,
+    organization_missing) of the candidates that there is a claim for.  The snapshots of a person's employment are
+    looked up once for the person; a candidate adds those of its own edge's snapshot.
+    """
+    claims = tables["organization_claim"].select("organization_claim_id", F.col("organization_id").alias("latest_organization_id"), "evidence_refs", "review_status", "kind", F.lower("value").alias("value"))
+    claims = claims.join(rests_on(claims, "organization_claim_id", "evidence_refs", evidence, "organization"), "organization_claim_id")
+    scopes = claims.withColumn("snapshot", F.explode(F.array_distinct(F.transform("organization_deps", lambda d: d["snapshot"])))).groupBy("latest_organization_id", "snapshot").agg(
+        F.array_distinct(F.flatten(F.collect_set("evidence_refs"))).alias("organization_refs"), F.bool_or(F.col("review_status") == "conflicted").alias("organization_conflicted"), F.collect_set(F.when(F.col("kind") == "domain", F.col("value"))).alias("organization_domains"),
+        *_merged(("organization_deps", "organization_missing")),
     )
+    scopes = staged(scopes, "scopes")
+    people = found.groupBy("person_id").agg(F.first("latest_organization_id").alias("latest_organization_id"), F.first("employment_deps").alias("deps"))
+    people = people.withColumn("snapshot", F.explode(F.array_distinct(F.transform("deps", lambda d: d["snapshot"])))).join(scopes, ["latest_organization_id", "snapshot"])
+    people = people.groupBy("person_id").agg(F.bool_or("organization_conflicted").alias("c1"), *_merged(_ORGANIZATION)).withColumnsRenamed({c: f"{c}_1" for c in _ORGANIZATION})
+    own = scopes.withColumnRenamed("snapshot", "source_snapshot_id").withColumnRenamed("organization_conflicted", "c2").withColumnsRenamed({c: f"{c}_2" for c in _ORGANIZATION})
+    both = found.select("relationship_edge_id", "person_id", "latest_organization_id", "source_snapshot_id").join(own, ["latest_organization_id", "source_snapshot_id"], "left").join(people, "person_id", "left").where("c1 is not null or c2 is not null")
+    merged = [F.array_distinct(F.concat(*[F.coalesce(f"{c}_{i}", F.array().cast(dict(both.dtypes)[f"{c}_{i}"])) for i in (1, 2)])).alias(c) for c in _ORGANIZATION]
+    return both.select("relationship_edge_id", (F.coalesce("c1", F.lit(False)) | F.coalesce("c2", F.lit(False))).alias("organization_conflicted"), *merged)
+
+
+def with_employment(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Candidates with what their person's employment rests on, which is worked out once for each person."""
+    people = found.groupBy("person_id").agg(F.first("employment_refs").alias("refs"))
+    return found.join(rests_on(people, "person_id", "refs", evidence, "employment"), "person_id", "left")
+
+
+def dependency_closure(found: DataFrame) -> DataFrame:
+    """Candidates with all snapshots, consents and contributors they rest on, and what is wrong with them.
+
+    From the arrays ``edge_deps``, ``employment_deps``, ``identity_deps``, ``organization_deps`` and ``own_dep``; adds
+    snapshot_ids, consent_ids, contributor_ids, source_kinds, resolved_refs and dependency_codes.
+    """
+    parts = ("edge", "employment", "identity", "organization")
+    kinds = dict(found.dtypes)
+    deps = F.array_distinct(F.concat(*[F.coalesce(f"{p}_deps", F.array().cast(kinds[f"{p}_deps"])) for p in parts], F.array("own_dep")))
+    lost = F.array_distinct(F.concat(*[F.coalesce(f"{p}_missing", F.array().cast("array<string>")) for p in parts]))
+    made = found.withColumns({"deps": deps, "lost": lost})
+    each = lambda name: F.array_distinct(F.array_compact(F.transform("deps", lambda d: d[name])))
+    denied = F.exists("deps", lambda d: d["allowed"].isNotNull() & ~F.array_contains(d["allowed"], F.col("category")))
+    codes = F.concat(F.flatten(F.transform("deps", lambda d: d["codes"])), F.when(denied, F.array(F.lit("DEPENDENCY_CONSENT_CATEGORY_DISALLOWED"))).otherwise(F.array().cast("array<string>")))
+    made = made.withColumns({"snapshot_ids": F.array_sort(each("snapshot")), "consent_ids": each("by_consent"), "contributor_ids": each("by_contributor"), "source_kinds": each("source_kind"), "resolved_refs": (F.size("all_refs") - F.size("lost")).cast("long"), "dependency_codes": F.array_distinct(codes)})
+    return made.drop("deps", "lost", "own_dep", *[f"{p}_{x}" for p in parts for x in ("deps", "missing")])
 
 
 def suppression_hits(found: DataFrame, active: DataFrame) -> DataFrame:
@@ -212,15 +251,19 @@ def gates(config: dict[str, Any], policy: dict[str, Any]) -> list[tuple[str, Col
 
 def verdicts(tables: dict[str, DataFrame], config: dict[str, Any], policy: dict[str, Any], clock: datetime) -> DataFrame:
     """Every candidate with all its reasons, its disposition and its scores."""
-    # read three times below
-    tables = tables | {"evidence_ref": staged(tables["evidence_ref"].select("evidence_ref_id", "source_snapshot_id"), "evidence")}
-    found = staged(candidates(tables, config, clock), "candidates")
-    found = found.join(identity_summary(tables["identity_claim"]), "person_id", "left")
-    found = found.join(scoped_organization_claims(found, tables), "relationship_edge_id", "left")
+    evidence, snapshots = known_evidence(tables, policy, clock)
+    found = staged(with_employment(candidates(tables, config, clock), evidence), "candidates")
+    # people, organizations and edges are each looked up by themselves; the wide rows meet the results once
+    identity = identity_summary(tables["identity_claim"])
+    identity = identity.join(rests_on(identity, "person_id", "identity_refs", evidence, "identity"), "person_id", "left")
+    scoped = scoped_organization_claims(found, tables, evidence)
+    edges = rests_on(found, "relationship_edge_id", "edge_refs", evidence, "edge")
+    unknown = F.struct(F.col("source_snapshot_id").alias("snapshot"), *[F.lit(None).cast("string").alias(c) for c in ("by_consent", "by_contributor", "source_kind")], F.array().cast("array<string>").alias("codes"), F.lit(None).cast("array<string>").alias("allowed"))
+    own = snapshots.select(F.col("snapshot").alias("source_snapshot_id"), F.col("dep").alias("own_dep"))
+    found = found.join(edges, "relationship_edge_id", "left").join(scoped, "relationship_edge_id", "left").join(identity, "person_id", "left").join(own, "source_snapshot_id", "left")
     nothing = F.array().cast("array<string>")
-    found = found.withColumn("all_refs", F.array_sort(F.array_distinct(F.concat(*[F.coalesce(c, nothing) for c in ("edge_refs", "employment_refs", "identity_refs", "organization_refs")]))))
-    found = staged(found, "candidates")
-    found = staged(found.join(dependency_closure(found, tables, policy, clock), "relationship_edge_id", "left"), "candidates")
+    found = found.withColumns({"own_dep": F.coalesce("own_dep", unknown), "all_refs": F.array_sort(F.array_distinct(F.concat(*[F.coalesce(c, nothing) for c in ("edge_refs", "employment_refs", "identity_refs", "organization_refs")])))})
+    found = staged(dependency_closure(found), "candidates")
     found = found.join(suppression_hits(found, suppressions(tables["suppression_rule"], config, clock)), "relationship_edge_id", "left")
     consents = tables["consent"].select("consent_record_id", disposition(clock).alias("consent_disposition"), F.col("purpose_id").alias("consent_purpose"), F.col("allowed_categories").alias("consent_categories"), F.col("source_classes").alias("consent_classes"), F.col("authorization_basis").alias("consent_basis"))
     pending_people = tables["person_resolution_candidate"].where("status = 'pending'").select(F.col("subject_person_id").alias("person_id"), F.lit(True).alias("person_pending")).distinct()

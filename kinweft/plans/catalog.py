@@ -95,8 +95,10 @@ def identity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def organization_claims_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables, config, _, clock = _workspace(spark, sf_dir)
-    made = evaluate.scoped_organization_claims(staged(evaluate.candidates(tables, config, clock), "candidates"), tables)
+    tables, config, policy, clock = _workspace(spark, sf_dir)
+    evidence, _ = evaluate.known_evidence(tables, policy, clock)
+    found = staged(evaluate.with_employment(evaluate.candidates(tables, config, clock), evidence), "candidates")
+    made = evaluate.scoped_organization_claims(found, tables, evidence)
     return made.select(F.col("relationship_edge_id").alias("edge"), F.size("organization_refs").cast("long").alias("n_refs"), F.col("organization_conflicted").alias("conflicted"))
 
 
