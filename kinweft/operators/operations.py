@@ -153,12 +153,13 @@ def record_export(store: Store, workspace: str, run_id: str, file_format: str, v
     tx.commit()
 
 
-def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: list[str], actor: str = "actor_operator") -> dict[str, Any]:
+def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: list[str] | None, actor: str = "actor_operator") -> dict[str, Any]:
     """Import a file: authorize, scan, canonicalize, resolve and commit, or leave nothing but the record of a failure.
 
     Returns ``status`` (``committed``, or ``idempotent`` where this import was committed before), the snapshot's id,
     the file's digest and its number of rows.  The same content under another contributor, consent or mapping is
-    refused.  One bad row or value refuses the file.  ``request.raw_sha256`` is found here.
+    refused.  One bad row or value refuses the file.  ``request.raw_sha256`` is found here.  The file must be a plain
+    one under one of ``roots``; without them it is what the caller's file system has.
     """
     tx = store.begin()
     workspace = request.workspace
@@ -178,7 +179,7 @@ def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: l
     return made
 
 
-def _import(store: Store, tx: Transaction, request: Request, mapping: Mapping, file: str, roots: list[str]) -> dict[str, Any]:
+def _import(store: Store, tx: Transaction, request: Request, mapping: Mapping, file: str, roots: list[str] | None) -> dict[str, Any]:
     scanned = staged(csv_scan.scan(store.spark, file, mapping, roots), "scan")
     about = scanned.select("raw_sha256", "byte_count", "error").first()
     if about["error"] is not None:

@@ -40,6 +40,14 @@ def edge_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize.groups(materialize.stage_rows(made, ["full_name", "company_name"], REQUEST)).select("group_digest", "row_number", F.size("records").cast("long").alias("n_evidence"), F.col("records")[0].alias("first_record"))
 
 
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of an import: one for each person, with the evidence of all equal rows."""
+    rows = _rows(spark, sf_dir, full_name="concat('N', c_custkey % 700)", provider_person_id="concat('P', c_custkey % 700)")
+    staged = materialize.stage_rows(materialize.canonical_rows(rows), ["full_name", "provider_person_id"], REQUEST)
+    edges = materialize.materialize(staged, REQUEST, schemas.complete({}, spark))["relationship_edge"]
+    return edges.select("relationship_edge_id", "destination_person_id", F.size("evidence_refs").cast("long").alias("n_evidence"), F.col("evidence_refs")[0].alias("first_evidence"), "eligible", "observed_at")
+
+
 def person_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, full_name="concat('N', c_custkey)", provider_person_id="if(c_custkey % 3 = 0, concat('P', c_custkey % 50), null)", email="if(c_custkey % 3 < 2, concat('u', (c_custkey * 7) % 240, '@corp.example'), null)")
     staged = materialize.stage_rows(materialize.canonical_rows(rows), ["full_name"], REQUEST)
@@ -126,7 +134,7 @@ def adapter_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (adapter_normalization, row_canonicalize, row_staging, edge_derivation, person_resolution, organization_resolution, employment_derivation, import_idempotency, referential_check, email_functions, profile_url_normalize, scoped_ids, csv_cells, source_class_cover, latest_event, adapter_verdicts)
+    made = (adapter_normalization, row_canonicalize, row_staging, edge_derivation, import_edges, person_resolution, organization_resolution, employment_derivation, import_idempotency, referential_check, email_functions, profile_url_normalize, scoped_ids, csv_cells, source_class_cover, latest_event, adapter_verdicts)
     return {f.__name__: f for f in made}
 
 
@@ -183,6 +191,12 @@ SELECT k AS row_number, full_name, email, company_domain, connected_on, CASE WHE
 SELECT k AS row_number, d AS row_digest, d AS group_digest, {_record("d", "k")} AS record_id FROM d""",
     "edge_derivation": f"""WITH r AS (SELECT min(c_custkey) AS k, count(*) AS n, 'N' || c_nationkey AS name, c_mktsegment AS company FROM customer GROUP BY c_nationkey, c_mktsegment), d AS (SELECT k, n, {_DIGEST} AS d FROM r)
 SELECT d AS group_digest, k AS row_number, n AS n_evidence, {_record("d", "k")} AS first_record FROM d""",
+    "import_edges": f"""WITH r AS (SELECT c_custkey AS k, 'N' || (c_custkey % 700) AS name, 'P' || (c_custkey % 700) AS pid FROM customer),
+d AS (SELECT k, pid, sha256('{{"full_name":"' || name || '","provider_person_id":"' || pid || '"}}') AS d FROM r),
+g AS (SELECT pid, count(*) AS n, min(k) AS k, any_value(d) AS d FROM d GROUP BY pid),
+p AS (SELECT n, {_record("d", "k")} AS rec, {_hmac("person", """'{"anchor":["provider_id","' || pid || '"],"namespace":"' || '""" + REQUEST.source_kind + """' || '"}'""")} AS person FROM g)
+SELECT {_hmac("edge", _json(contributorId="'" + REQUEST.contributor + "'", personId="person", sourceSnapshotId="'" + REQUEST.snapshot() + "'"))} AS relationship_edge_id, person AS destination_person_id, n AS n_evidence,
+  {_hmac("evidence", _json(claimType="'relationship'", sourceRecordId="rec", sourceSnapshotId="'" + REQUEST.snapshot() + "'"))} AS first_evidence, true AS eligible, '{workload.CLOCK}' AS observed_at FROM p""",
     "person_resolution": "WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'P' || (c_custkey % 50) END AS strong, CASE WHEN c_custkey % 3 < 2 THEN 'u' || ((c_custkey * 7) % 240) END AS weak FROM customer),"
     + _resolution("UNION ALL SELECT k, 'review', 'n' || k FROM r WHERE strong IS NULL AND weak IS NULL", "'u' || k").replace("{rows}", "person_rows"),
     "organization_resolution": "WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'C' || (c_custkey % 60) END AS strong, CASE WHEN c_custkey % 4 < 2 THEN 'd' || ((c_custkey * 3) % 130) END AS weak FROM customer),"

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweft import schemas
 from kinweft.functions import digest
-from kinweft.operators import adapters, consent, governance
+from kinweft.operators import adapters, consent, governance, operations
+from kinweft.operators.materialize import Request
 from kinweft.plans import workload
 from kinweft.session import shared_dir
 from kinweft.sources import csv_scan
 from kinweft.sources.csv_scan import Mapping
+from kinweft.sources.store import Store
 
 #: Rows of a file that the queries write, about; a file may have 100,000.
 FILE_ROWS = 2000
@@ -62,6 +65,27 @@ def csv_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("nation"), "error").agg(F.count("row_number").alias("n_rows"))
 
 
+#: Customers of one import; a file may have 100,000 rows.
+IMPORT_ROWS = 50_000
+
+
+def import_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each table of a new store has after all customers were imported from CSV files."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:12]}")
+    tables = workload.tables(spark, sf_dir)
+    one = {k: tables[k].where(f"{key} = '{value}'") for k, key, value in (("workspace", "workspace_id", workload.WORKSPACE), ("contributor", "contributor_id", "s1"), ("consent", "consent_record_id", "k1"))}
+    store.commit(one | {"consent": one["consent"].withColumn("source_classes", F.array(F.lit("connections_csv")))})
+    rows = workload.star(spark, sf_dir, "customer").withColumn("file", F.floor(F.col("c_custkey") / IMPORT_ROWS))
+    n = rows.agg(F.max("file")).first()[0] + 1
+    body = rows.selectExpr("file", "cast(c_custkey AS long) AS place", f"concat_ws(',', {_quoted('c_name')}, concat('P', c_custkey), concat('n', c_nationkey, '.example')) AS value")
+    folder = _files(spark, body.unionByName(spark.range(n).selectExpr("id AS file", "-1L AS place", "'Name,Id,Domain' AS value"))).removesuffix("/*/*.txt")
+    mapping = _mapping(Name="full_name", Id="provider_person_id", Domain="company_domain")
+    for i in range(n):
+        operations.import_csv(store, Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", f"m{i}", "1", workload.CLOCK, ""), mapping, f"{folder}/file={i}/*.txt", None)
+    made = store.tables()
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table_name"), "n") for k, df in made.items()]).where("n > 0")
+
+
 def adapter_authorizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each order, seen as an authorization, lets an adapter read at the clock; the first reason against it."""
     held = workload.star(spark, sf_dir, "orders").selectExpr(
@@ -119,7 +143,7 @@ def user_audit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (csv_documents, csv_refusals, adapter_authorizations, consent_changes, alias_authorizations, withdrawal_dependants, audit_chain_verify, user_audit_chains)
+    made = (csv_documents, csv_refusals, import_commit, adapter_authorizations, consent_changes, alias_authorizations, withdrawal_dependants, audit_chain_verify, user_audit_chains)
     return {f.__name__: f for f in made}
 
 
@@ -141,6 +165,9 @@ SQL = {
 SELECT doc_id, lang, sha256(coalesce(text, '')) AS text_sha256, (doc_id % n % 2)::INT AS preamble_lines, sha256('{"Doc":"' || doc_id || '","Lang":' || to_json(coalesce(lang, '')) || ',"text":' || to_json(coalesce(text, '')) || '}') AS row_digest, NULL::VARCHAR AS error FROM documents, n""",
     "csv_refusals": """WITH e AS (SELECT n_nationkey::BIGINT AS nation, CASE n_nationkey % 7 WHEN 1 THEN 'MALFORMED_QUOTING' WHEN 2 THEN 'COLUMN_COUNT_MISMATCH' WHEN 3 THEN 'HEADER_NOT_FOUND' WHEN 4 THEN 'HEADER_COLLISION' WHEN 5 THEN 'MALFORMED_QUOTING' WHEN 6 THEN 'FIELD_TOO_LARGE' END AS error FROM nation)
 SELECT nation, error, CASE WHEN error IS NULL THEN (SELECT count(*) FROM customer WHERE c_nationkey = nation) ELSE 0 END AS n_rows FROM e""",
+    "import_commit": """WITH c AS (SELECT c_custkey // 50000 AS f, c_nationkey AS n FROM customer), a AS (SELECT count(*) AS rows, count(DISTINCT f) AS files, count(DISTINCT n) AS firms, count(DISTINCT (f, n)) AS claims FROM c)
+SELECT unnest(['workspace', 'contributor', 'consent', 'person', 'identity_claim', 'organization', 'organization_claim', 'employment_claim', 'relationship_edge', 'evidence_ref', 'source_snapshot', 'import_transaction', 'audit_event']) AS table_name,
+  unnest([1, 1, 1, rows, 2 * rows, firms, claims, rows, rows, 4 * rows, files, files, files]) AS n FROM a""",
     "adapter_authorizations": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'ADAPTER_AUTHORIZATION_WORKSPACE_MISMATCH' WHEN o_orderkey % 13 = 0 THEN 'ADAPTER_AUTHORIZATION_ADAPTER_MISMATCH' WHEN o_orderkey % 17 = 0 THEN 'ADAPTER_AUTHORIZATION_PURPOSE_MISMATCH'
   WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'ADAPTER_AUTHORIZATION_REVOKED' WHEN o_orderdate > TIMESTAMP '2001-08-02 00:00:00' OR o_orderkey % 3 = 0 THEN 'ADAPTER_AUTHORIZATION_NOT_ACTIVE' WHEN o_orderkey % 2 = 0 THEN 'ADAPTER_CAPABILITY_DENIED' END AS refusal FROM orders""",
     "consent_changes": """SELECT 'k' || s_suppkey AS consent_record_id, array_to_string(list_filter([CASE WHEN s_suppkey % 4 = 0 THEN 'CONSENT_CONTRIBUTOR_ID_CHANGED' END, CASE WHEN s_suppkey % 5 = 0 THEN 'CONSENT_AUTHORIZATION_BASIS_CHANGED' END, CASE WHEN s_suppkey % 3 = 0 THEN 'CONSENT_SOURCE_CLASSES_WIDENED' END,
