@@ -21,7 +21,9 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -39,6 +41,8 @@ START, END = _U(1), _U(2)
 #: Pairs that a task gathers before it adds them up, and bytes of text for each shard.
 GATHER = 2_000_000
 SHARD_BYTES = 16 << 20
+#: Shards of each kind that a worker keeps mapped.
+MAPS = 4096
 
 
 def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -235,7 +239,8 @@ def train(docs: DataFrame, training: Column, text_col: str = "text") -> Model:
         order, first, (times,) = _sum(key, [times.astype(_U)])
         order = order[first]
         key, context, word = key[order], context[order], word[order]
-        Folder(uri).write(f"pairs-{shard}", [key[times == 1], key[times > 1], np.minimum(times[times > 1], 0xFFFFFFFF).astype("<u4")])
+        more = times[times > 1]
+        Folder(uri).write(f"pairs-{shard}", [key[times == 1], key[times > 1], more.astype("<u4" if not len(more) or more.max() <= 0xFFFFFFFF else "<u8")])
         totals = [int((times == k).sum()) for k in (1, 2, 3, 4)]
         del key, order, first
         names = np.concatenate([word, context])
@@ -281,21 +286,22 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, folder = model, Folder(model.uri)
-        self.pairs = [folder.map(f"pairs-{s}") for s in range(model.shards)]
-        self.words = [folder.map(f"words-{s}") for s in range(model.shards)]
+        # a shard is mapped when a key of it is asked for, and only so many stay mapped
+        self.pairs, self.words = (lru_cache(MAPS)(lambda s, kind=kind: folder.map(f"{kind}-{s}")) for kind in ("pairs", "words"))
         self.pair_discount, self.word_discount = Model.discounts(model.pair_counts), Model.discounts(model.word_counts)
         n1, n2, _, _ = model.word_counts
         e = self.word_discount
         more = int(model.types - n1 - n2)
         self.rest = (e[1] * n1 + e[2] * n2 + e[3] * more) / max(model.contexts, 1) / (model.types + 1) if model.contexts else 1.0
 
-    def _find(self, key: np.ndarray, bits: int, shards: list, fields: int) -> list[np.ndarray]:
+    def _find(self, key: np.ndarray, bits: int, shard: Callable[[int], Sequence[np.ndarray] | None], fields: int) -> list[np.ndarray]:
         """Fields of sorted distinct keys; zeros for keys that are not there."""
         out = [np.zeros(len(key), np.float64) for _ in range(fields)]
         cut = _split(key, bits, self.model.shards)
-        for s, arrays in enumerate(shards):
+        for s in range(self.model.shards):
             a, b = cut[s], cut[s + 1]
-            if b > a and arrays is not None and len(arrays[0]):
+            arrays = shard(s) if b > a else None
+            if arrays is not None and len(arrays[0]):
                 at = np.minimum(np.searchsorted(arrays[0], key[a:b]), len(arrays[0]) - 1)
                 hit = arrays[0][at] == key[a:b]
                 for o, values in zip(out, arrays[1:], strict=False):
@@ -303,8 +309,8 @@ class Scorer:
         return out
 
     def pair_count(self, key: np.ndarray) -> np.ndarray:
-        (once,) = self._find(key, 64, [None if x is None else (x[0], np.broadcast_to(np.float64(1), len(x[0]))) for x in self.pairs], 1)
-        (more,) = self._find(key, 64, [None if x is None else x[1:] for x in self.pairs], 1)
+        (once,) = self._find(key, 64, lambda s: None if (x := self.pairs(s)) is None else (x[0], np.broadcast_to(np.float64(1), len(x[0]))), 1)
+        (more,) = self._find(key, 64, lambda s: None if (x := self.pairs(s)) is None else x[1:], 1)
         return once + more
 
     def score(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
