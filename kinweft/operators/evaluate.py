@@ -95,24 +95,25 @@ def candidates(tables: dict[str, DataFrame], config: dict[str, Any], clock: date
         "person_id", "employment_claim_id", F.col("organization_id").alias("latest_organization_id"), "title", "function", "seniority", "state", "ended_at", F.col("review_status").alias("employment_status"),
         F.col("observed_at").alias("employment_observed_at"), F.col("confidence").alias("employment_confidence"), F.col("evidence_refs").alias("employment_refs"), "current_organizations",
     )
-    joined = e.join(latest, "person_id")
+    # what a person's employment is worth is the same for all edges to the person, and worked out before these meet it
     if config["approvedOrganizationAliases"]:
         alias = authorized_aliases(tables["organization_alias_candidate"], tables["review_decision"], config, clock)
         first = alias.groupBy(F.col("source_organization_id").alias("latest_organization_id")).agg(F.min_by("organization_id", "position").alias("alias_organization_id"))
-        joined = joined.join(F.broadcast(first), "latest_organization_id", "left")
+        latest = latest.join(F.broadcast(first), "latest_organization_id", "left")
     else:
-        joined = joined.withColumn("alias_organization_id", F.lit(None).cast("string"))
-    joined = joined.withColumn("organization_id", F.coalesce("alias_organization_id", "latest_organization_id"))
+        latest = latest.withColumn("alias_organization_id", F.lit(None).cast("string"))
+    latest = latest.withColumn("organization_id", F.coalesce("alias_organization_id", "latest_organization_id"))
     # the configuration is bounded by what one JSON file holds, so its accounts can be sent everywhere
-    joined = joined.join(F.broadcast(accounts(spark, config)), "organization_id", "left")
+    latest = latest.join(F.broadcast(accounts(spark, config)), "organization_id", "left")
     attributes = {f: rules.text_attribute(F.col(f)) if f in ("title", "function", "seniority") else F.col(f"attr_{f}") for f in FIELDS}
-    directs = spark.createDataFrame([(k, True) for k in sorted(set(config["directContributorIds"]))], "contributor_id string, direct boolean")
-    joined = joined.join(directs, "contributor_id", "left")
-    made = joined.withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "direct": F.coalesce("direct", F.lit(False)), "icp": rules.evaluate(config["icpRuleSet"], attributes), "persona": rules.evaluate(config["stakeholderPersonaRuleSet"], attributes)})
+    latest = latest.withColumns({"is_target": F.coalesce("is_target", F.lit(False)), "icp": rules.evaluate(config["icpRuleSet"], attributes), "persona": rules.evaluate(config["stakeholderPersonaRuleSet"], attributes)})
     coach = rules.evaluate(config["coachCandidateRuleSet"], attributes)["matched"] if "coachCandidateRuleSet" in config else F.lit(False)
-    made = made.withColumns({"coach_matched": coach, "persona_outcome": rules.persona_outcome(F.col("persona"), config["scoring"])})
+    latest = latest.withColumns({"coach_matched": coach, "persona_outcome": rules.persona_outcome(F.col("persona"), config["scoring"])})
+    latest = latest.drop(*[c for c in latest.columns if c.startswith("attr_") and c != "attr_crm_state"])
+    directs = spark.createDataFrame([(k, True) for k in sorted(set(config["directContributorIds"]))], "contributor_id string, direct boolean")
+    made = e.join(latest, "person_id").join(directs, "contributor_id", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
     made = made.withColumn("category", rules.category(F.col("direct"), F.col("is_target"), F.col("icp")["matched"], F.col("persona_outcome")))
-    return made.where("category is not null").drop(*[c for c in made.columns if c.startswith("attr_") and c != "attr_crm_state"])
+    return made.where("category is not null")
 
 
 def known_evidence(tables: dict[str, DataFrame], policy: dict[str, Any], clock: datetime) -> tuple[DataFrame, DataFrame]:
