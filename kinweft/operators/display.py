@@ -14,7 +14,8 @@ from kinweft.config import ConfigError, instant, read_config
 from kinweft.functions.digest import camel
 from kinweft.functions.scalars import csv_cell, terminal_safe
 from kinweft.operators.consent import disposition, suppressions
-from kinweft.operators.evaluate import ENGINE_VERSION, Evaluation, in_dictionary_order
+from kinweft.operators.evaluate import ENGINE_VERSION, Evaluation, in_dictionary_order, over_scopes
+from kinweft.session import staged
 
 # Wordings and columns of the published report format.
 CAVEAT = "Results are hypotheses for human review, not permission to contact."
@@ -61,12 +62,30 @@ def exportable(results: DataFrame, consents: DataFrame) -> DataFrame:
     return results.join(needed.join(allowed, "id", "left_anti").select("result_id").distinct(), "result_id", "left_anti")
 
 
-def evidence_summary(results: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """(result_id, evidence_count, claim_types, source_kinds, observed_at) of each result's evidence."""
+def evidence_summary(results: DataFrame, tables: dict[str, DataFrame], scoped: DataFrame | None = None) -> DataFrame:
+    """(result_id, evidence_count, claim_types, source_kinds, observed_at) of each result's evidence.
+
+    With ``scoped`` (:func:`kinweft.operators.evaluate.scoped_references`), results name what the claims of their
+    organization add by ``latest_organization_id`` and ``organization_scopes``; it is summed up for each occurring set
+    of scopes.
+    """
     refs = tables["evidence_ref"].select(F.col("evidence_ref_id").alias("ref"), "claim_type", F.col("source_snapshot_id").alias("snapshot"))
     snapshots = tables["source_snapshot"].select(F.col("source_snapshot_id").alias("snapshot"), "source_kind", F.coalesce("source_observed_at", "imported_at").alias("seen"))
-    rows = results.select("result_id", F.explode("evidence_refs").alias("ref")).join(refs, "ref").join(snapshots, "snapshot", "left")
-    return rows.groupBy("result_id").agg(F.count("*").alias("evidence_count"), F.array_sort(F.collect_set("claim_type")).alias("claim_types"), F.array_sort(F.collect_set("source_kind")).alias("source_kinds"), F.array_sort(F.collect_set("seen")).alias("observed_at"))
+    sets = {"claim_types": "claim_type", "source_kinds": "source_kind", "observed_at": "seen"}
+    found = [F.count("*").alias("evidence_count"), *[F.collect_set(c).alias(k) for k, c in sets.items()]]
+    own = results.select("result_id", F.explode("evidence_refs").alias("ref"), *([] if scoped is None else ["latest_organization_id", "organization_scopes"]))
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in sets]
+    total = [F.sum("evidence_count").alias("evidence_count"), *merged]
+    if scoped is None:
+        return own.join(refs, "ref").join(snapshots, "snapshot", "left").groupBy("result_id").agg(found[0], *[F.array_sort(c).alias(k) for k, c in zip(sets, found[1:], strict=True)])
+    scoped, sets_of = staged(scoped, "scoped"), ["latest_organization_id", "organization_scopes"]
+    # a reference of the result's own that is in one of its scopes counts there
+    inside = scoped.select(F.col("latest_organization_id").alias("__organization"), F.col("ref").alias("__ref"), "scope")
+    own = own.join(inside, (F.col("ref") == F.col("__ref")) & (F.col("latest_organization_id") == F.col("__organization")) & F.arrays_overlap("scope", "organization_scopes"), "left_anti")
+    own = own.select("result_id", "ref").join(refs, "ref").join(snapshots, "snapshot", "left").groupBy("result_id").agg(*found)
+    blocks = staged(scoped.join(refs, "ref").join(snapshots, "snapshot", "left").groupBy("latest_organization_id", "scope").agg(*found), "blocks")
+    claimed = results.select("result_id", *sets_of).join(over_scopes(results, blocks, *total), sets_of).drop(*sets_of)
+    return own.unionByName(claimed).groupBy("result_id").agg(*total)
 
 
 def category_counts(results: DataFrame) -> DataFrame:
