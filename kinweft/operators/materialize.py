@@ -87,8 +87,10 @@ def idempotency(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
 def canonical_rows(rows: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with every field of :data:`FIELDS` in canonical form, and ``reject_code`` where a value is not usable.
 
-    Fields that are not there are null; blank values are absent.  Other columns stay.
+    Fields that are not there are null; blank values are absent.  Other columns stay.  Rows are dealt out first: a
+    small file is one task's, and its values cost more than its bytes tell.
     """
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "row_number")
     there = [f for f in FIELDS if f in rows.columns]
     clean = {f: F.when(scalars.trimmed(F.col(f)) != "", scalars.trimmed(scalars.nfkc(F.col(f)))) for f in there}
     made = rows.select(*[c for c in rows.columns if c not in FIELDS], *[clean.get(f, F.lit(None).cast("string")).alias(f) for f in FIELDS])
@@ -122,9 +124,14 @@ def evidence_id(request: Request, record: Column, claim_type: Column) -> Column:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """The first row of every group of equal canonical rows, with all the group's ``records``, in order."""
+    """The first row of every group of equal canonical rows, with all the group's ``records``, in order.
+
+    Rows are written before they are grouped, and groups before they are resolved, which reads them several times:
+    canonical values are worked out once for each row.
+    """
+    rows = staged(rows, "rows")
     first = rows.groupBy("group_digest").agg(F.min("row_number").alias("row_number"), F.array_sort(F.collect_list(F.struct("row_number", "record_id"))).alias("records"))
-    return rows.join(first.withColumn("records", F.col("records.record_id")), ["group_digest", "row_number"])
+    return staged(rows.join(first.withColumn("records", F.col("records.record_id")), ["group_digest", "row_number"]), "groups")
 
 
 def carried_before(own: DataFrame, carriers: DataFrame, subject: str) -> DataFrame:

@@ -12,6 +12,7 @@ from kinweft.functions import scalars
 from kinweft.functions.digest import json_object, json_string, scoped_id_column
 from kinweft.operators import adapters, governance, materialize, normalize
 from kinweft.plans import workload
+from kinweft.session import staged as written
 
 REQUEST = materialize.Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", "m", "1", workload.CLOCK, "0" * 64)
 
@@ -52,6 +53,7 @@ def person_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, full_name="concat('N', c_custkey)", provider_person_id="if(c_custkey % 3 = 0, concat('P', c_custkey % 50), null)", email="if(c_custkey % 3 < 2, concat('u', (c_custkey * 7) % 240, '@corp.example'), null)")
     staged = materialize.stage_rows(materialize.canonical_rows(rows), ["full_name"], REQUEST)
     made = materialize.resolve_people(materialize.groups(staged), schemas.empty(spark, "identity_claim"), REQUEST)
+    made = written(made.select("row_number", "person_id", "person_outcome"), "resolved")
     counted = made.groupBy("person_id").agg(F.count("*").alias("person_rows"), F.min("row_number").alias("first_row"))
     return made.join(counted, "person_id").select("row_number", F.col("person_outcome").alias("outcome"), "person_rows", "first_row")
 
@@ -61,6 +63,7 @@ def organization_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, full_name="concat('N', c_custkey)", crm_account_id="if(c_custkey % 4 = 0, concat('C', c_custkey % 60), null)", company_domain=domain, company_name="if(c_custkey % 4 = 2, 'Some Firm', null)")
     staged = materialize.stage_rows(materialize.canonical_rows(rows), ["full_name"], REQUEST)
     made = materialize.resolve_organizations(materialize.groups(staged), schemas.empty(spark, "organization_claim"), REQUEST)
+    made = written(made.select("row_number", "organization_id", "organization_outcome"), "resolved")
     counted = made.groupBy("organization_id").agg(F.count("*").alias("organization_rows"), F.min("row_number").alias("first_row"))
     return made.join(counted, "organization_id").select("row_number", F.col("organization_outcome").alias("outcome"), "organization_rows", "first_row")
 
