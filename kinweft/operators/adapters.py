@@ -54,17 +54,18 @@ def own_verdict(allowed_fields: list[str], since: str, until: str) -> Column:
     )
 
 
-def accept(records: DataFrame, stored: DataFrame, allowed_fields: list[str], since: str, until: str) -> DataFrame:
+def accept(records: DataFrame, stored: DataFrame, allowed_fields: list[str], since: str, until: str, order: str | None = None) -> DataFrame:
     """``records`` with ``verdict``: ``accepted``, ``duplicate``, or the code of the error that stops them.
 
     ``records`` has (adapter_authorization_id, provider_record_id, observed_at, record_digest_sha256, fields: JSON).
-    Within a batch the first record of a key counts; the same key with another digest is a rebinding, as it is
+    Within a batch the first record of a key counts; of those seen at one instant with one digest, the first by
+    ``order``, a column in whose order records came, or else by their fields.  The same key with another digest is a rebinding, as it is
     against ``stored``.  Records out of the time window or with fields that are not allowed are errors, not drops.
     """
     key = ["adapter_authorization_id", "provider_record_id"]
     known = stored.select(*key, F.col("record_digest_sha256").alias("__stored"))
     same = Window.partitionBy(*key)
-    made = records.join(known, key, "left").withColumns({"__place": F.row_number().over(same.orderBy("observed_at", "record_digest_sha256")), "__digests": F.size(F.collect_set("record_digest_sha256").over(same))})
+    made = records.join(known, key, "left").withColumns({"__place": F.row_number().over(same.orderBy("observed_at", "record_digest_sha256", *([order] if order else []), "fields")), "__digests": F.size(F.collect_set("record_digest_sha256").over(same))})
     rebound = (F.col("__stored") != F.col("record_digest_sha256")) | (F.col("__digests") > 1)
     repeat = F.col("__stored").isNotNull() | (F.col("__place") > 1)
     verdict = F.coalesce(own_verdict(allowed_fields, since, until), F.when(rebound, "PROVIDER_RECORD_REBINDING_REJECTED").when(repeat, "duplicate").otherwise("accepted"))

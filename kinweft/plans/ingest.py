@@ -117,9 +117,9 @@ def adapter_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of verdicts of provider records: allowed fields, the time window, repeats and rebindings."""
     line = workload.star(spark, sf_dir, "orders")
     fields = F.expr("if(o_orderkey % 9 = 0, '{\"title\":\"x\",\"secret\":\"y\"}', '{\"title\":\"x\"}')")
-    records = line.select(F.lit("a").alias("adapter_authorization_id"), F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 8)).alias("provider_record_id"), scalars.iso_millis(F.to_timestamp("o_orderdate")).alias("observed_at"), F.expr("concat('d', floor(o_orderkey / 8), if(floor(o_orderkey / 8) % 10 = 0, o_orderstatus, ''))").alias("record_digest_sha256"), fields.alias("fields"))
+    records = line.select(F.lit("a").alias("adapter_authorization_id"), F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 8)).alias("provider_record_id"), scalars.iso_millis(F.to_timestamp("o_orderdate")).alias("observed_at"), F.expr("concat('d', floor(o_orderkey / 8), if(floor(o_orderkey / 8) % 10 = 0, o_orderstatus, ''))").alias("record_digest_sha256"), fields.alias("fields"), "o_orderkey")
     stored = line.where("floor(o_orderkey / 8) % 7 = 0").select(F.lit("a").alias("adapter_authorization_id"), F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 8)).alias("provider_record_id"), F.concat(F.lit("d"), F.floor(F.col("o_orderkey") / 8)).alias("record_digest_sha256")).distinct()
-    made = adapters.accept(records, stored, ["title"], "1993-01-01T00:00:00.000Z", "1997-01-01T00:00:00.000Z")
+    made = adapters.accept(records, stored, ["title"], "1993-01-01T00:00:00.000Z", "1997-01-01T00:00:00.000Z", "o_orderkey")
     return made.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
