@@ -14,7 +14,7 @@ from kinweft.functions import digest
 from kinweft.operators import adapters, consent, governance, operations
 from kinweft.operators.materialize import Request
 from kinweft.plans import workload
-from kinweft.session import shared_dir
+from kinweft.session import shared_dir, staged
 from kinweft.sources import csv_scan
 from kinweft.sources.csv_scan import Mapping
 from kinweft.sources.store import Store
@@ -130,13 +130,13 @@ def withdrawal_dependants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of all consents' grants, and the first event at which it breaks after one was changed."""
     events = workload.tables(spark, sf_dir)["consent"].selectExpr("workspace_id", "consent_record_id AS place", "'consent.granted' AS event_type", "'actor' AS actor_id", f"'{workload.CLOCK}' AS occurred_at", "'consent' AS subject_type", "consent_record_id AS subject_id", "concat('{\"id\":\"', consent_record_id, '\"}') AS payload")
-    return governance.first_break(governance.chained_frame(events).withColumn("actor_id", F.when(F.col("sequence") == 20, "someone").otherwise(F.col("actor_id"))))
+    return governance.first_break(staged(governance.chained_frame(events), "chain").withColumn("actor_id", F.when(F.col("sequence") == 20, "someone").otherwise(F.col("actor_id"))))
 
 
 def user_audit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of each user's events, its last hash, and where it breaks after every fifth user's third event was changed."""
     events = workload.star(spark, sf_dir, "events").selectExpr("concat('w', user_id) AS workspace_id", "event_id AS place", "event_type", "'actor' AS actor_id", f"'{workload.CLOCK}' AS occurred_at", "'event' AS subject_type", "cast(event_id AS string) AS subject_id", "'{}' AS payload")
-    chain = governance.chained_frame(events)
+    chain = staged(governance.chained_frame(events), "chain")  # made once, and read by all that follows
     head = chain.groupBy("workspace_id").agg(F.max_by("hash", "sequence").alias("head"))
     changed = chain.withColumn("actor_id", F.when((F.col("sequence") == 3) & (F.substring("workspace_id", 2, 20).cast("long") % 5 == 0), "someone").otherwise(F.col("actor_id")))
     return governance.first_break(changed).join(head, "workspace_id")

@@ -1,6 +1,7 @@
 """What a query costs does not hang on how few files its input has, nor is work done twice."""
 
 from kinweft.operators import adapters, materialize
+from kinweft.plans import scans
 
 REQUEST = materialize.Request("w", "s1", "k1", "generic_contacts_csv", "m", "1", "2026-01-01T00:00:00.000Z", "ab" * 32)
 
@@ -26,3 +27,9 @@ def test_of_equal_records_the_first_to_come_counts(spark):
     late = [(*r[:5], 3 - r[5]) for r in rows]
     made = adapters.accept(spark.createDataFrame(late, kind), none, ["title"], at, at, "place")
     assert {r["verdict"]: r["count"] for r in made.groupBy("verdict").count().collect()} == {"FIELD_NOT_AUTHORIZED": 40, "accepted": 40}
+
+
+def test_chains_are_made_once(spark):
+    made = scans.user_audit_chains(spark, "/root/testdata/sf0.001")
+    # a chain is serial work in Python, so what is read from it several times stands in a file
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
