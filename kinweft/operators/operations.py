@@ -153,13 +153,29 @@ def record_export(store: Store, workspace: str, run_id: str, file_format: str, v
     tx.commit()
 
 
-def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: list[str] | None, actor: str = "actor_operator") -> dict[str, Any]:
+def scan_files(store: Store, paths: str, mapping: Mapping, roots: list[str] | None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(scan, canonical rows) of each of many files, by its path, scanned at once; for :func:`import_csv`.
+
+    Whoever imports them has to be allowed to read them.
+    """
+    scanned = staged(csv_scan.scan(store.spark, paths, mapping, roots), "scan")
+    rows = canonical_rows(csv_scan.as_rows(scanned, "path"), mapping.values)
+    # files lie apart from one another, so that one file's rows are found without reading the others
+    parts = 2 * store.spark.sparkContext.defaultParallelism
+    canonical = staged(rows.repartition(parts, "path").sortWithinPartitions("path", "row_number"), "canonical")
+    about = staged(scanned.select("path", "raw_sha256", "byte_count", "error").distinct(), "files")
+    mine = lambda df, path: df.where(F.col("path") == path).drop("path")
+    return {r["path"]: (mine(about, r["path"]), mine(canonical, r["path"])) for r in about.select("path").distinct().collect()}
+
+
+def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: list[str] | None, actor: str = "actor_operator", scan: tuple[DataFrame, DataFrame] | None = None) -> dict[str, Any]:
     """Import a file: authorize, scan, canonicalize, resolve and commit, or leave nothing but the record of a failure.
 
     Returns ``status`` (``committed``, or ``idempotent`` where this import was committed before), the snapshot's id,
     the file's digest and its number of rows.  The same content under another contributor, consent or mapping is
     refused.  One bad row or value refuses the file.  ``request.raw_sha256`` is found here.  The file must be a plain
-    one under one of ``roots``; without them it is what the caller's file system has.
+    one under one of ``roots``; without them it is what the caller's file system has.  ``scan`` is the file's part of
+    :func:`scan_files`, if it was scanned with others.
     """
     tx = store.begin()
     workspace = request.workspace
@@ -167,7 +183,7 @@ def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: l
     authorize(request, _found(tx, "workspace", workspace, workspace, "CONSENT_BINDING_INVALID"), tx.get("consent", workspace, request.consent), tx.get("contributor", workspace, request.contributor))
     mapped = mapping if isinstance(mapping, Mapping) else Mapping.read(mapping)
     try:
-        made = _import(store, tx, request, mapped, file, roots)
+        made = _import(store, tx, request, mapped, file, roots, scan)
     except (ConfigError, ScanError, OSError) as e:
         code = str(e) if not isinstance(e, OSError) else "FILE_OPEN_REJECTED"
         if code != "COMMIT_CONFLICT":
@@ -179,12 +195,12 @@ def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: l
     return made
 
 
-def _import(store: Store, tx: Transaction, request: Request, mapping: Mapping, file: str, roots: list[str] | None) -> dict[str, Any]:
-    scanned = staged(csv_scan.scan(store.spark, file, mapping, roots), "scan")
+def _import(store: Store, tx: Transaction, request: Request, mapping: Mapping, file: str, roots: list[str] | None, scan: tuple[DataFrame, DataFrame] | None) -> dict[str, Any]:
+    scanned = scan[0] if scan else staged(csv_scan.scan(store.spark, file, mapping, roots), "scan")
     about = scanned.select("raw_sha256", "byte_count", "error").first()
     if about["error"] is not None:
         raise ConfigError(about["error"])
-    canonical = staged(canonical_rows(csv_scan.as_rows(scanned), mapping.values), "canonical")
+    canonical = scan[1] if scan else staged(canonical_rows(csv_scan.as_rows(scanned), mapping.values), "canonical")
     if bad := canonical.where("reject_code is not null").orderBy("row_number").head(1):
         raise ConfigError(bad[0]["reject_code"])
     request = replace(request, raw_sha256=about["raw_sha256"], byte_count=about["byte_count"], record_count=canonical.count())

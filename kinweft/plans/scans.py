@@ -80,8 +80,10 @@ def import_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = rows.selectExpr("file", "cast(c_custkey AS long) AS place", f"concat_ws(',', {_quoted('c_name')}, concat('P', c_custkey), concat('n', c_nationkey, '.example')) AS value")
     folder = _files(spark, body.unionByName(spark.range(n).selectExpr("id AS file", "-1L AS place", "'Name,Id,Domain' AS value"))).removesuffix("/*/*.txt")
     mapping = _mapping(Name="full_name", Id="provider_person_id", Domain="company_domain")
+    # all files are scanned at once; each is a commit of its own, resolved against those before it
+    held = {int(p.split("/file=")[1].split("/")[0]): (p, s) for p, s in operations.scan_files(store, f"{folder}/*/*.txt", mapping, None).items()}
     for i in range(n):
-        operations.import_csv(store, Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", f"m{i}", "1", workload.CLOCK, ""), mapping, f"{folder}/file={i}/*.txt", None)
+        operations.import_csv(store, Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", f"m{i}", "1", workload.CLOCK, ""), mapping, held[i][0], None, scan=held[i][1])
     made = store.tables()
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table_name"), "n") for k, df in made.items()]).where("n > 0")
 

@@ -403,7 +403,7 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def as_rows(scanned: DataFrame) -> DataFrame:
-    """The rows of a scan with a column for each target field, as an import takes them."""
+def as_rows(scanned: DataFrame, *also: str) -> DataFrame:
+    """The rows of a scan with a column for each target field, as an import takes them; with the columns ``also``."""
     rows = scanned.where("row_number is not null")
-    return rows.select("row_number", "row_digest", *[F.col("fields")[t].alias(t) for t in TARGETS])
+    return rows.select(*also, "row_number", "row_digest", *[F.col("fields")[t].alias(t) for t in TARGETS])

@@ -16,6 +16,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from pathlib import Path
 from typing import Any
@@ -30,6 +31,8 @@ from kinweft.operators.materialize import REFERENCES
 
 #: Tries of a commit whose base keeps moving, each time by tables that it has nothing to do with.
 ATTEMPTS = 20
+#: Tables that a commit checks and writes at the same time.
+TABLES_AT_ONCE = 6
 
 
 def _key(name: str) -> list[str]:
@@ -321,13 +324,12 @@ class Transaction:
             raise ConfigError("AUDIT_EVENTS_ARE_CHAINED")
         if self.base["schema"] < schemas.VERSION:
             raise ConfigError("MIGRATION_REQUIRED")
-        made: dict[str, dict[str, Any]] = {}
-        for name, rows in self.puts.items():
-            if segment := self._checked(name, rows, number):
-                made[name] = segment
-        if references:
-            for name, segment in made.items():
-                self._dangling(name, segment, made)
+        # tables do not wait for one another: their jobs are small, and most of a small commit is waiting for them
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            segments = list(pool.map(lambda x: self._checked(*x, number), self.puts.items()))
+            made = {name: segment for name, segment in zip(self.puts, segments, strict=True) if segment}
+            if references:
+                list(pool.map(lambda x: self._dangling(*x, made), list(made.items())))
         if self.base["indexed"] and (rests := {k: store._segment(k, [s]) for k, s in made.items() if k in governance.DEPENDENT}):
             made["dependency"] = store._write("dependency", governance.postings(rests, store.table("dependency", self.base)), number)
         for name, keys in self.deletes.items():
