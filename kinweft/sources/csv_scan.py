@@ -19,7 +19,9 @@ from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -272,37 +274,68 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
+_RUNNING = ("line", "earlier", "k_0", "k_1", "sofar_0", "sofar_1")
+
+
+def _running(batches):
+    """Lines with their number in their block, the quotes before them there, and, should the block begin outside (0) or
+    inside (1) of quotes: how many records have begun, and how many bytes of the line's record stand before it.
+
+    A block's lines come one after another, as they are read, so nothing is sorted and only numbers are held.
+    """
+    key, line, quotes, size, k, base = None, 0, 0, 0, [0, 0], [0, 0]
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        file, block = batch.column("file"), batch.column("block").to_numpy()
+        new = np.flatnonzero((block[1:] != block[:-1]) | pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)) + 1
+        q, z = batch.column("quotes").to_numpy().astype("int64"), batch.column("size").to_numpy() + 1
+        out = {c: np.empty(n, "int64") for c in _RUNNING}
+        for at, end in zip([0, *new], [*new, n], strict=True):
+            if key != (file[at].as_py(), block[at]):
+                key, line, quotes, size, k, base = (file[at].as_py(), block[at]), 0, 0, 0, [0, 0], [0, 0]
+            part = slice(at, end)
+            earlier, before = quotes + np.cumsum(q[part]) - q[part], size + np.cumsum(z[part]) - z[part]
+            out["line"][part], out["earlier"][part] = np.arange(line + 1, line + 1 + end - at), earlier
+            for p in (0, 1):
+                begins = earlier % 2 == p
+                since = np.maximum.accumulate(np.where(begins, before, base[p]))
+                out[f"k_{p}"][part], out[f"sofar_{p}"][part] = k[p] + np.cumsum(begins), before - since
+                k[p], base[p] = int(out[f"k_{p}"][end - 1]), int(since[-1])
+            line, quotes, size = line + end - at, int(earlier[-1] + q[end - 1]), int(before[-1] + z[end - 1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out.values())], names=[*batch.schema.names, *out])
+
+
 def _records_of(spark: SparkSession, paths, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
     """(file, record, text, ended) of all records, and (file, bom, nul, utf8) of all files that have lines."""
     most = mapping.limits["row_bytes"]
     lines = spark.read.option("lineSep", "\n").text(paths).where(F.col("_metadata.file_size") <= mapping.limits["file_bytes"])
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value"))
-    lines = staged(lines.withColumns({"quotes": F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit(""))), "size": F.octet_length("value").cast("long")}), "lines")
+    lines = lines.withColumns({"quotes": F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit(""))), "size": F.octet_length("value").cast("long"), "value": F.col("value").cast("binary")})
+    lines = lines.mapInArrow(_running, "file string, file_size long, block long, i long, value binary, quotes int, size long, " + ", ".join(f"{c} long" for c in _RUNNING))
+    lines = staged(lines.withColumn("value", F.col("value").cast("string")), "lines")
 
     # what stands before a block: the parity of its quotes, and once that is known how many records began
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes")).withColumn("before", F.coalesce(F.sum("quotes").over(order), F.lit(0))).drop("quotes")
-    inside = Window.partitionBy("file", "block").orderBy("i")
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begun = lines.join(blocks, ["file", "block"]).withColumn("begins", ((F.col("before") + F.coalesce(F.sum("quotes").over(earlier), F.lit(0))) % 2 == 0).cast("int"))
-    begun = begun.withColumns({"k": F.sum("begins").over(upto), "line": F.row_number().over(inside)})
-    begun = staged(begun.select("file", "file_size", "block", "i", "value", "size", "k", "line"), "lines")
-    counts = begun.groupBy("file", "block").agg(F.max("k").alias("n")).withColumn("records", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
-    numbered = begun.join(counts, ["file", "block"]).withColumn("record", F.col("records") + F.col("k"))
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), *[F.max(c).alias(c) for c in ("k_0", "k_1")])
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("quotes").over(order), F.lit(0)) % 2 == 1)
+    blocks = blocks.withColumn("records", F.coalesce(F.sum(F.when(F.col("inside"), F.col("k_1")).otherwise(F.col("k_0"))).over(order), F.lit(0)))
+    blocks = staged(blocks.select("file", "block", "inside", "records"), "blocks")
+    of = lambda c: F.when(F.col("inside"), F.col(f"{c}_1")).otherwise(F.col(f"{c}_0"))
+    numbered = lines.join(blocks, ["file", "block"]).withColumns({"record": F.col("records") + of("k"), "sofar": of("sofar")})
 
     raw = F.col("value").cast("binary")
     first = (F.col("block") == 0) & (F.col("line") == 1)
     start = F.hex(F.substring(raw, 1, 4))
-    told = begun.groupBy("file").agg(
+    told = lines.groupBy("file").agg(
         F.max(first & (start.startswith("FFFE") | start.startswith("FEFF") | (start == "0000FEFF"))).alias("bom"), F.max(F.instr("value", "\0") > 0).alias("nul"), F.min(F.is_valid_utf8("value")).alias("utf8"),
         # one more byte for each line break, but perhaps the last; the reader leaves out a mark of three bytes
         (F.first("file_size") - F.sum(F.col("size") + 1)).isin(-1, 2).alias("open"),
     )
     lengths = numbered.groupBy("file").agg(F.max("record").alias("last"))
     # of a record that is too large anyway no more is gathered than shows that
-    sofar = Window.partitionBy("file", "block", "record").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = numbered.withColumn("sofar", F.coalesce(F.sum(F.col("size") + 1).over(sofar), F.lit(0))).where(F.col("sofar") <= most).withColumn("piece", F.substring(raw, 1, most + 1))
+    pieces = numbered.where(F.col("sofar") <= most).withColumn("piece", F.substring(raw, 1, most + 1))
     whole = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "i", "piece"))).alias("pieces"))
     ended = ~(F.col("open") & (F.col("record") == F.col("last")))
     made = whole.join(told.select("file", "open"), "file").join(lengths, "file").select("file", "record", F.col("pieces.piece").alias("pieces"), ended.alias("ended"))
