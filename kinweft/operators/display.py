@@ -62,12 +62,13 @@ def exportable(results: DataFrame, consents: DataFrame) -> DataFrame:
     return results.join(needed.join(allowed, "id", "left_anti").select("result_id").distinct(), "result_id", "left_anti")
 
 
-def evidence_summary(results: DataFrame, tables: dict[str, DataFrame], scoped: DataFrame | None = None) -> DataFrame:
+def evidence_summary(results: DataFrame, tables: dict[str, DataFrame], scoped: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
     """(result_id, evidence_count, claim_types, source_kinds, observed_at) of each result's evidence.
 
     With ``scoped`` (:func:`kinweft.operators.evaluate.scoped_references`), results name what the claims of their
     organization add by ``latest_organization_id`` and ``organization_scopes``; it is summed up for each occurring set
-    of scopes.
+    of scopes.  ``references`` (:func:`kinweft.operators.evaluate.look_up`, with ``claim_type``) may say what is looked up
+    of these claims' evidence already.
     """
     refs = tables["evidence_ref"].select(F.col("evidence_ref_id").alias("ref"), "claim_type", F.col("source_snapshot_id").alias("snapshot"))
     snapshots = tables["source_snapshot"].select(F.col("source_snapshot_id").alias("snapshot"), "source_kind", F.coalesce("source_observed_at", "imported_at").alias("seen"))
@@ -82,8 +83,10 @@ def evidence_summary(results: DataFrame, tables: dict[str, DataFrame], scoped: D
     # a reference of the result's own that is in one of its scopes counts there
     inside = scoped.select(F.col("latest_organization_id").alias("__organization"), F.col("ref").alias("__ref"), "scope")
     own = own.join(inside, (F.col("ref") == F.col("__ref")) & (F.col("latest_organization_id") == F.col("__organization")) & F.arrays_overlap("scope", "organization_scopes"), "left_anti")
+    snapshots = staged(snapshots, "snapshots")
+    claims = refs if references is None else references.where("owner = 'claim' and held").select("ref", "claim_type", "snapshot").distinct()
     own = own.select("result_id", "ref").join(refs, "ref").join(snapshots, "snapshot", "left").groupBy("result_id").agg(*found)
-    blocks = staged(scoped.join(refs, "ref").join(snapshots, "snapshot", "left").groupBy("latest_organization_id", "scope").agg(*found), "blocks")
+    blocks = staged(scoped.join(claims, "ref").join(snapshots, "snapshot", "left").groupBy("latest_organization_id", "scope").agg(*found), "blocks")
     claimed = results.select("result_id", *sets_of).join(over_scopes(results, blocks, *total), sets_of).drop(*sets_of)
     return own.unionByName(claimed).groupBy("result_id").agg(*total)
 
