@@ -84,3 +84,11 @@ def test_evidence_of_claims_is_looked_up_once(spark, monkeypatch):
     made = catalog.evidence_summary(spark, "/root/testdata/sf0.01")
     assert wanted.count("claim") == 1
     assert made.count() == 15
+
+
+def test_a_fingerprint_makes_edges_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(workload, "staged", lambda df, name: written.append(name) or staged(df, name))
+    made = catalog.input_fingerprint(spark, SF).first()
+    assert written == ["edges"]
+    assert made["fingerprint"] == evaluate.input_set_fingerprint(workload.tables(spark, SF), workload.WORKSPACE)
