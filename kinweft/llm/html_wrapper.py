@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import OrderedDict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,21 +51,22 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _LISTS = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select")
 
 
-#: Attributes are looked at so far, and longer ones or whole pages above the second are not remembered.
+#: Longer attributes, and longer pages, are not remembered.
 ATTRIBUTE_CHARS, LONG_KEY = 1 << 16, 1 << 20
-#: Cells of the tables of one alignment; children beyond are aligned by what is equal in them.
-CELLS = 300_000
+#: Scores that one alignment keeps to use again, and an eighth of the bytes of its tables' steps; beyond, they are made
+#: anew.  The alignment is the same.
+CELLS = 4_000_000
 
 
 class _Memory(OrderedDict):
-    """The last ``most`` results of a function."""
+    """The last ``most`` results of a function, but for texts that are too long to keep."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int = LONG_KEY):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
-        if isinstance(key, str) and len(key) > LONG_KEY:
+        if isinstance(key, str) and len(key) > self.longest:
             return self.make(key)
         if len(self) >= self.most:
             self.popitem(last=False)
@@ -76,7 +77,7 @@ class _Memory(OrderedDict):
 def _attributes(raw: str) -> tuple[bool, str]:
     """Whether attributes say that an element is not content, and the class it has in the tree."""
     noise, label = False, ""
-    for name, value in _ATTR.findall(raw[:ATTRIBUTE_CHARS]):
+    for name, value in _ATTR.findall(raw):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             noise = True
@@ -139,7 +140,7 @@ class Page:
     ``linked`` if all of it stands in links.
     """
 
-    attributes = _Memory(_attributes, 5000)
+    attributes = _Memory(_attributes, 5000, ATTRIBUTE_CHARS)
 
     def __init__(self, text: str):
         self.labels: list[str] = ["#"]
@@ -245,133 +246,210 @@ class Page:
         return tuple(self.labels), tuple(map(tuple, self.children))
 
 
-def _shapes(labels: tuple, children: tuple) -> tuple[list[int], list[int], list[int]]:
-    """The hash, the size and the height of every node's subtree; children come after their parents."""
-    made, size, height = [0] * len(labels), [1] * len(labels), [0] * len(labels)
+def _shapes(labels: tuple, children: tuple) -> list[int]:
+    """The hash of every node's subtree; children come after their parents."""
+    made = [0] * len(labels)
     for i in range(len(labels) - 1, -1, -1):
         made[i] = hash((labels[i], tuple(made[c] for c in children[i])))
-        for c in children[i]:
-            size[i] += size[c]
-            height[i] = max(height[i], height[c] + 1)
-    return made, size, height
-
-
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A longest choice of pairs, given by their first part, whose second parts rise too."""
-    tails: list[int] = []
-    ends: list[int] = []
-    before = [-1] * len(pairs)
-    for n, (_, q) in enumerate(pairs):
-        k = bisect_left(tails, q)
-        before[n] = ends[k - 1] if k else -1
-        tails[k : k + 1], ends[k : k + 1] = [q], [n]
-    out, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        out.append(pairs[n])
-        n = before[n]
-    return out[::-1]
-
-
-def _in_order(x: list, y: list) -> list[tuple[int, int]]:
-    """Pairs of positions with equal items, the k-th of one list with the k-th of the other, as many as keep order."""
-    there: dict = {}
-    for q, item in enumerate(y):
-        there.setdefault(item, []).append(q)
-    seen: dict = {}
-    pairs = []
-    for p, item in enumerate(x):
-        k = seen[item] = seen.get(item, -1) + 1
-        if k < len(there.get(item, ())):
-            pairs.append((p, there[item][k]))
-    return _rising(pairs)
-
-
-def _sparse(shapes_x: list, shapes_y: list, labels_x: list, labels_y: list) -> list[tuple[int, int]]:
-    """Positions aligned by equal subtrees, and between these by equal labels."""
-    out, p, q = [], 0, 0
-    for a, b in [*_in_order(shapes_x, shapes_y), (len(shapes_x), len(shapes_y))]:
-        out += [(p + i, q + j) for i, j in _in_order(labels_x[p:a], labels_y[q:b])]
-        if a < len(shapes_x):
-            out.append((a, b))
-        p, q = a + 1, b + 1
-    return out
+    return made
+
+
+class _Level:
+    """Nodes of the second tree under one path of labels, one of each shape, and the cells over their children.
+
+    The cells of a node are one for no child and one for each child, and the nodes' cells stand side by side, so that a
+    child of the first tree is held against the children of all of them at once.  Each node's scores begin so far above
+    those of the node before that a running maximum starts anew there.
+    """
+
+    def __init__(self, lists: list[tuple], labels: tuple, shapes: list[int], column: dict[int, int]):
+        self.column = column
+        sizes = np.array([len(x) + 1 for x in lists])
+        self.end = np.cumsum(sizes) - 1
+        self.start = self.end - sizes + 1
+        self.zero = np.repeat(np.arange(len(lists)) * (len(labels) + 1), sizes)
+        self.made: dict[str, tuple] = {}
+        self.found: dict[str, tuple[list[int], list[int]]] = {}
+        for k, nodes in zip(self.start.tolist(), lists, strict=True):
+            for cell, q in enumerate(nodes, k + 1):
+                cells, there = self.found.setdefault(labels[q], ([], []))
+                cells.append(cell)
+                there.append(q)
+
+    def under(self, label: str, labels: tuple, children: tuple, shapes: list[int]) -> tuple | None:
+        """The cells of the children of one label, which column each is of the level below, and that level."""
+        if label in self.found and label not in self.made:
+            cells, nodes = self.found[label]
+            column: dict[int, int] = {}
+            lists = []
+            for q in nodes:
+                if shapes[q] not in column:
+                    column[shapes[q]] = len(lists)
+                    lists.append(children[q])
+            self.made[label] = np.array(cells), np.array([column[shapes[q]] for q in nodes]), _Level(lists, labels, shapes, column)
+        return self.made.get(label)
+
+
+def _ends(x: tuple, y: tuple, sa: list[int], sb: list[int]) -> tuple[int, int]:
+    """How many equal subtrees two lists of nodes begin and end with."""
+    most = min(len(x), len(y))
+    # what follows the varying part mostly keeps its distance from the end
+    hi = next((k for k in range(most) if sa[x[-1 - k]] != sb[y[-1 - k]]), most)
+    return next((k for k in range(most - hi) if sa[x[k]] != sb[y[k]]), most - hi), hi
 
 
 def align(pair: tuple[tuple, tuple]) -> dict[int, int]:
     """Simple tree matching of two structures: the nodes of the first that have a partner in the second.
 
-    Exact while the tables hold fewer than :data:`CELLS` cells.  Equal subtrees at the ends of two lists of children
-    are partners in some best alignment and go without a table, and equal pairs of subtrees are aligned once.  Lists
-    beyond the cells are aligned by what is equal in them (:func:`_sparse`), in nearly linear time.
+    Always a largest matching, whatever the size.  Equal subtrees at the ends of two lists of children are partners in
+    some best alignment and go without a table.  Time grows with the pairs of nodes under equal paths of labels that are
+    left, at worst with the product of the pages, as is in the nature of the best alignment of two lists.  Memory does
+    not: of the tables' steps, two bits a cell, only some are kept, and the others are made again when they are needed.
     """
     (la, ca), (lb, cb) = pair
     if pair[0] == pair[1]:
         return {i: i for i in range(len(la))}
-    (sa, na, high), (sb, _, _) = _shapes(la, ca), _shapes(lb, cb)
-    plans: dict[tuple[int, int], tuple] = {}
-    cells = 0
-    todo = [(0, 0)] if la[0] == lb[0] else []
-    for i, j in todo:  # grows while it is read
-        key = sa[i], sb[j]
-        if key in plans or key[0] == key[1]:
-            continue
-        x, y = ca[i], cb[j]
-        most = min(len(x), len(y))
-        # what follows the varying part mostly keeps its distance from the end
-        hi = next((k for k in range(most) if sa[x[-1 - k]] != sb[y[-1 - k]]), most)
-        lo = next((k for k in range(most - hi) if sa[x[k]] != sb[y[k]]), most - hi)
-        u, v = x[lo : len(x) - hi], y[lo : len(y) - hi]
-        known = None
-        if cells + len(u) * len(v) <= CELLS:
-            cells += len(u) * len(v)
-            todo += [(p, q) for p in u for q in v if la[p] == lb[q]]
-        else:
-            known = _sparse([sa[p] for p in u], [sb[q] for q in v], [la[p] for p in u], [lb[q] for q in v])
-            todo += [(u[p], v[q]) for p, q in known]
-        plans[key] = (i, lo, hi, u, v, known)
-    score: dict[tuple[int, int], int] = {}
-
-    def worth(p: int, q: int) -> int:
-        return na[p] if sa[p] == sb[q] else score[sa[p], sb[q]] if la[p] == lb[q] else 0
-
-    partners: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for key, (i, lo, hi, u, v, known) in sorted(plans.items(), key=lambda z: high[z[1][0]]):  # from the leaves up
-        x = ca[i]
-        ends = sum(na[c] for c in x[:lo]) + sum(na[c] for c in x[len(x) - hi :])
-        if known is None:
-            t = [[0] * (len(v) + 1)]
-            for p in u:
-                up, row = t[-1], [0]
-                for k, q in enumerate(v):
-                    row.append(max(up[k + 1], row[k], up[k] + worth(p, q)))
-                t.append(row)
-            known, p, q = [], len(u), len(v)
-            while p and q:
-                w = worth(u[p - 1], v[q - 1])
-                if w and t[p][q] == t[p - 1][q - 1] + w:
-                    known.append((p - 1, q - 1))
-                    p, q = p - 1, q - 1
-                elif t[p][q] == t[p - 1][q]:
-                    p -= 1
-                else:
-                    q -= 1
-        score[key] = 1 + ends + sum(worth(u[p], v[q]) for p, q in known)
-        partners[key] = known
+    sa, sb = _shapes(la, ca), _shapes(lb, cb)
     found: dict[int, int] = {}
+
+    def tables(u: tuple, top: _Level, starts: list[tuple[int, np.ndarray]], stop: int) -> dict[tuple[_Level, int | None], list[bytes]]:
+        """The steps of each child, for every level and shape that is held against it, from the last start up to ``stop``.
+
+        Where steps are too many, those of the nodes of ``u`` so far are given up for a new start behind them, and those
+        of what is below one node are given up.
+        """
+        first, score = starts[-1]
+        places: dict[tuple[_Level, int | None], list[bytes]] = {}
+        worths: dict[tuple[_Level, int], np.ndarray] = {}  # what a shape is worth at the cells of the level above
+        held = kept = own = 0
+        open_ = [[None, top, iter(u[first:stop]), []]]
+        scores = [score]
+        waiting: list[int] = []  # the children that the open nodes are
+        row = None
+        while True:
+            shape, level, left, place = open_[-1]
+            p = next(left, -1) if row is None else waiting.pop()
+            if p < 0:
+                if place is not None:
+                    places[level, shape] = place
+                open_.pop()
+                row = scores.pop()[level.end] - level.zero[level.end] + 1
+                if not open_:
+                    return places
+                continue
+            below = level.under(la[p], lb, cb, sb)
+            if below is None:  # nothing to be a partner of
+                if place is not None:
+                    place.append(b"")
+                continue
+            cells, column, down = below
+            worth = worths.get((down, sa[p])) if row is None else None
+            if worth is None:
+                if row is None and ca[p]:
+                    waiting.append(p)
+                    open_.append([sa[p], down, iter(ca[p]), []])
+                    scores.append(down.zero)
+                    continue
+                worth = np.full(len(level.zero), -1)
+                worth[cells] = 1 if row is None else row[column]
+                row = None
+                if held + len(worth) > CELLS:
+                    worths.clear()
+                    held = 0
+                worths[down, sa[p]] = worth
+                held += len(worth)
+            before = scores[-1]
+            both = before[:-1] + worth[1:]
+            now = before.copy()
+            np.maximum(before[1:], both, out=now[1:])
+            now = scores[-1] = np.maximum.accumulate(now)
+            if place is None:
+                continue
+            step = np.zeros((2, len(now)), bool)  # whether the child is taken; whether it makes no difference
+            np.equal(now[1:], both, out=step[0, 1:])
+            np.equal(now, before, out=step[1])
+            place.append(np.packbits(step, axis=1).tobytes())
+            if level is top:
+                own += len(place[-1])
+                if own + kept <= 8 * CELLS or len(place) ** 2 <= 32 * len(u) or first + len(place) >= stop:
+                    continue
+                first += len(place)
+                starts.append((first, now))
+                place.clear()
+                own = 0
+            else:
+                kept += len(place[-1])
+                if kept <= 8 * CELLS:
+                    continue
+                for node in open_[1:]:
+                    node[3] = None
+            places.clear()
+            worths.clear()  # what is met again is to be kept again
+            held = kept = 0
+
+    def match(u: tuple, v: tuple) -> None:
+        """Partners among and below two lists of nodes by the tables' steps, from the ends on."""
+        top = _Level([v], lb, sb, {})
+        starts = [(0, top.zero)]
+        stop, rest = len(u), len(v)
+        while starts and rest:
+            places = tables(u, top, starts, stop)
+            first, _ = starts.pop()
+            open_ = [(u, v, top, places[top, None], first, 0, first, 0, stop, rest)]
+            while open_:
+                x, y, level, place, skipped, cell, low, least, p, q = open_.pop()
+                width = (len(level.zero) + 7) // 8
+                while p > low and q > least:
+                    steps = place[p - 1 - skipped]
+                    at, bit = cell + q >> 3, 128 >> (cell + q & 7)
+                    if steps and steps[at] & bit:
+                        p, q = p - 1, q - 1
+                        i, j = x[p], y[q]
+                        found[i] = j
+                        down = level.made[la[i]][2]
+                        below = places.get((down, sa[i]))
+                        if sa[i] == sb[j]:
+                            equal.append((i, j))
+                        elif below is None:
+                            todo.append((i, j))
+                        else:
+                            lo, hi = _ends(ca[i], cb[j], sa, sb)
+                            pairs_at_ends(ca[i], cb[j], lo, hi)
+                            open_.append((ca[i], cb[j], down, below, 0, int(down.start[down.column[sb[j]]]), lo, lo, len(ca[i]) - hi, len(cb[j]) - hi))
+                    elif not steps or steps[at + width] & bit:
+                        p -= 1
+                    else:
+                        q -= 1
+                if level is top:
+                    stop, rest = first, q
+
+    equal: list[tuple[int, int]] = []
+
+    def pairs_at_ends(x: tuple, y: tuple, lo: int, hi: int) -> None:
+        equal.extend(zip(x[:lo], y[:lo], strict=True))
+        equal.extend(zip(x[len(x) - hi :], y[len(y) - hi :], strict=True))
+
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         found[i] = j
-        x, y = ca[i], cb[j]
-        if sa[i] == sb[j]:
-            todo += zip(x, y, strict=True)
-            continue
-        if (key := (sa[i], sb[j])) not in plans:  # roots of different labels
+        if la[i] != lb[j]:  # roots of different labels
             continue
-        _, lo, hi, *_ = plans[key]
-        todo += zip(x[:lo], y[:lo], strict=True)
-        todo += zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)
-        todo += [(x[lo + p], y[lo + q]) for p, q in partners[key]]
+        x, y = ca[i], cb[j]
+        lo, hi = _ends(x, y, sa, sb)
+        pairs_at_ends(x, y, lo, hi)
+        u, v = x[lo : len(x) - hi], y[lo : len(y) - hi]
+        there = {lb[q]: q for q in v}
+        alike = [(p, there[la[p]]) for p in u if la[p] in there]
+        mine = {la[p] for p in u}
+        if len(mine) == len(u) and len(there) == len(v) and alike == sorted(alike, key=lambda z: z[1]):
+            todo += alike  # labels are names, and there is one choice only
+        elif alike:
+            match(u, v)
+    while equal:
+        i, j = equal.pop()
+        found[i] = j
+        equal.extend(zip(ca[i], cb[j], strict=True))
     return found
 
 

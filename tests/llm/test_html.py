@@ -87,6 +87,30 @@ def test_alignment_is_a_largest_matching(monkeypatch):
         assert len(found) == best(a, b) if n < 200 else len(found) <= best(a, b)
 
 
+def test_long_lists_are_aligned_by_a_largest_matching_too(monkeypatch):
+    r = random.Random(6)
+    some = lambda n: ("r", [("div", [(r.choice("ab"), []) for _ in range(r.randint(0, 4))]) for _ in range(n)])
+    a, b = some(620), some(600)
+    pair = flat(a), flat(b)
+    found = html_wrapper.align(pair)
+    assert len(found) == best(a, b)
+    # what is held in memory has no say in it
+    monkeypatch.setattr(html_wrapper, "CELLS", 3)
+    assert html_wrapper.align(pair) == found
+
+
+def test_attributes_of_any_length_are_looked_at():
+    page = html_wrapper.Page(f"<body><div style='background:url(data:{'A' * 100_000})' class='sidebar'>x</div><p>y</p></body>")
+    assert [(words, place) for words, _, place, _ in page.blocks] == [("x", -1), ("y", 0)]
+
+
+@pytest.mark.parametrize("text", ["<p " + x * (1_000_000 // len(x)) + ">y" for x in ("class ", " class=", " class='\"", ' class="x', " class = ", "class" + " " * 1000, " class='x'y", ' id="" class=x')])
+def test_long_attributes_are_read_in_linear_time(text):
+    began = time.monotonic()
+    html_wrapper.Page(text)
+    assert time.monotonic() - began < 8
+
+
 @pytest.mark.parametrize("text", ["<a " * 350_000, '<a href="x>' * 100_000, "<a b='\">" * 150_000, "<b>" * 150_000 + "</i>" * 150_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<div></div>" * 50_000, "<div>" * 100_000 + "<li></li>" * 50_000, "<script>" + "</script " * 100_000, "<!--" * 250_000, "<!" * 500_000, "<p " + "class=" * 150_000 + ">", '<p class="' + "x " * 500_000 + '">y', "<" * 1_000_000, "&lt" * 300_000, "<svg>" * 200_000])
 def test_a_page_is_read_in_linear_time(text):
     began = time.monotonic()
