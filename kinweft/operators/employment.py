@@ -33,11 +33,14 @@ def conflicts(claims: DataFrame, order: str) -> DataFrame:
 
     ``order`` is the column in whose order claims came; those with equal order came together.  A range frame finds
     the claims that have such a claim at all, which are few; only these are held against their person's claims.
+    If claims tell which ``file`` they came from, those of another file count only if they were ``kept``.
     """
     maybe = claims.withColumn("__conflict", _conflict()).where("__conflict").drop("__conflict")
-    theirs = claims.where("state = 'current'").select("workspace_id", "person_id", F.col("organization_id").alias("__organization"), _millis().alias("__at"), F.col(order).alias("__order"))
+    theirs = claims.where("state = 'current'").select("workspace_id", "person_id", F.col("organization_id").alias("__organization"), _millis().alias("__at"), F.col(order).alias("__order"), *[F.col(c).alias(f"__{c}") for c in ("file", "kept") if c in claims.columns])
     same = [maybe[c] == theirs[c] for c in ("workspace_id", "person_id")]
     near = (maybe["organization_id"] != theirs["__organization"]) & (theirs["__order"] < maybe[order]) & (F.abs(F.unix_millis(F.try_to_timestamp(maybe["observed_at"])) - theirs["__at"]) <= YEAR_MS)
+    if "file" in claims.columns:
+        near &= theirs["__kept"] | (theirs["__file"] == maybe["file"])
     return maybe.join(theirs, [*same, near], "left_semi")
 
 

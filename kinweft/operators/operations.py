@@ -7,7 +7,7 @@ somebody else changed what it read, it raises ``COMMIT_CONFLICT``.
 from __future__ import annotations
 
 from dataclasses import replace
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinweft.config import ConfigError, instant
 from kinweft.functions.digest import canonical_json, scoped_id, sha256_hex
 from kinweft.operators import adapters, governance, normalize
-from kinweft.operators.materialize import Request, authorize, canonical_rows, materialize, stage_rows
+from kinweft.operators.materialize import ROW_BITS, Request, authorize, canonical_rows, materialize, stage_rows
 from kinweft.session import staged
 from kinweft.sources import csv_scan, paging, provider_source
 from kinweft.sources.csv_scan import Mapping, ScanError
@@ -153,19 +153,28 @@ def record_export(store: Store, workspace: str, run_id: str, file_format: str, v
     tx.commit()
 
 
-def scan_files(store: Store, paths: str, mapping: Mapping, roots: list[str] | None) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """(scan, canonical rows) of each of many files, by its path, scanned at once; for :func:`import_csv`.
+class Scanned(NamedTuple):
+    """Files scanned at once: (path, raw_sha256, byte_count, error) of each, and their canonical rows with ``path``."""
 
-    Whoever imports them has to be allowed to read them.
-    """
+    about: DataFrame
+    rows: DataFrame
+
+
+def scan_together(store: Store, paths: str, mapping: Mapping, roots: list[str] | None) -> Scanned:
+    """Scan many files at once; for :func:`import_files`.  Whoever imports them has to be allowed to read them."""
     scanned = staged(csv_scan.scan(store.spark, paths, mapping, roots), "scan")
     rows = canonical_rows(csv_scan.as_rows(scanned, "path"), mapping.values)
     # files lie apart from one another, so that one file's rows are found without reading the others
     parts = 2 * store.spark.sparkContext.defaultParallelism
     canonical = staged(rows.repartition(parts, "path").sortWithinPartitions("path", "row_number"), "canonical")
-    about = staged(scanned.select("path", "raw_sha256", "byte_count", "error").distinct(), "files")
+    return Scanned(staged(scanned.select("path", "raw_sha256", "byte_count", "error").distinct(), "files"), canonical)
+
+
+def scan_files(store: Store, paths: str, mapping: Mapping, roots: list[str] | None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(scan, canonical rows) of each of many files, by its path, scanned at once; for :func:`import_csv`."""
+    found = scan_together(store, paths, mapping, roots)
     mine = lambda df, path: df.where(F.col("path") == path).drop("path")
-    return {r["path"]: (mine(about, r["path"]), mine(canonical, r["path"])) for r in about.select("path").distinct().collect()}
+    return {r["path"]: (mine(found.about, r["path"]), mine(found.rows, r["path"])) for r in found.about.select("path").distinct().collect()}
 
 
 def import_csv(store: Store, request: Request, mapping: Any, file: str, roots: list[str] | None, actor: str = "actor_operator", scan: tuple[DataFrame, DataFrame] | None = None) -> dict[str, Any]:
@@ -218,6 +227,51 @@ def _import(store: Store, tx: Transaction, request: Request, mapping: Mapping, f
     return done | {"status": "committed"}
 
 
+def import_files(store: Store, requests: dict[str, Request], scan: Scanned, actor: str = "actor_operator") -> dict[str, dict[str, Any]]:
+    """Import many files as one commit: the tables are those that :func:`import_csv` of one after another would leave.
+
+    ``requests`` has the paths of the scan in the order that files come in; they differ in their mapping only.  Rows
+    of all files are resolved at once, each against those before it, so an import reads what is stored once and not
+    once for each file.  The result has what :func:`import_csv` returns of each file.  A file that is refused refuses
+    all: nothing is left but the record of its failure.
+    """
+    tx, base = store.begin(), next(iter(requests.values()))
+    bound = lambda r: replace(r, mapping="", mapping_version="", raw_sha256="", byte_count=None, record_count=None)
+    if len({bound(r) for r in requests.values()}) > 1:
+        raise ValueError("files of one import differ in their mapping only")
+    workspace = base.workspace
+    authorize(base, _found(tx, "workspace", workspace, workspace, "CONSENT_BINDING_INVALID"), tx.get("consent", workspace, base.consent), tx.get("contributor", workspace, base.contributor))
+    about = {r["path"]: r for r in scan.about.collect()}
+    bad = F.min(F.when(F.col("reject_code").isNotNull(), F.struct("row_number", "reject_code")))
+    told = {r["path"]: r for r in scan.rows.groupBy("path").agg(F.count("*").alias("n"), bad.alias("bad")).collect()}
+    full = {p: replace(r, raw_sha256=about[p]["raw_sha256"] or "", byte_count=about[p]["byte_count"], record_count=told[p]["n"] if p in told else 0) for p, r in requests.items()}
+    same = tx.table("source_snapshot").where((F.col("workspace_id") == workspace) & (F.col("idempotency_key").isin(*[r.key() for r in full.values()]) | F.col("raw_sha256").isin(*[r.raw_sha256 for r in full.values()])))
+    known = {r["idempotency_key"]: r.asDict() for r in same.select("idempotency_key", "raw_sha256", "source_snapshot_id", "record_count").collect()}
+    contents = {r["raw_sha256"] for r in known.values()}
+    made, new = {}, {}
+    for path, request in full.items():
+        held, refused = known.get(request.key()), told[path]["bad"] if path in told else None
+        code = about[path]["error"] or (refused and refused["reject_code"]) or ("SNAPSHOT_REBINDING_REJECTED" if held is None and request.raw_sha256 in contents else None)
+        if code:
+            _record_failure(store, requests[path], code)
+            raise ConfigError(code)
+        if held is None:
+            held = known[request.key()] = {"source_snapshot_id": request.snapshot(), "record_count": request.record_count}
+            contents.add(request.raw_sha256)
+            new[path] = request
+        made[path] = {"source_snapshot_id": held["source_snapshot_id"], "raw_sha256": request.raw_sha256, "record_count": held["record_count"], "status": "committed" if path in new else "idempotent"}
+    if new:
+        places = store.spark.createDataFrame([(p, i, r.snapshot()) for i, (p, r) in enumerate(new.items())], "path string, file long, source_snapshot_id string")
+        rows = stage_rows(scan.rows.join(F.broadcast(places), "path").drop("path"), None, base)
+        rows = rows.withColumn("row_number", F.shiftleft("file", ROW_BITS) + F.col("row_number")).drop("file")
+        for name, df in materialize(rows, base, _of(tx.tables(CLAIMS), workspace), list(new.values())).items():
+            tx.put(name, df)
+        for r in new.values():
+            tx.audit(workspace, "csv.imported", actor, r.imported_at, "source_snapshot", r.snapshot(), {"recordCount": r.record_count, "status": "committed"})
+        tx.commit(references=True)
+    return made
+
+
 def _record_failure(store: Store, request: Request, code: str) -> None:
     """Keep that an import failed and why; nothing of the file's content."""
     about = {k: v for k, v in request.binding().items() if k != "rawSha256"} | {"startedAt": request.imported_at}

@@ -76,14 +76,13 @@ def import_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = {k: tables[k].where(f"{key} = '{value}'") for k, key, value in (("workspace", "workspace_id", workload.WORKSPACE), ("contributor", "contributor_id", "s1"), ("consent", "consent_record_id", "k1"))}
     store.commit(one | {"consent": one["consent"].withColumn("source_classes", F.array(F.lit("connections_csv")))})
     rows = workload.star(spark, sf_dir, "customer").withColumn("file", F.floor(F.col("c_custkey") / IMPORT_ROWS))
-    n = rows.agg(F.max("file")).first()[0] + 1
     body = rows.selectExpr("file", "cast(c_custkey AS long) AS place", f"concat_ws(',', {_quoted('c_name')}, concat('P', c_custkey), concat('n', c_nationkey, '.example')) AS value")
-    folder = _files(spark, body.unionByName(spark.range(n).selectExpr("id AS file", "-1L AS place", "'Name,Id,Domain' AS value"))).removesuffix("/*/*.txt")
+    paths = _files(spark, body.unionByName(rows.select("file").distinct().selectExpr("file", "-1L AS place", "'Name,Id,Domain' AS value")))
     mapping = _mapping(Name="full_name", Id="provider_person_id", Domain="company_domain")
-    # all files are scanned at once; each is a commit of its own, resolved against those before it
-    held = {int(p.split("/file=")[1].split("/")[0]): (p, s) for p, s in operations.scan_files(store, f"{folder}/*/*.txt", mapping, None).items()}
-    for i in range(n):
-        operations.import_csv(store, Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", f"m{i}", "1", workload.CLOCK, ""), mapping, held[i][0], None, scan=held[i][1])
+    # all files are scanned at once and imported as one commit, each resolved against those before it
+    scan = operations.scan_together(store, paths, mapping, None)
+    places = sorted((int(r["path"].split("/file=")[1].split("/")[0]), r["path"]) for r in scan.about.select("path").collect())
+    operations.import_files(store, {p: Request(workload.WORKSPACE, "s1", "k1", "generic_contacts_csv", f"m{i}", "1", workload.CLOCK, "") for i, p in places}, scan)
     made = store.tables()
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table_name"), "n") for k, df in made.items()]).where("n > 0")
 
